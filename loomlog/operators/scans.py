@@ -22,18 +22,20 @@ def running(
     lasts: dict[str, Column] | None = None,
     ties: Sequence[Column | str] = (),
     slice_rows: int = SLICE_ROWS,
+    carriers: DataFrame | None = None,
 ) -> DataFrame:
     """Running totals and running last-non-null values up to and including each row.
 
     ``order`` must be a non-null whole number (a line number, say); ``ties`` orders equal numbers.
     Rows ``[k * slice_rows, (k + 1) * slice_rows)`` form slice ``k``: the scan runs inside slices and
-    takes what came before from one row per slice.
+    takes what came before from one row per slice. ``carriers`` may name the subset of rows that
+    carry values at all, which spares computing the others twice.
     """
     sums, lasts, keys = sums or {}, lasts or {}, list(keys)
-    sliced = df.withColumn("_slice", F.floor(F.col(order) / F.lit(slice_rows)))
     position = F.struct(F.col(order).alias("_o"), *[F.col(t) if isinstance(t, str) else t for t in ties])
     inputs = {f"_in_{n}": e for n, e in {**sums, **lasts}.items()}
-    sliced = sliced.withColumns({**inputs, "_position": position})
+    added = {"_slice": F.floor(F.col(order) / F.lit(slice_rows)), **inputs, "_position": position}
+    sliced = df.withColumns(added)
 
     inside = Window.partitionBy(*keys, "_slice").orderBy("_position").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -41,7 +43,7 @@ def running(
     local = {n: F.sum(f"_in_{n}").over(inside) for n in sums}
     local |= {n: F.last(f"_in_{n}", ignorenulls=True).over(inside) for n in lasts}
 
-    totals = sliced.groupBy(*keys, "_slice").agg(
+    totals = (sliced if carriers is None else carriers.withColumns(added)).groupBy(*keys, "_slice").agg(
         *[F.sum(f"_in_{n}").alias(f"_end_{n}") for n in sums],
         *[
             F.max_by(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), F.col("_position"))).alias(f"_end_{n}")
