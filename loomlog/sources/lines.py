@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loomlog.functions.numbers import flex_long
 from loomlog.functions.text import css_color, is_blank
 from loomlog.operators.collection import CANONICAL_KEYS, with_source_ids
-from loomlog.schemas import CANONICAL_JSON, RAW_RECORD
+from loomlog.schemas import CANONICAL_JSON, RAW_RECORD, ddl
 
 CANONICAL_FILE = "canonical_records.jsonl"
 RAW_FILE = "raw_records.jsonl"
@@ -66,7 +66,7 @@ def read_canonical(
     """
     lines = read_lines(spark, paths, CANONICAL_FILE)
     filled = lines.filter(~is_blank("line"))
-    schema = T.StructType([*CANONICAL_JSON.fields, T.StructField("_bad", T.StringType())])
+    schema = ddl({**CANONICAL_JSON, "_bad": "STRING"})
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowComments": "true"}
     parsed = filled.withColumn("_r", F.from_json("line", schema, options))
     good = parsed.filter(F.col("_r").isNotNull() & F.col("_r._bad").isNull())
@@ -90,7 +90,7 @@ def write_canonical(log: DataFrame, path: str, sources: DataFrame | None = None,
     a table under ``<path>_sources``.
     """
     full = log if sources is None else with_source_ids(log, sources)
-    stored = [f.name for f in CANONICAL_JSON.fields if f.name in full.columns]
+    stored = [n for n in CANONICAL_JSON if n in full.columns]
     spread = full.select(*stored).repartitionByRange("session_id", "order").sortWithinPartitions("session_id", "order")
     spread.write.mode("overwrite").partitionBy("session_id").format(fmt).save(path)
     if sources is not None:
@@ -102,19 +102,19 @@ def write_canonical(log: DataFrame, path: str, sources: DataFrame | None = None,
 def read_canonical_table(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """What :func:`write_canonical` wrote."""
     reader = spark.read.format(fmt)
-    return (reader.schema(CANONICAL_JSON) if fmt == "json" else reader).load(path)
+    return (reader.schema(ddl(CANONICAL_JSON)) if fmt == "json" else reader).load(path)
 
 
 def write_raw(raw: DataFrame, path: str, fmt: str = "json") -> None:
     """Append raw records; nulls are left out of the JSON."""
-    stored = raw.select(*[f.name for f in RAW_RECORD.fields if f.name in raw.columns])
+    stored = raw.select(*[n for n in RAW_RECORD if n in raw.columns])
     writer = stored.write.mode("append").partitionBy("session_id").format(fmt)
     (writer.option("ignoreNullFields", True) if fmt == "json" else writer).save(path)
 
 
 def read_raw(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Raw records as written by :func:`write_raw`, or plain JSON-lines session folders."""
-    reader = spark.read.schema(RAW_RECORD).option("recursiveFileLookup", fmt == "jsonl")
+    reader = spark.read.schema(ddl(RAW_RECORD)).option("recursiveFileLookup", fmt == "jsonl")
     if fmt == "jsonl":
         return reader.option("pathGlobFilter", RAW_FILE).json(path)
     return reader.format(fmt).load(path)

@@ -4,25 +4,24 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomlog.functions import fixed_values as fixed
 from loomlog.functions.text import alias_problem, contains_ignoring_case, is_blank, normalize_alias, session_label
-from loomlog.schemas import ALIAS_JSON, EXCLUSIONS_JSON, SESSION_JSON, STATS_JSON
+from loomlog.schemas import ALIAS_JSON, EXCLUSIONS_JSON, SESSION_JSON, STATS_JSON, ddl
 
 REQUIRED_FILES = ("session.json", "canonical_records.jsonl", "stats.json")
 OPTIONAL_FILES = ("raw_records.jsonl",)
 FORMAT_VERSION = 1
 
 
-def _folder() -> F.Column:
+def _folder() -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]*$", 1).alias("session_folder")
 
 
-def _read(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
+def _read(spark: SparkSession, root: str, name: str, schema: dict[str, str]) -> DataFrame:
     """One JSON document per folder; ``_bad`` keeps a document that does not parse."""
-    with_bad = schema.__class__(list(schema.fields)).add("_bad", "string")
-    reader = spark.read.schema(with_bad).option("multiLine", True).option("allowComments", True)
+    reader = spark.read.schema(ddl({**schema, "_bad": "STRING"})).option("multiLine", True).option("allowComments", True)
     files = reader.option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", True)
     return files.option("pathGlobFilter", name).json(root).select(_folder(), "*")
 
@@ -59,7 +58,7 @@ def read_sessions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame,
     readable = F.col("_bad").isNull() & (status.isNull() | status.isin(*fixed.SESSION_STATUSES))
     sessions = manifests.filter(readable).drop("_bad").withColumn("status", F.coalesce(status, F.lit("unknown")))
     stats = _read(spark, root, "stats.json", STATS_JSON).join(usable.select("session_folder"), "session_folder", "left_semi")
-    counters = [f.name for f in STATS_JSON.fields if f.name != "last_seen_at"]
+    counters = [n for n in STATS_JSON if n != "last_seen_at"]
     missing = present.select(
         "session_folder",
         F.explode(F.filter(
@@ -160,12 +159,12 @@ def session_id_for(started_at: datetime) -> str:
 
 def new_manifest(spark: SparkSession, started_at: datetime, **facts) -> DataFrame:
     """The manifest row of a session that has just begun."""
-    row = {f.name: None for f in SESSION_JSON.fields} | {
+    row = dict.fromkeys(SESSION_JSON) | {
         "schema_version": "1.0", "raw_schema_version": "1.0", "canonical_schema_version": "1.0",
         "session_id": session_id_for(started_at), "status": "active", "started_at": started_at,
         "encoding": fixed.TEXT_ENCODING, "timezone": "Asia/Tokyo", **facts,
     }
-    return spark.createDataFrame([tuple(row[f.name] for f in SESSION_JSON.fields)], SESSION_JSON)
+    return spark.createDataFrame([tuple(row[n] for n in SESSION_JSON)], ddl(SESSION_JSON))
 
 
 def set_session_status(sessions: DataFrame, session_id: str, status: str, at: datetime, manual: bool = False) -> DataFrame:

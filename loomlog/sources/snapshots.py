@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomlog.functions import fixed_values as fixed
-from loomlog.schemas import SNAPSHOT
+from loomlog.schemas import SNAPSHOT, ddl
 
 RECORD_COLUMNS = (
     "record_index INT, record_offset INT, record_bytes BINARY, meta_fields ARRAY<STRING>, "
@@ -59,7 +59,7 @@ def stream_snapshots(
 ) -> DataFrame:
     """The same scan as a stream. A path is read once, so every new snapshot must land as a new file."""
     files = (
-        spark.readStream.format("binaryFile").schema(SNAPSHOT)
+        spark.readStream.format("binaryFile").schema(ddl(SNAPSHOT))
         .option("recursiveFileLookup", True).option("pathGlobFilter", "*.log")
         .option("maxFilesPerTrigger", files_per_batch)
     )
