@@ -92,7 +92,7 @@ def layout_rows(events: DataFrame, slice_rows: int = LAYOUT_SLICE) -> DataFrame:
         raise ValueError("a slice must hold at least one full row")
     sized = _row_sizes(events, slice_rows).select("_slice", "event_no", "_size")
     exits = sized.groupBy("_slice").applyInPandas(_exits, "_slice BIGINT, entry BIGINT, leave BIGINT, made BIGINT")
-    entries = exits.groupBy(F.lit(0)).applyInPandas(_entries, "_slice BIGINT, entry BIGINT, rows_before BIGINT")
+    entries = exits.groupBy().applyInPandas(_entries, "_slice BIGINT, entry BIGINT, rows_before BIGINT")
     packed = sized.join(entries, "_slice").groupBy("_slice").applyInPandas(_pack, "event_no BIGINT, row_no BIGINT")
     # A row holds three events at most, so this window sorts three rows per key.
     place = Window.partitionBy("row_no").orderBy("event_no")
