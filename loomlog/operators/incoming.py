@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from loomlog.functions import fixed_values as fixed
-from loomlog.functions.text import capture, strip
+from loomlog.functions.text import capture, contains_any, strip
 from loomlog.operators.grouping import GROUP_KEYS, group_sort_key, groupable
 from loomlog.schemas import as_log
 
@@ -19,16 +19,16 @@ def line_targets(log: DataFrame) -> DataFrame:
         capture(text, fixed.INCOMING_EVADE, 1, ("回避した", "かわした")),
         capture(text, fixed.INCOMING_MISS, 1, "に、ミス"),
     )
-    target = F.when(F.col("damage").isNotNull(), capture(text, fixed.INCOMING_DAMAGE, 1, hits)).otherwise(
-        F.col("_evaded")
-    )
-    return (
-        groupable(as_log(log))
-        .withColumns({"damage": damage, "_evaded": evaded})
-        .filter(F.col("damage").isNotNull() | F.col("_evaded").isNotNull())
-        .withColumn("target", strip(target))
-        .drop("_evaded")
+    words = contains_any(text, (*hits, "回避した", "かわした", "に、ミス"))
+    lines = groupable(as_log(log))
+    seen = lines.filter(words).withColumns(
+        {"_damage": damage, "_hit": capture(text, fixed.INCOMING_DAMAGE, 1, hits), "_evaded": evaded}
     )
+    target = strip(F.when(F.col("_damage").isNotNull(), F.col("_hit")).otherwise(F.col("_evaded")))
+    # Exploding a null gives no row. A filter would do the same, but it would be pushed below the
+    # projection and match every pattern twice.
+    found = F.when(target.isNotNull(), F.array(F.struct(target.alias("target"), F.col("_damage").alias("damage"))))
+    return seen.select(*lines.columns, F.explode(found).alias("_r")).select(*lines.columns, "_r.*")
 
 
 def incoming_results(log: DataFrame, actions: DataFrame) -> DataFrame:

@@ -46,7 +46,10 @@ def ability(text: Column) -> Column:
             for pattern in (fixed.ABILITY_ROLL, fixed.ABILITY_DOUBLE_UP, fixed.ABILITY_DECLARATION)
         )
     )
-    shaped = F.rlike(text, F.lit("^[A-Za-z]")) & F.rlike(text, F.lit("(?:[！!]|" + fixed.DOUBLE_UP_NAME + ")$"))
+    # All three shapes begin with an ASCII letter and have one of these ends: two cheap tests.
+    shaped = F.ascii(text).between(65, 122) & (
+        F.endswith(text, F.lit("！")) | F.endswith(text, F.lit("!")) | F.endswith(text, F.lit(fixed.DOUBLE_UP_NAME))
+    )
     declared = F.when(shaped, F.struct(part(1).alias("actor"), part(2).alias("name")))
     return F.when(declared.getField("name") != fixed.JOB_POINT_NOTICE, declared)
 

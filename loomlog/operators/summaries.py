@@ -144,21 +144,22 @@ def point_gains(log: DataFrame) -> DataFrame:
     """Point lines: ``point_name``, ``points`` and the chain number if one is given."""
     text = F.col("visible_text")
     gained, bonus = "を獲得した", "ガリモーフリーを"
-    name = capture(text, fixed.POINT_GAIN, 3, gained)
     points = F.coalesce(
         capture(text, fixed.POINT_GAIN, 2, gained), capture(text, fixed.GALLIMAUFRY_GAIN, 1, bonus)
     )
-    return (
-        log.filter(text.contains(gained) | text.contains(bonus))
-        .withColumns(
-            {
-                "points": points.try_cast("bigint"),
-                "point_name": F.coalesce(name, F.lit(fixed.GALLIMAUFRY)),
-                "chain": capture(text, fixed.POINT_GAIN, 1, gained).try_cast("bigint"),
-            }
-        )
-        .filter(F.col("points").isNotNull())
+    seen = log.filter(text.contains(gained) | text.contains(bonus)).withColumns(
+        {
+            "_points": points.try_cast("bigint"),
+            "_name": F.coalesce(capture(text, fixed.POINT_GAIN, 3, gained), F.lit(fixed.GALLIMAUFRY)),
+            "_chain": capture(text, fixed.POINT_GAIN, 1, gained).try_cast("bigint"),
+        }
+    )
+    gain = F.struct(
+        F.col("_name").alias("point_name"), F.col("_points").alias("points"), F.col("_chain").alias("chain")
     )
+    # Exploding a null drops the line without matching the patterns a second time in a pushed filter.
+    found = F.explode(F.when(F.col("_points").isNotNull(), F.array(gain)))
+    return seen.select(*log.columns, found.alias("_g")).select(*log.columns, "_g.*")
 
 
 def summarize_points(log: DataFrame, time: DataFrame) -> DataFrame:

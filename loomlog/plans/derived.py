@@ -134,8 +134,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def derived_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log lines of all events of one scale folder."""
-    texts = F.array(*[F.expr(sql) for sql in TEXTS])
-    lines = read_table(spark, sf_dir, "events").select("*", F.posexplode(texts).alias("n", "visible_text"))
+    texts = [F.expr(sql).alias(f"text{n}") for n, sql in enumerate(TEXTS)]
+    wide = read_table(spark, sf_dir, "events").select("*", *texts)
+    lines = wide.select("*", F.posexplode(F.array("text0", "text1", "text2")).alias("n", "visible_text"))
     columns = {name.strip('"'): F.expr(sql) for name, sql in COLUMNS.items()}
     columns |= {n: columns[n].cast("timestamp") for n in ("first_seen_at", "last_seen_at")}
     return lines.filter(F.col("visible_text").isNotNull()).select(*[c.alias(n) for n, c in columns.items()])

@@ -21,6 +21,11 @@ def build_session(app: str = "loomlog", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The JVM never compiles methods above 8000 bytes, so a stage of many patterns runs faster
+        # as separate expressions than fused into one huge method.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # Call-site capture costs more than building the plans here.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
