@@ -28,8 +28,8 @@ def running(
 
     ``order`` must be a non-null whole number (a line number, say); ``ties`` orders equal numbers.
     Rows ``[k * slice_rows, (k + 1) * slice_rows)`` form slice ``k``: the scan runs inside slices and
-    takes what came before from one row per slice. ``carriers`` may name the subset of rows that
-    carry values at all, which spares computing the others twice.
+    takes what came before from one row per slice. ``carriers`` may name other rows
+    to take the per-slice totals from: all that carry values, and at least one row in every slice.
     """
     sums, lasts, keys = sums or {}, lasts or {}, list(keys)
     position = F.struct(F.col(order).alias("_o"), *[F.col(t) if isinstance(t, str) else t for t in ties])

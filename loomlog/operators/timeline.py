@@ -190,14 +190,18 @@ def timeline_events(groups: DataFrame) -> DataFrame:
 
 
 def reference_time(events: DataFrame, log: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """As-of lookup: the last timed line of the session at or before each event; nothing is interpolated."""
-    times = (
+    """As-of lookup: the last timed line of the session at or before each event; nothing is interpolated.
+
+    Events must be anchored at lines of ``log`` (timed or not).
+    """
+    timed = F.when(~is_blank("message_time_text"), F.struct(F.col("message_time_text").alias("text"), F.col("order")))
+    lines = (
         as_log(log)
-        .filter(~is_blank("message_time_text") & F.col("order").isNotNull())
+        .filter(F.col("order").isNotNull())
         .select(
             F.coalesce("session_id", F.lit("")).alias("_session"),
             F.col("order").alias("_at"),
-            F.struct(F.col("message_time_text").alias("text"), F.col("order")).alias("_time"),
+            timed.alias("_time"),
             F.col("read_index").alias("_tie"),
         )
     )
@@ -208,11 +212,11 @@ def reference_time(events: DataFrame, log: DataFrame, slice_rows: int = SLICE_RO
         F.lit(None).cast("bigint").alias("_tie"),
         F.struct(*events.columns).alias("_event"),
     )
-    times = times.withColumn("_event", F.lit(None).cast(anchored.schema["_event"].dataType))
-    both = times.unionByName(anchored)
+    lines = lines.withColumn("_event", F.lit(None).cast(anchored.schema["_event"].dataType))
+    both = lines.filter(F.col("_time").isNotNull()).unionByName(anchored)
     found = running(
         both, "_at", ["_session"], lasts={"_seen": F.col("_time")},
-        ties=[F.col("_event").isNotNull(), "_tie"], slice_rows=slice_rows, carriers=times,
+        ties=[F.col("_event").isNotNull(), "_tie"], slice_rows=slice_rows, carriers=lines,
     ).filter(F.col("_event").isNotNull())
     seen = found.select(
         "_event.*", F.col("_seen.text").alias("reference_time"), F.col("_seen.order").alias("reference_order")
