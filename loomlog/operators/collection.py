@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomlog.functions.hashing import body_hash, canonical_key, raw_record_id
 from loomlog.functions.numbers import long_or_null, meta_number
@@ -241,8 +241,8 @@ def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     key = low = high = None
     for frame in frames:
         done = []
-        for session, canonical, lows, highs in frame[["session_id", "canonical_key", "low", "high"]].itertuples(index=False):
-            if (session, canonical) != key:
+        for session, canonical, lows, highs, nth in frame.itertuples(index=False):
+            if nth == 1:
                 if key is not None:
                     done.append((*key, low, high))
                 key, low, high = (session, canonical), lows, highs
@@ -261,9 +261,10 @@ def fold_hints(parts: DataFrame, irregular: DataFrame) -> DataFrame:
     folded in that order. Rows stream through in sorted order; nothing is collected.
     """
     rows = parts.filter(F.col("low").isNotNull()).join(irregular, CANONICAL_KEYS, "left_semi")
-    ordered = rows.select(*CANONICAL_KEYS, "_at", "low", "high").repartition(*CANONICAL_KEYS).sortWithinPartitions(
-        *CANONICAL_KEYS, "_at"
-    )
+    # The window is what keeps a key together and in order: a plain repartition right after a join
+    # may be dropped by adaptive execution, because nothing downstream is known to need it.
+    arrival_order = Window.partitionBy(*CANONICAL_KEYS).orderBy("_at")
+    ordered = rows.select(*CANONICAL_KEYS, "low", "high", F.row_number().over(arrival_order).alias("nth"))
     return ordered.mapInPandas(
         _fold, "session_id STRING, canonical_key STRING, folded_min STRING, folded_max STRING"
     )

@@ -23,6 +23,12 @@ FLAT_COLUMNS = (
 )
 
 
+def folder_of(path: Column | str) -> Column:
+    """Folder of a file, spelled alike whether the path comes from a scan or from the file index."""
+    plain = F.replace(F.regexp_replace(path, "^file:/+", "file:/"), F.lit("%20"), F.lit(" "))
+    return F.regexp_extract(plain, "^(.*)/[^/]*$", 1)
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str], name: str) -> DataFrame:
     """Text lines with their file, folder and place.
 
@@ -39,7 +45,7 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], name: str) -> Da
         row.alias("row_id"),
     ).withColumns(
         {
-            "session_folder": F.regexp_extract("file_path", "^(.*)/[^/]*$", 1),
+            "session_folder": folder_of("file_path"),
             "read_index": F.col("block_start") + F.col("row_id").bitwiseAND(F.lit((1 << 33) - 1)),
         }
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loomlog.functions import fixed_values as fixed
 from loomlog.functions.text import alias_problem, contains_ignoring_case, is_blank, normalize_alias, session_label
 from loomlog.schemas import ALIAS_JSON, EXCLUSIONS_JSON, SESSION_JSON, STATS_JSON, ddl
+from loomlog.sources.lines import folder_of
 
 REQUIRED_FILES = ("session.json", "canonical_records.jsonl", "stats.json")
 OPTIONAL_FILES = ("raw_records.jsonl",)
@@ -16,26 +17,32 @@ FORMAT_VERSION = 1
 
 
 def _folder() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]*$", 1).alias("session_folder")
+    return folder_of(F.col("_metadata.file_path")).alias("session_folder")
 
 
 def _read(spark: SparkSession, root: str, name: str, schema: dict[str, str]) -> DataFrame:
-    """One JSON document per folder; ``_bad`` keeps a document that does not parse."""
-    reader = spark.read.schema(ddl({**schema, "_bad": "STRING"})).option("multiLine", True).option("allowComments", True)
-    files = reader.option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", True)
-    return files.option("pathGlobFilter", name).json(root).select(_folder(), "*")
+    """One small JSON document per folder; ``_bad`` keeps a document that does not parse."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name)
+    document = F.regexp_replace("value", "^\ufeff", "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowComments": "true"}
+    parsed = F.from_json(document, ddl({**schema, "_bad": "STRING"}), options)
+    files = reader.text(root, wholetext=True).select(_folder(), document.alias("_text"), parsed.alias("_d"))
+    unread = F.when(F.col("_d").isNull(), F.col("_text")).otherwise(F.col("_d._bad"))
+    return files.select("session_folder", *[f"_d.{n}" for n in schema], unread.alias("_bad"))
 
 
 def session_files(spark: SparkSession, root: str) -> DataFrame:
-    """Which of the known files each folder has. Contents are not read."""
+    """Which of the known files each folder has. Contents are not read.
+
+    The names come from Spark's file index: a scan would skip empty files, and an empty log is a log.
+    """
     names = [*REQUIRED_FILES, *OPTIONAL_FILES]
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json*").load(root).select("path")
-    )
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    listed = reader.option("pathGlobFilter", "*.json*").load(root).inputFiles()
+    files = spark.createDataFrame([(p,) for p in listed], "path STRING")
     name = F.element_at(F.split("path", "/"), -1)
     return (
-        files.withColumns({"name": name, "session_folder": F.regexp_extract("path", "^(.*)/[^/]*$", 1)})
+        files.withColumns({"name": name, "session_folder": folder_of("path")})
         .groupBy("session_folder")
         .agg(*[F.bool_or(F.col("name") == n).alias(n) for n in names])
     )
