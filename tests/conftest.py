@@ -15,6 +15,8 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
             "spark.ui.showConsoleProgress": "false", "spark.default.parallelism": "4",
+            # Tiny inputs: interpreting is much faster than compiling. The checks on real tables use codegen.
+            "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN",
         },
     )
     session.sparkContext.setLogLevel("ERROR")
