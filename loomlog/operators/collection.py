@@ -19,6 +19,8 @@ CANONICAL_VERSION = "1.0"
 # Where a raw record stands in the order of arrival: file time, file name, path, place in the file.
 ARRIVAL = ("file_mtime", "source_file", "path", "record_index")
 CANONICAL_KEYS = ["session_id", "canonical_key"]
+# Length of the slices in which hints are folded when their order depends on arrival.
+FOLD_SECONDS = 60
 
 
 def arrival(raw: DataFrame) -> Column:
@@ -149,7 +151,7 @@ def _state_parts(state: DataFrame) -> DataFrame:
     )
 
 
-def canonicalize(raw: DataFrame, state: DataFrame | None = None) -> DataFrame:
+def canonicalize(raw: DataFrame, state: DataFrame | None = None, slice_seconds: int = FOLD_SECONDS) -> DataFrame:
     """Merge raw records that show the same text in the same group of a session.
 
     The first arrival supplies the fields. Windows and files become sorted distinct lists: their
@@ -198,7 +200,7 @@ def canonicalize(raw: DataFrame, state: DataFrame | None = None) -> DataFrame:
             "sequence_hint_max": F.when(all_numbers, F.col("_number_max")).otherwise(F.col("_text_max")),
         }
     )
-    folded = fold_hints(parts, settled.filter(~F.col("_regular")).select(*CANONICAL_KEYS))
+    folded = fold_hints(parts, settled.filter(~F.col("_regular")).select(*CANONICAL_KEYS), slice_seconds)
     return (
         settled.join(folded, CANONICAL_KEYS, "left")
         .withColumns(
@@ -226,48 +228,122 @@ def canonicalize(raw: DataFrame, state: DataFrame | None = None) -> DataFrame:
     )
 
 
-def _replaces(old: str, new: str, want_min: bool) -> bool:
-    """Does ``new`` replace ``old``? Numbers compare as numbers, anything else as text."""
+# --- hints whose order depends on arrival ------------------------------------------------------
+# Two numbers compare as numbers, any other pair as text. Over mixed texts of different length this
+# is not transitive: 9 < 10, "10" < "1a", "1a" < "9". The range of such hints is what a fold in the
+# order of arrival ends with, so it is folded in slices of time that know their effect on any state.
+
+def _number(text: str) -> int | None:
     try:
-        a, b = int(old), int(new)
+        return int(text)
     except ValueError:
-        a, b = old, new
-    return b < a if want_min else b > a
+        return None
+
+
+def _replaces(state: str, number: int | None, word: str | None, text: str | None, want_min: bool) -> bool:
+    """Is any value of a set before (or, for the maximum, behind) ``state``?
+
+    The set is given by its extreme number, its extreme text that is no number, and its extreme text.
+    """
+    ahead = lambda new, old: new is not None and (new < old if want_min else new > old)
+    own = _number(state)
+    return ahead(text, state) if own is None else ahead(number, own) or ahead(word, state)
+
 
+def _runs(values: list[str], want_min: bool) -> list[tuple]:
+    """What a stretch of hints does to a state: ``(result, number, word, text)`` per run.
 
-def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fold sorted rows key by key, holding one state at a time."""
-    names = ["session_id", "canonical_key", "folded_min", "folded_max"]
-    key = low = high = None
+    The first run with a value that replaces the state gives the result; if none does, the state
+    stays. Without a state the result of the first run holds.
+    """
+    best = min if want_min else max
+    extreme = lambda old, new: new if old is None else old if new is None else best(old, new)
+    numbers = [_number(v) for v in values]
+    ends: list[str] = [""] * len(values)
+    rest = (None, None, None)
+    for at in reversed(range(len(values))):
+        value, number = values[at], numbers[at]
+        ends[at] = value
+        if _replaces(value, *rest, want_min):
+            then = at + 1
+            while not _replaces(value, numbers[then], None if numbers[then] is not None else values[then], values[then], want_min):
+                then += 1
+            ends[at] = ends[then]
+        rest = (extreme(rest[0], number), extreme(rest[1], None if number is not None else value), extreme(rest[2], value))
+    runs: list[list] = []
+    for value, number, end in zip(values, numbers, ends):
+        if not runs or runs[-1][0] != end:
+            runs.append([end, None, None, None])
+        run = runs[-1]
+        run[1:] = [extreme(run[1], number), extreme(run[2], None if number is not None else value), extreme(run[3], value)]
+    return [(end, None if number is None else str(number), word, text) for end, number, word, text in runs]
+
+
+RUN_COLUMNS = (
+    "session_id STRING, canonical_key STRING, slice BIGINT, side STRING, run INT, result STRING, number STRING, word STRING, text STRING"
+)
+
+
+def _slice_runs(frame: pd.DataFrame) -> pd.DataFrame:
+    ordered = frame.sort_values("nth")
+    key = tuple(ordered.iloc[0][["session_id", "canonical_key", "slice"]])
+    rows = [
+        (*key, side, place, *run)
+        for side in ("low", "high")
+        for place, run in enumerate(_runs(ordered[side].tolist(), side == "low"))
+    ]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in RUN_COLUMNS.split(", ")])
+
+
+def _chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Take each key through its slices; ``nth`` is 1 at the first run of a key and side."""
+    names = ["session_id", "canonical_key", "side", "value"]
+    key = state = None
+    settled = False
     for frame in frames:
         done = []
-        for session, canonical, lows, highs, nth in frame.itertuples(index=False):
-            if nth == 1:
+        for row in frame.itertuples(index=False):
+            if row.nth == 1:
                 if key is not None:
-                    done.append((*key, low, high))
-                key, low, high = (session, canonical), lows, highs
-                continue
-            low = lows if _replaces(low, lows, True) else low
-            high = highs if _replaces(high, highs, False) else high
+                    done.append((*key, state))
+                key, state, settled = (row.session_id, row.canonical_key, row.side), row.result, True
+            elif row.run == 0:
+                settled = False
+            number = None if row.number is None else int(row.number)
+            if not settled and _replaces(state, number, row.word, row.text, row.side == "low"):
+                state, settled = row.result, True
         yield pd.DataFrame(done, columns=names)
     if key is not None:
-        yield pd.DataFrame([(*key, low, high)], columns=names)
+        yield pd.DataFrame([(*key, state)], columns=names)
 
 
-def fold_hints(parts: DataFrame, irregular: DataFrame) -> DataFrame:
+def fold_hints(parts: DataFrame, irregular: DataFrame, slice_seconds: int = FOLD_SECONDS) -> DataFrame:
     """Hint range of keys that mix decimal and other texts of different length.
 
-    Their comparison is not transitive, so the result depends on the order of arrival and must be
-    folded in that order. Rows stream through in sorted order; nothing is collected.
+    A slice is a key within a minute of file time, so even a key that fills the log is spread over
+    many tasks; only a few runs per slice are then chained per key, in order.
     """
-    rows = parts.filter(F.col("low").isNotNull()).join(irregular, CANONICAL_KEYS, "left_semi")
-    # The window is what keeps a key together and in order: a plain repartition right after a join
-    # may be dropped by adaptive execution, because nothing downstream is known to need it.
-    arrival_order = Window.partitionBy(*CANONICAL_KEYS).orderBy("_at")
-    ordered = rows.select(*CANONICAL_KEYS, "low", "high", F.row_number().over(arrival_order).alias("nth"))
-    return ordered.mapInPandas(
-        _fold, "session_id STRING, canonical_key STRING, folded_min STRING, folded_max STRING"
+    minute = F.floor(F.unix_seconds(F.col("first_arrival.file_mtime")) / slice_seconds)
+    before_all = F.lit(-(2**62)).cast("bigint")
+    rows = (
+        parts.filter(F.col("low").isNotNull())
+        .join(irregular, CANONICAL_KEYS, "left_semi")
+        .withColumn("slice", F.when(F.col("_round") == 0, before_all).otherwise(minute))
+    )
+    inside = Window.partitionBy(*CANONICAL_KEYS, "slice").orderBy("_at")
+    runs = (
+        rows.select(*CANONICAL_KEYS, "slice", "low", "high", F.row_number().over(inside).alias("nth"))
+        .groupBy(*CANONICAL_KEYS, "slice")
+        .applyInPandas(_slice_runs, RUN_COLUMNS)
+    )
+    # The window keeps a key together and in order. A plain repartition could be dropped by adaptive
+    # execution, because nothing downstream is known to need it.
+    along = Window.partitionBy(*CANONICAL_KEYS, "side").orderBy("slice", "run")
+    chained = runs.withColumn("nth", F.row_number().over(along)).mapInPandas(
+        _chain, "session_id STRING, canonical_key STRING, side STRING, value STRING"
     )
+    side = lambda name: F.max(F.when(F.col("side") == name, F.col("value")))
+    return chained.groupBy(*CANONICAL_KEYS).agg(side("low").alias("folded_min"), side("high").alias("folded_max"))
 
 
 def canonical_sources(raw: DataFrame) -> DataFrame:

@@ -131,8 +131,8 @@ RAW = (
 def raw_rows(spark, hints, key="k", start=0):
     return spark.createDataFrame(
         [
-            ("s", "g", key, h, 1 + i % 2, f"{1 + i % 2}_{i % 20}.log", 0, datetime(2026, 1, 1, 0, 0, 0, start + i),
-             datetime(2026, 1, 1, 0, 0, 0, start + i), f"{key}{start + i}", "success", None, None, False, None)
+            ("s", "g", key, h, 1 + i % 2, f"{1 + i % 2}_{i % 20}.log", 0, datetime(2026, 1, 1, 0, 0, start + i),
+             datetime(2026, 1, 1, 0, 0, start + i), f"{key}{start + i}", "success", None, None, False, None)
             for i, h in enumerate(hints)
         ],
         RAW,
@@ -157,13 +157,29 @@ HINTS = {
 }
 
 
-def test_hint_ranges_follow_arrival(spark):
+def test_runs_equal_a_plain_fold():
+    rng = random.Random(2)
+    pool = ["9", "10", "1a", "b", "100", "0f", "-3", "+7", "07"]
+    after = lambda state, runs, low: next(
+        (r for r, n, w, x in runs if c._replaces(state, None if n is None else int(n), w, x, low)), state
+    )
+    for _ in range(3000):
+        values = [rng.choice(pool) for _ in range(rng.randrange(1, 9))]
+        state = rng.choice(pool)
+        for side, low in enumerate((True, False)):
+            runs = c._runs(values, low)
+            assert runs[0][0] == expected_range(values)[side]
+            assert after(state, runs, low) == expected_range([state, *values])[side]
+
+
+@pytest.mark.parametrize("slice_seconds", [1, 60])
+def test_hint_ranges_follow_arrival(spark, slice_seconds):
     rng = random.Random(1)
     cases = dict(HINTS)
     for n in range(12):
         cases[f"random{n}"] = [rng.choice(["9", "10", "1a", "b", "100", "0f", None]) for _ in range(rng.randrange(1, 9))]
     raw = reduce(lambda a, b: a.unionByName(b), [raw_rows(spark, h, k) for k, h in cases.items()])
-    got = {r.visible_text: (r.sequence_hint_min, r.sequence_hint_max) for r in c.canonicalize(raw.repartition(6)).collect()}
+    got = {r.visible_text: (r.sequence_hint_min, r.sequence_hint_max) for r in c.canonicalize(raw.repartition(6), None, slice_seconds).collect()}
     assert got == {k: expected_range(h) for k, h in cases.items()}
 
 
