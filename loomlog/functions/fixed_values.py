@@ -98,6 +98,16 @@ EVENT_STATUS_LABELS = {
     "missed": "ミス・効果なし",
     "unconfirmed": "実行・結果未確認",
 }
+CONFIDENCE_LABELS = {"exact": "秒単位", "minute": "分単位", "estimated": "推定", "unknown": "不明"}
+ACTION_TYPE_LABELS = {
+    "normal_attack": "通常攻撃",
+    "normal_attack_critical": "通常攻撃（クリティカル）",
+    "weapon_skill": "WS",
+    "ability": "アビリティ",
+    "magic": "魔法",
+    "unknown": "未分類",
+}
+SESSION_STATUS_LABELS = {"active": "収集中", "completed": "完了", "aborted": "中断", "unknown": "不明"}
 UNPARSED_REASON = "actorまたはactionを特定できません。"
 UNKNOWN_TIME_WARNING = "分析開始時刻または終了時刻を確定できません。"
 EMPTY_TIME_WARNING = "分析時間が0秒以下のためDPSを算出できません。"

@@ -194,6 +194,15 @@ count(*) FILTER (hit_status = 'unknown') AS unknown_count, {stats()} FROM act WH
 
 CHECKS["action_summary"] = on_actions(SUMMARY)
 
+fmt = lambda column: f"coalesce(format('{{:,}}', CAST({column} AS BIGINT)), '-')"
+fmt2 = lambda column: f"coalesce(format('{{:,.2f}}', round({column}, 2)), '-')"
+TYPE_LABEL = "CASE action_type " + " ".join(
+    f"WHEN {text_literal(k)} THEN {text_literal(v)}" for k, v in fixed.ACTION_TYPE_LABELS.items()
+) + " END"
+CHECKS["action_table"] = on_actions(f"""SELECT actor, action_name, {TYPE_LABEL} AS action_type,
+{", ".join(f"{fmt(n)} AS {n}" for n in ("use_count", "hit_count", "miss_count", "unknown_count", "total_damage", "max_damage", "min_damage"))},
+coalesce(format('{{:.1f}}', round(hit_rate * 100, 1)) || '%', '-') AS hit_rate, {fmt2("average_damage")} AS average_damage FROM ({SUMMARY})""")
+
 CHECKS["damage_stats"] = on_actions(
     f"""SELECT *, {ratio("total_damage", "damage_values")} AS average_damage FROM
 (SELECT action_type, {stats()} FROM act WHERE parsed GROUP BY 1)"""
@@ -274,6 +283,15 @@ def on_actors(select: str, *more: str, source: str = "rng", before: tuple[str, .
 
 CHECKS["actor_summary"] = on_actors("SELECT * EXCLUDE (secs, incoming_average) FROM actors")
 
+with_counts = lambda rate, part, whole: (
+    f"coalesce(regexp_replace(format('{{:.1f}}', round({rate} * 100, 1)), '\\.0$', '') || '％', '-') || '(' || {fmt(part)} || '/' || {fmt(whole)} || ')'"
+)
+CHECKS["actor_table"] = on_actors(f"""SELECT actor,
+{", ".join(f"{fmt(n)} AS {n}" for n in ("total_damage", "use_count", "hit_count", "miss_count", "unknown_count"))},
+{fmt2("dps")} AS dps, '推定' AS time_confidence,
+{with_counts("normal_attack_hit_rate", "attack_hits", "(attack_hits + attack_misses)")} AS normal_attack_hit_rate,
+{with_counts("normal_attack_critical_rate", "attack_criticals", "attack_hits")} AS normal_attack_critical_rate FROM actors""")
+
 CHECKS["point_summary"] = ctes(LOG_CTE, RNG, OPEN_TIME) + f"""SELECT n AS point_name,
 CAST(coalesce(total, 0) AS BIGINT) AS total_points, CAST(coalesce(chain, 0) AS BIGINT) AS max_chain,
 coalesce(total, 0) * 3600.0 / (SELECT secs FROM duration) AS points_per_hour

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomlog.functions import fixed_values as fixed
+from loomlog.functions.display import table_columns
 from loomlog.functions.hashing import canonical_key
 from loomlog.functions.numbers import effective_hint, flex_long, meta_number
 from loomlog.functions.text import area_name, css_color, detect_marker, normalize_alias, normalize_name, normalize_text, alias_problem
@@ -135,6 +136,20 @@ def actor_summary(spark, sf_dir):
     return _actors(spark, sf_dir).drop("average_damage", "incoming_average")
 
 
+@query
+def action_table(spark, sf_dir):
+    """The action summary as it is exported."""
+    shown = table_columns("actions")
+    return summaries.summarize_actions(_actions(spark, sf_dir)).select(*[c.alias(n) for n, c in shown.items()])
+
+
+@query
+def actor_table(spark, sf_dir):
+    """The actor summary as it is exported."""
+    shown = table_columns("actors")
+    return _actors(spark, sf_dir).select(*[c.alias(n) for n, c in shown.items()])
+
+
 @query
 def normal_attack_rates(spark, sf_dir):
     return summaries.normal_attack_summary(_actions(spark, sf_dir))

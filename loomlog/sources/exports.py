@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from loomlog.functions import fixed_values as fixed
+from loomlog.functions.display import table_columns
 
 BOM = "\ufeff"
 EXPORT_PREFIX = "loomlog"
@@ -15,10 +16,9 @@ NAME_LIMIT = 40
 
 
 def layout(df: DataFrame, name: str) -> DataFrame:
-    """The columns of a named layout under their headings; everything becomes text."""
-    return df.select(
-        *[F.coalesce(F.col(column).cast("string"), F.lit("")).alias(heading) for column, heading in fixed.CSV_LAYOUTS[name]]
-    )
+    """The columns of a named layout, formatted for reading, under their headings."""
+    shown = table_columns(name)
+    return df.select(*[shown[column].alias(heading) for column, heading in fixed.CSV_LAYOUTS[name]])
 
 
 def export_csv(df: DataFrame, path: str, layout_name: str | None = None) -> None:

@@ -87,3 +87,17 @@ def test_export_names():
     assert export_name("a", None, None, day, "", "p") == "p_a_20260623_指定範囲.csv"
     assert safe_part(' a<b>:c. ', "f") == "a_b__c"
     assert safe_part("x" * 50, "f") == "x" * 40
+
+
+def test_display(spark):
+    from loomlog.functions import display as d
+    from loomlog.functions import fixed_values as fixed
+
+    frame = spark.createDataFrame([(0, 0.75, 3, 4, 1234.565), (1, 1 / 3, 1, 3, 12.125), (2, None, 0, 0, None)], "i INT, r DOUBLE, n INT, d INT, v DOUBLE")
+    got = frame.select(
+        "i", d.percent_with_counts("r", "n", "d").alias("a"), d.percent("r").alias("b"), d.grouped("v", 2).alias("c"), d.grouped("v").alias("e"),
+    ).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [
+        ("75％(3/4)", "75.0%", "1,234.57", "1,235"), ("33.3％(1/3)", "33.3%", "12.13", "12"), ("-(0/0)", "-", "-", "-"),
+    ]
+    assert values(spark, ["exact", "other"], lambda c: d.label(c, fixed.CONFIDENCE_LABELS)) == ["秒単位", "other"]

@@ -139,11 +139,11 @@ def test_manifest(spark, tmp_path):
 
 def test_csv(spark, tmp_path):
     table = spark.createDataFrame(
-        [("経験値", 5, 0, None), ('a,"b"', 1, 2, 1.5)], "point_name STRING, total_points BIGINT, max_chain BIGINT, points_per_hour DOUBLE"
+        [("経験値", 12345, 0, None), ('a,"b"', 1, 2, 1.5)], "point_name STRING, total_points BIGINT, max_chain BIGINT, points_per_hour DOUBLE"
     )
     exports.export_csv(table.coalesce(1), str(tmp_path / "csv"), "points")
     data = next((tmp_path / "csv").glob("*.csv")).read_bytes().decode()
-    assert data == '﻿ポイント種別,総合計,最大チェーン,時給\r\n経験値,5,0,\r\n"a,""b""",1,2,1.5\r\n'
+    assert data == '﻿ポイント種別,総合計,最大チェーン,時給\r\n経験値,"12,345",0,-\r\n"a,""b""",1,2,2\r\n'
 
 
 def test_flat_view(spark, tmp_path):
