@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomlog.functions import fixed_values as fixed
 from loomlog.functions.display import table_columns
 from loomlog.functions.hashing import canonical_key
 from loomlog.functions.numbers import effective_hint, flex_long, meta_number
-from loomlog.functions.text import area_name, css_color, detect_marker, normalize_alias, normalize_name, normalize_text, alias_problem
+from loomlog.functions.text import (
+    alias_problem, area_name, detect_marker, normalize_alias, normalize_name, normalize_text, session_label,
+)
 from loomlog.functions.times import elapsed_text, extract_message_time, parse_message_time
 from loomlog.operators import actors as who
 from loomlog.operators import areas, collection, exclusions, grouping, incoming, parsing, party, ranges, report, rules
@@ -21,7 +22,6 @@ from loomlog.plans.derived_raw import derived_json_lines, derived_raw, derived_s
 from loomlog.sources.lines import flatten_lines, replay
 from loomlog.sources.sessions import filter_sessions, session_rollup
 from loomlog.sources.snapshots import explode_snapshot_records, shape_snapshots
-from loomlog.functions.text import session_label
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

@@ -77,7 +77,11 @@ def upsert_batch(raw: DataFrame, batch: int, path: str) -> None:
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
-    """Write only the latest versions to a new folder, as version 0 of the table there."""
+    """Write only the latest versions to a new folder, as version 0 of the table there.
+
+    Every batch looks through all versions for the lines it touches, so a long run should move to a
+    compacted folder now and then.
+    """
     state = read_state(spark, path)
     if state is not None:
         state.drop("batch").write.mode("overwrite").parquet(f"{target}/batch=0")

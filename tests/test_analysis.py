@@ -188,10 +188,6 @@ def test_range_rules(make_log):
         ranges.select_range(log, ranges.Selection(point.marker(5), point.marker(4)))
 
 
-def marker(clock=None, seen=None):
-    return ranges.Endpoint.marker(1 if clock is None else hash(clock) % 5, "k", clock, seen)
-
-
 def test_time_of_markers(make_log):
     log = make_log({"visible_text": "a"})
 

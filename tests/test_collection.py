@@ -8,7 +8,6 @@ from functools import reduce
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import rows
 from loomlog.operators import collection as c
