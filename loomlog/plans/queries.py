@@ -50,7 +50,7 @@ def _actors(spark, sf_dir):
 
 
 def _registry(spark, sf_dir):
-    """Suppliers are registered others, customers of the first segment registered players."""
+    """Forty actor names are registered as players; the monsters and seven of these names as others, which wins."""
     names = [f"{c}{d}ara" for c in "ABCD" for d in "abcdefghij"]
     return who.name_registry(spark, pc=names, npc=["goblin", "Orc grunt", *names[:7]])
 
@@ -321,7 +321,7 @@ def restored_groups(spark, sf_dir):
 
 @query
 def excluded_rows_added(spark, sf_dir):
-    """Excluding every ungrouped-out miss line, as far as its group is not excluded already."""
+    """Excluding every miss line whose group is not excluded already."""
     log = derived_log(spark, sf_dir)
     records, groups = _exclusions(spark, sf_dir, log)
     flagged = exclusions.flag_excluded(log, records, groups)
