@@ -34,17 +34,25 @@ def build_session(app: str = "loomlog", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_SCRATCH: list[str] = []
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which every executor can reach; in local mode a scratch one if unset."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured is not None:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    if not _SCRATCH:
+        _SCRATCH.append(tempfile.mkdtemp(prefix="loomlog-checkpoint-"))
+    return _SCRATCH[0]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; fall back to a scratch one in local mode only."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="loomlog-checkpoint-")
-    context.setCheckpointDir(configured)
+    """Give Spark the shared checkpoint folder before the first ``checkpoint()``."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
 
 
 def pinned(df: DataFrame) -> DataFrame:
