@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomlog.llm.bpe import round_trip
 from loomlog.llm.common import documents
 from loomlog.llm.token_counts import token_counts
 
@@ -16,6 +17,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
 
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
+    "op9_bpe_round_trip": op9_bpe_round_trip,
 }
