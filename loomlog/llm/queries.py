@@ -5,14 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomlog.llm.bpe import round_trip
 from loomlog.llm.common import documents
+from loomlog.llm.media import fingerprints, to_wav
 from loomlog.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints show as their number and one digest of times and codes."""
+    found = fingerprints(to_wav(documents(spark, sf_dir)))
+    digest = F.sha1(F.to_json(F.struct("times", "codes")))
+    pairs = F.size("codes").cast("string")
+    return found.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
+        F.concat_ws(":", F.col("n_frames").cast("string"), pairs, digest).alias("feature"),
+    )
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
@@ -22,6 +35,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op5_media_fingerprints": op5_media_fingerprints,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_round_trip": op9_bpe_round_trip,
 }
