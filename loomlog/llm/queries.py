@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomlog.llm.bpe import round_trip
 from loomlog.llm.common import documents
+from loomlog.llm.exact import exact_groups
 from loomlog.llm.media import fingerprints, to_wav
 from loomlog.llm.token_counts import token_counts
 
@@ -34,8 +35,13 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir))
 
 
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op5_media_fingerprints": op5_media_fingerprints,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_exact_dedup": op10_exact_dedup,
 }
