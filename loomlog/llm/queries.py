@@ -11,6 +11,7 @@ from loomlog.llm.bpe import round_trip
 from loomlog.llm.common import documents
 from loomlog.llm.exact import exact_groups
 from loomlog.llm.media import fingerprints, to_wav
+from loomlog.llm.secrets import secret_spans
 from loomlog.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,10 @@ def op5_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
@@ -41,6 +46,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op5_media_fingerprints": op5_media_fingerprints,
+    "op7_secret_links": op7_secret_links,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_exact_dedup": op10_exact_dedup,
