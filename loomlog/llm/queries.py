@@ -11,12 +11,17 @@ from loomlog.llm.bpe import round_trip
 from loomlog.llm.common import documents
 from loomlog.llm.exact import exact_groups
 from loomlog.llm.media import fingerprints, to_wav
+from loomlog.llm.mixing import taken_words
 from loomlog.llm.secrets import secret_spans
 from loomlog.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(documents(spark, sf_dir))
+
+
 def op5_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprints show as their number and one digest of times and codes."""
     found = fingerprints(to_wav(documents(spark, sf_dir)))
@@ -45,6 +50,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_source_mix": op3_source_mix,
     "op5_media_fingerprints": op5_media_fingerprints,
     "op7_secret_links": op7_secret_links,
     "op8_token_counts": op8_token_counts,
