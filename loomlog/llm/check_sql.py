@@ -1,6 +1,25 @@
 """DuckDB SQL for the corpus operators that SQL can express; the others are tested against brute force."""
 
+# The base-32 form of a SHA-1: its hex digits as bits, five at a time.
+_BASE32 = """
+list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + list_reduce(list_transform(range(5), lambda j: CAST(substr(bits, CAST(i * 5 + j + 1 AS BIGINT), 1) AS INTEGER)),
+                    lambda a, b: a * 2 + b), 1)), lambda a, b: a || b)
+"""
+_BITS = """
+list_reduce(list_transform(range(40), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111',
+    1 + 4 * (instr('0123456789abcdef', substr(sha1(p), CAST(i + 1 AS BIGINT), 1)) - 1), 4)), lambda a, b: a || b)
+"""
+
 CHECKS: dict[str, str] = {
+    "op2_warc_segments": f"""
+WITH rows AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+marked AS (SELECT page_id, strlen(p) AS payload_bytes, {_BITS} AS bits, min(page_id) OVER (PARTITION BY p) AS first FROM rows)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM marked
+""",
     "op10_exact_dedup": r"""
 WITH rows AS (
     SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents

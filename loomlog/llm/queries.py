@@ -8,16 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.llm.bpe import round_trip
-from loomlog.llm.common import documents
+from loomlog.llm.common import documents, prepared, shared_folder
 from loomlog.llm.exact import exact_groups
+from loomlog.llm.langid import languages
 from loomlog.llm.media import fingerprints, to_wav
 from loomlog.llm.mixing import taken_words
 from loomlog.llm.secrets import secret_spans
 from loomlog.llm.token_counts import token_counts
+from loomlog.llm.warc import read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(documents(spark, sf_dir))
+
+
+def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    write_archives(prepared(spark).read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    return read_archives(spark, folder).drop("complete")
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(documents(spark, sf_dir))
 
@@ -50,6 +62,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
+    "op2_warc_segments": op2_warc_segments,
     "op3_source_mix": op3_source_mix,
     "op5_media_fingerprints": op5_media_fingerprints,
     "op7_secret_links": op7_secret_links,
