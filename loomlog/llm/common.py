@@ -100,8 +100,8 @@ _POWER: list[np.ndarray] = []
 
 def _power_tables(count: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWER or len(_POWER[0]) < count:
-        count = max(count, PIECE_BYTES + 1)
-        _POWER[:] = [_powers(count, _BASE), _powers(count, pow(_BASE, -1, 1 << 64))]
+        made = max(count, PIECE_BYTES + 1)
+        _POWER[:] = [_powers(made, _BASE), _powers(made, pow(_BASE, -1, 1 << 64))]
     return _POWER[0][:count], _POWER[1][:count]
 
 

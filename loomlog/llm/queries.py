@@ -14,6 +14,7 @@ from loomlog.llm.langid import languages
 from loomlog.llm.media import fingerprints, to_wav
 from loomlog.llm.mixing import taken_words
 from loomlog.llm.secrets import secret_spans
+from loomlog.llm.substring import without_repeats
 from loomlog.llm.token_counts import token_counts
 from loomlog.llm.warc import read_archives, write_archives
 
@@ -45,6 +46,10 @@ def op5_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(documents(spark, sf_dir))
+
+
 def op7_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(documents(spark, sf_dir))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op2_warc_segments": op2_warc_segments,
     "op3_source_mix": op3_source_mix,
     "op5_media_fingerprints": op5_media_fingerprints,
+    "op6_repeated_passages": op6_repeated_passages,
     "op7_secret_links": op7_secret_links,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_round_trip": op9_bpe_round_trip,
