@@ -30,16 +30,16 @@ from loomlog.llm.common import steps, texts
 from loomlog.llm.pretokens import units
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
-# States, pairs and units that one Python worker keeps, and the longest unit kept.
-STATES, PAIRS, REMEMBERED, REMEMBERED_LENGTH = 150_000, 600_000, 400_000, 64
+# States, and units and pre-tokens, that one Python worker keeps, and the longest unit kept.
+STATES, REMEMBERED, REMEMBERED_LENGTH = 350_000, 500_000, 64
 # Ids that the decoder takes at a time.
 DECODED = 1 << 14
 ROUND_TRIP = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, n_chars long"
 
 START = -1
 # The end of the input that begins a token, the last id written if it still matters, and for each place in that end
-# (from the last byte backwards) the ids since then, or None where no token can begin any more.
-State = tuple[bytes, int, tuple[tuple[int, ...] | None, ...]]
+# where a token may begin (counted from the last byte backwards) the ids since then.
+State = tuple[bytes, int, tuple[tuple[int, tuple[int, ...]], ...]]
 
 
 class Vocabulary:
@@ -106,93 +106,83 @@ class Transducer:
 
     def __init__(self, words: Vocabulary):
         self.words = words
-        self.follows: dict[tuple[int, int], bool] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.states: list[State] = []
         self.numbers: dict[State, int] = {}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self._number((b"", START, ((),)))
+        # By 256 times the state plus the byte: 256 times the next state, and the ids written.
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self._number((b"", START, ((0, ()),)))
 
     def _number(self, state: State) -> int:
         number = self.numbers.get(state)
         if number is None:
-            number = self.numbers[state] = len(self.states)
+            number = self.numbers[state] = len(self.states) << 8
             self.states.append(state)
-            self.moves.append({})
         return number
 
-    def _may_follow(self, before: int, token: int) -> bool:
-        key = (before, token)
-        found = self.follows.get(key)
-        if found is None:
-            if len(self.follows) >= PAIRS:
-                self.follows.clear()
-            made = self.words.made
-            found = token in made and (before == START or self.words.may_follow(before, token))
-            self.follows[key] = found
-        return found
-
-    def _move(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _move(self, key: int) -> tuple[int, tuple[int, ...]]:
         """Make the step from a state by one byte."""
-        end, last, paths = self.states[number]
-        end += bytes([byte])
-        ranks = self.words.ranks
-        for length in range(len(end), 0, -1):
-            token = ranks.get(end[len(end) - length:])
-            if token is None:
+        end, last, places = self.states[key >> 8]
+        end += bytes((key & 255,))
+        words = self.words
+        ranks, size = words.ranks, len(end)
+        for back, path in reversed(places):
+            token = ranks.get(end[size - back - 1:])
+            if token is None or token not in words.made:
                 continue
-            path = paths[length - 1]
-            if self._may_follow(path[-1] if path else last, token):
+            before = path[-1] if path else last
+            if before == START or words.may_follow(before, token):
                 break
         else:
             raise AssertionError("no token ends here")
-        beginnings = self.words.beginnings
-        while end and end not in beginnings:
-            end = end[1:]
-        size = len(end)
+        newest = (*path, token)
         # Only places from which the input still begins a token stay open.
-        open_paths = [(*path, token)]
-        held = [open_paths[0]]
-        for back in range(1, size + 1):
-            if back == size or end[size - back:] in beginnings:
-                open_paths.append(paths[back - 1])
-                held.append(paths[back - 1])
-            else:
-                held.append(None)
-        agreed = 0
-        shortest = min(map(len, open_paths))
-        while agreed < shortest and len({path[agreed] for path in open_paths}) == 1:
-            agreed += 1
-        written = open_paths[0][:agreed]
-        if written:
-            last = written[-1]
-        if agreed < shortest:
+        held = [(0, newest)]
+        beginnings = words.beginnings
+        reach = 0
+        agreed = newest
+        for back, path in places:
+            if end[size - back - 1:] in beginnings:
+                held.append((back + 1, path))
+                reach = back + 1
+                if path[:len(agreed)] != agreed:
+                    n = 0
+                    for x, y in zip(path, agreed):
+                        if x != y:
+                            break
+                        n += 1
+                    agreed = agreed[:n]
+        if agreed:
+            last = agreed[-1]
+        cut = len(agreed)
+        if all(len(path) > cut for _, path in held):
             # Every open place has an id of its own behind the last one written, so that one no longer matters.
             last = START
-        state = (end, last, tuple(path if path is None else path[agreed:] for path in held))
-        move = self.moves[number][byte] = (self._number(state), written)
+        state = (end[size - reach:], last, tuple((back, path[cut:]) for back, path in held))
+        move = self.moves[key] = (self._number(state), agreed)
         return move
 
-    def ids(self, data: bytes) -> list[int]:
+    def ids(self, data: bytes) -> tuple[int, ...] | list[int]:
         known = self.words.ranks.get(data)
         if known is not None:
-            return [known]
+            return (known,)
         if len(self.states) > STATES:
             self._reset()
-        at, out = 0, []
+        at, out, moves = 0, [], self.moves
         for byte in data:
-            move = self.moves[at].get(byte) or self._move(at, byte)
+            key = at + byte
+            move = moves[key] if key in moves else self._move(key)
             at = move[0]
             if move[1]:
                 out += move[1]
             if len(self.states) > 2 * STATES:
                 # A very long pre-token: keep the present state alone.
-                state = self.states[at]
+                state = self.states[at >> 8]
                 self._reset()
-                at = self._number(state)
-        out += self.states[at][2][0]
+                at, moves = self._number(state), self.moves
+        out += self.states[at >> 8][2][0][1]
         return out
 
 
@@ -228,31 +218,44 @@ class StreamDecoder:
 
 
 class Encoder:
-    """Texts to ids; remembers a bounded number of short units."""
+    """Texts to ids; remembers a bounded number of units and pre-tokens."""
 
     def __init__(self, path: str):
         self.words = vocabulary(path)
         self.transducer = Transducer(self.words)
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        # What is remembered: of two generations, the younger one is filled and then becomes the older one.
+        self.units: tuple[dict[str, tuple[int, ...]], dict[str, tuple[int, ...]]] = ({}, {})
+        self.pretokens: dict[str, tuple[int, ...]] = {}
 
     def _unit(self, unit: str) -> tuple[int, ...]:
-        ids = self.transducer.ids
-        return tuple(chain.from_iterable(ids(word.encode()) for word in self.split(unit)))
+        pretokens, found = self.pretokens, []
+        for word in self.split(unit):
+            ids = pretokens.get(word)
+            if ids is None:
+                ids = tuple(self.transducer.ids(word.encode()))
+                if len(word) <= REMEMBERED_LENGTH:
+                    if len(pretokens) >= REMEMBERED:
+                        pretokens.clear()
+                    pretokens[word] = ids
+            found.append(ids)
+        return found[0] if len(found) == 1 else tuple(chain.from_iterable(found))
 
     def encode(self, text: str) -> list[int]:
         first, rest = units(text)
+        young, old = self.units
         found = list(self._unit(first))
-        known = self.known
         for unit in rest:
-            ids = known.get(unit)
+            ids = young.get(unit)
             if ids is None:
-                ids = self._unit(" " + unit)
+                ids = old.get(unit)
+                if ids is None:
+                    ids = self._unit(" " + unit)
                 if len(unit) <= REMEMBERED_LENGTH:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[unit] = ids
+                    young[unit] = ids
             found += ids
+        if len(young) >= REMEMBERED // 2:
+            self.units = ({}, young)
         return found
 
 
