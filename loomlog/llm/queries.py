@@ -12,6 +12,7 @@ from loomlog.llm.common import documents, prepared, shared_folder
 from loomlog.llm.exact import exact_groups
 from loomlog.llm.langid import languages
 from loomlog.llm.media import fingerprints, to_wav
+from loomlog.llm.minhash import near_duplicates
 from loomlog.llm.mixing import taken_words
 from loomlog.llm.secrets import secret_spans
 from loomlog.llm.substring import without_repeats
@@ -35,6 +36,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(documents(spark, sf_dir))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op5_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprints show as their number and one digest of times and codes."""
     found = fingerprints(to_wav(documents(spark, sf_dir)))
@@ -70,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_warc_segments": op2_warc_segments,
     "op3_source_mix": op3_source_mix,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_media_fingerprints": op5_media_fingerprints,
     "op6_repeated_passages": op6_repeated_passages,
     "op7_secret_links": op7_secret_links,
