@@ -1,6 +1,6 @@
 """Near-duplicate detection with circulant MinHash.
 
-A document's set are the distinct shingles of ``SHINGLE`` words, A-Z taken as a-z. Two permutations of the 32-bit
+A document's set are the distinct shingles of ``shingle`` words (``SHINGLE`` unless said otherwise), A-Z taken as a-z. Two permutations of the 32-bit
 numbers make the whole signature: the first one scatters the shingles, the second one is read at each of ``ROWS`` times
 ``BANDS`` circular shifts, and a coordinate is the least number met. Equal sets are one class. Classes that agree in a
 band meet in a bucket, and links are confirmed on the full sets (``100 * intersection >= 80 * union``).
@@ -11,8 +11,8 @@ different components are compared one by one. So a group of thousands costs comp
 and no link is left out that joins two components. Two sets with a similarity of 0.8 share no band with a probability
 of (1 - 0.8**4)**32, less than one in twenty million.
 
-Documents without words (null or empty texts) have an empty set, are linked with nothing and are kept. Texts below four
-words have their whole word sequence as the one shingle. Rows that repeat a ``doc_id`` are one document. Rows with a null
+Documents without words (null or empty texts) have an empty set, are linked with nothing and are kept. Texts below one
+shingle have their whole word sequence as the one shingle. Rows that repeat a ``doc_id`` are one document. Rows with a null
 ``doc_id`` join the component of equal sets but never name one; with no named row they have no component and are kept.
 Texts are read whole.
 """
@@ -68,7 +68,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
-def shingle_lists(text: pa.Array) -> list[np.ndarray]:
+def shingle_lists(text: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     """Per text the hashes of its shingles in the order of places, repeated ones too."""
     data, places = byte_column(text)
     begins, ends, counts = word_places(data, places)
@@ -77,17 +77,17 @@ def shingle_lists(text: pa.Array) -> list[np.ndarray]:
     for first, last in zip(counts, counts[1:]):
         own = hashes[first:last]
         # A short sequence is told apart from a shingle by its number of words.
-        found.append(run_hashes(own, SHINGLE) if len(own) >= SHINGLE else run_hashes(own, len(own)) + np.uint64(len(own))
+        found.append(run_hashes(own, shingle) if len(own) >= shingle else run_hashes(own, len(own)) + np.uint64(len(own))
                      if len(own) else own)
     return found
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Per row the size and the hash of its set, and its band keys (none for an empty set)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches, 1 << 20):
-            lists = shingle_lists(step.column(1))
+            lists = shingle_lists(step.column(1), shingle)
             sets = [np.unique(x) for x in lists]
             hashes = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
             full = [n for n, x in enumerate(sets) if len(x)]
@@ -108,12 +108,12 @@ def sketches(docs: DataFrame) -> DataFrame:
     return raw_texts(docs).mapInArrow(sketch, SKETCH)
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id`` and the distinct shingles of ``doc_id``, ``text`` (bytes)."""
 
     def list_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches, 1 << 20):
-            sets = [np.unique(x).view(np.int64) for x in shingle_lists(step.column(1))]
+            sets = [np.unique(x).view(np.int64) for x in shingle_lists(step.column(1), shingle)]
             yield pa.RecordBatch.from_arrays(
                 [step.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"]
             )
@@ -196,9 +196,9 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
     return found.unionAll(_compared(pairs.join(known, ["a", "b"], "left_anti"), sets).filter("linked").select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Per row the size of its set, the smallest ``doc_id`` reachable by links, and whether that is its own."""
-    seen = stored(sketches(docs), "minhash-sketches")
+    seen = stored(sketches(docs, shingle), "minhash-sketches")
     classes = seen.filter("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("class_id"))
     banded = seen.join(
         classes.filter(F.col("class_id").isNotNull()), (seen.set_hash == classes.set_hash) & (seen.doc_id == classes.class_id)
@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "minhash-members",
     )
     wanted = members.select(F.col("doc").alias("doc_id")).distinct()
-    sets = stored(full_sets(raw_texts(docs).join(wanted, "doc_id", "left_semi")), "minhash-sets")
+    sets = stored(full_sets(raw_texts(docs).join(wanted, "doc_id", "left_semi"), shingle), "minhash-sets")
     labels = components(links(members, sets)).withColumnRenamed("node", "class_id")
     named = classes.join(labels, "class_id", "left").select(
         "set_hash", F.coalesce("component", "class_id").alias("component_id")
