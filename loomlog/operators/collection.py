@@ -123,7 +123,7 @@ def _as_parts(raw: DataFrame) -> DataFrame:
     """Raw records in the shape in which lines are merged."""
     return valid_records(raw).select(
         "session_id",
-        canonical_key("event_group", "visible_text").alias("canonical_key"),
+        line_key().alias("canonical_key"),
         "first_seen_at",
         F.col("first_seen_at").alias("last_seen_at"),
         F.array("window_id").alias("source_windows"),
@@ -346,11 +346,16 @@ def fold_hints(parts: DataFrame, irregular: DataFrame, slice_seconds: int = FOLD
     return chained.groupBy(*CANONICAL_KEYS).agg(side("low").alias("folded_min"), side("high").alias("folded_max"))
 
 
+def line_key() -> Column:
+    """The canonical key of a raw record's line."""
+    return canonical_key("event_group", "visible_text")
+
+
 def canonical_sources(raw: DataFrame) -> DataFrame:
     """Which raw records each canonical line came from: distinct pairs, in long form."""
     return (
         valid_records(raw)
-        .select("session_id", canonical_key("event_group", "visible_text").alias("canonical_key"), "raw_record_id")
+        .select("session_id", line_key().alias("canonical_key"), "raw_record_id")
         .distinct()
     )
 

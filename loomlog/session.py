@@ -34,6 +34,12 @@ def build_session(app: str = "loomlog", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, asked of the store that it lies in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
 _SCRATCH: list[str] = []
 
 

@@ -1,23 +1,35 @@
-"""Collection as a stream: the batch operators on micro-batches, with state kept where it belongs."""
+"""Collection as a stream: the batch operators on micro-batches, with everything ever seen kept in tables.
+
+Under one folder lie three tables, each with one version per batch:
+
+* ``lines``: canonical lines that the batch made or changed, by bucket of their key;
+* ``raw``: ids of the raw records that the batch brought for the first time, by bucket of the id;
+* ``lasts``: the last order number of the sessions that the batch gave numbers to.
+
+A batch looks only at versions before its own and writes its own version anew when it runs again, so the result is
+exactly once. Nothing is ever forgotten: a record may come any time later and still merges, or is known and skipped.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomlog.functions import fixed_values as fixed
 from loomlog.operators import collection as c
 from loomlog.operators.collection import CANONICAL_KEYS
 from loomlog.operators.scans import dense_order
+from loomlog.session import path_exists
 from loomlog.sources.snapshots import explode_snapshot_records, stream_snapshots
 
-
-def dedupe_raw_stream(raw: DataFrame, horizon: str = "1 day") -> DataFrame:
-    """Raw duplicates across micro-batches. State is dropped after ``horizon``; later copies merge anyway."""
-    return raw.withWatermark("first_seen_at", horizon).dropDuplicatesWithinWatermark(["session_id", "raw_record_id"])
+RAW_KEYS = ["session_id", "raw_record_id"]
+# Files of a version. Each holds few buckets, so their statistics tell which files a few keys can be in.
+BUCKETS = 16
+# The version of a compacted folder: before any batch of a query.
+BASE = -1
 
 
 def stream_raw(
@@ -25,70 +37,115 @@ def stream_raw(
     landing: str,
     session_id: str,
     baseline: DataFrame | None = None,
-    horizon: str | None = "1 day",
     windows: Sequence[int] = (1, 2),
     slots: int = fixed.MAX_SLOTS,
     files_per_batch: int = 1000,
 ) -> DataFrame:
-    """Raw records of the snapshots that land in a folder; baseline records never come out."""
+    """Raw records of the snapshots that land in a folder; baseline records never come out.
+
+    Records that were read before come out again; :func:`upsert_batch` knows them by id, however late they are.
+    """
     records = explode_snapshot_records(stream_snapshots(spark, landing, windows, slots, files_per_batch))
     if baseline is not None:
         records = c.drop_baseline(records, baseline)
-    raw = c.project_raw(records, session_id)
-    return dedupe_raw_stream(raw, horizon) if horizon else raw
+    return c.project_raw(records, session_id)
+
+
+def _bucket(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def _versions(spark: SparkSession, path: str, table: str, before: int | None) -> DataFrame | None:
+    """All versions of a table before a batch; None when there is none. A broken folder is an error."""
+    folder = f"{path}/{table}"
+    if not path_exists(spark, folder):
+        return None
+    versions = spark.read.option("basePath", folder).parquet(folder)
+    return versions if before is None else versions.filter(F.col("batch") < before)
+
+
+def _write(table: DataFrame, path: str, name: str, batch: int, keys: Sequence[str]) -> None:
+    table.withColumn("bucket", _bucket(keys)).repartition(BUCKETS, "bucket").write.mode("overwrite").parquet(
+        f"{path}/{name}/batch={batch}"
+    )
+
+
+def _latest(versions: DataFrame) -> DataFrame:
+    fields = [n for n in versions.columns if n not in CANONICAL_KEYS and n != "bucket"]
+    latest = F.max_by(F.struct(*fields), F.col("batch")).alias("_v")
+    return versions.groupBy(*CANONICAL_KEYS).agg(latest).select(*CANONICAL_KEYS, "_v.*")
 
 
 def read_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """The canonical lines as of a batch: the latest version of every key, or None when nothing is stored."""
-    try:
-        changes = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    if before is not None:
-        changes = changes.filter(F.col("batch") < before)
-    latest = F.max_by(F.struct(*[n for n in changes.columns if n not in CANONICAL_KEYS]), F.col("batch")).alias("_v")
-    return changes.groupBy(*CANONICAL_KEYS).agg(latest).select(*CANONICAL_KEYS, "_v.*")
+    versions = _versions(spark, path, "lines", before)
+    return None if versions is None else _latest(versions)
+
+
+def new_records(raw: DataFrame, batch: int, path: str) -> DataFrame:
+    """Records of a batch that no batch before it brought, each once."""
+    fresh = c.dedupe_raw(raw)
+    known = _versions(raw.sparkSession, path, "raw", batch)
+    if known is None:
+        return fresh
+    keyed = fresh.withColumn("bucket", _bucket(RAW_KEYS))
+    return keyed.join(known.select("bucket", *RAW_KEYS), ["bucket", *RAW_KEYS], "left_anti").drop("bucket")
 
 
 def upsert_batch(raw: DataFrame, batch: int, path: str) -> None:
     """Merge one micro-batch into the canonical lines.
 
-    Changed lines are written as a new version under ``batch=<n>``; a batch that is run again after
-    a failure overwrites its own version, so the result is exactly once. Only lines the batch
-    touches are read back. New lines get the next order numbers of their session.
+    The batch is worked out once. Only versions of lines it touches are read back; new lines get the next order numbers
+    of their session.
     """
     spark = raw.sparkSession
-    stored = read_state(spark, path, before=batch)
-    if stored is None:
-        merged, lasts = c.canonicalize(raw), None
-    else:
-        touched = c.canonical_sources(raw).select(*CANONICAL_KEYS).distinct()
-        merged = c.canonicalize(raw, stored.join(touched, CANONICAL_KEYS, "left_semi"))
-        lasts = stored.groupBy("session_id").agg(F.max("order").alias("_last"))
-    fresh = dense_order(
-        merged.filter(F.col("order").isNull()).drop("order"), ["first_arrival", "canonical_key"], ["session_id"], "order"
-    )
-    if lasts is not None:
-        fresh = fresh.join(lasts, "session_id", "left").withColumn(
-            "order", F.col("order") + F.coalesce(F.col("_last"), F.lit(0))
-        ).drop("_last")
-    versions = merged.filter(F.col("order").isNotNull()).unionByName(fresh)
-    versions.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    fresh = new_records(raw, batch, path).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        versions, lasts = _versions(spark, path, "lines", batch), _versions(spark, path, "lasts", batch)
+        state = None
+        if versions is not None:
+            touched = c.valid_records(fresh).select("session_id", c.line_key().alias("canonical_key")).distinct()
+            touched = touched.withColumn("bucket", _bucket(CANONICAL_KEYS))
+            state = _latest(versions.join(touched, ["bucket", *CANONICAL_KEYS], "left_semi"))
+        merged = c.canonicalize(fresh, state)
+        numbered = dense_order(
+            merged.filter(F.col("order").isNull()).drop("order"), ["first_arrival", "canonical_key"], ["session_id"], "order"
+        )
+        if lasts is not None:
+            last = lasts.groupBy("session_id").agg(F.max("last").alias("_last"))
+            numbered = numbered.join(last, "session_id", "left").withColumn(
+                "order", F.col("order") + F.coalesce(F.col("_last"), F.lit(0))
+            ).drop("_last")
+        # The ids are written last but one and the lines first: a batch that broke off is run again as a whole.
+        _write(merged.filter(F.col("order").isNotNull()).unionByName(numbered), path, "lines", batch, CANONICAL_KEYS)
+        written = spark.read.parquet(f"{path}/lines/batch={batch}")
+        ends = written.groupBy("session_id").agg(F.max("order").alias("last"))
+        ends.write.mode("overwrite").parquet(f"{path}/lasts/batch={batch}")
+        _write(fresh.select(*RAW_KEYS), path, "raw", batch, RAW_KEYS)
+    finally:
+        fresh.unpersist()
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
-    """Write only the latest versions to a new folder, as version 0 of the table there.
-
-    Every batch looks through all versions for the lines it touches, so a long run should move to a
-    compacted folder now and then.
-    """
+    """Write what is current to a new folder, as a version before all batches of a query that goes on there."""
     state = read_state(spark, path)
-    if state is not None:
-        state.drop("batch").write.mode("overwrite").parquet(f"{target}/batch=0")
+    if state is None:
+        return
+    _write(state.drop("batch"), target, "lines", BASE, CANONICAL_KEYS)
+    _write(_versions(spark, path, "raw", None).select(*RAW_KEYS).distinct(), target, "raw", BASE, RAW_KEYS)
+    lasts = _versions(spark, path, "lasts", None).groupBy("session_id").agg(F.max("last").alias("last"))
+    lasts.write.mode("overwrite").parquet(f"{target}/lasts/batch={BASE}")
 
 
 def canonicalize_stream(raw: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Keep the canonical lines under ``path`` up to date. Without ``interval`` it runs what is there and ends."""
+    """Keep the canonical lines under ``path`` up to date. Without ``interval`` it runs what is there and ends.
+
+    A new checkpoint counts its batches from 0, so it must not meet the batches of another one: go on in a compacted
+    folder.
+    """
+    spark = raw.sparkSession
+    if not path_exists(spark, f"{checkpoint}/metadata") and path_exists(spark, f"{path}/lines/batch=0"):
+        raise ValueError(f"{path} holds the batches of another checkpoint: compact it to a new folder first")
     writer = (
         raw.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)

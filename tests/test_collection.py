@@ -199,6 +199,46 @@ def test_merging_in_batches_equals_merging_at_once(spark, tmp_path):
     assert rows(sc.read_state(spark, str(tmp_path / "compact")), *shape) == rows(state, *shape)
 
 
+def test_a_known_record_never_merges_twice(spark, tmp_path):
+    path = str(tmp_path / "canonical")
+    first, later = raw_rows(spark, ["1", "2"]), raw_rows(spark, ["2", "3"], start=1)
+    sc.upsert_batch(first, 0, path)
+    sc.upsert_batch(later, 1, path)
+    whole = c.canonicalize(c.dedupe_raw(first.unionByName(later)))
+    shape = ("canonical_key", "record_count", "sequence_hint_min", "sequence_hint_max")
+    assert rows(sc.read_state(spark, path), *shape) == rows(whole, *shape)
+    assert sc.read_state(spark, path).first().record_count == 3
+
+
+def test_a_new_query_goes_on_after_compaction(spark, tmp_path):
+    path, target = str(tmp_path / "canonical"), str(tmp_path / "compact")
+    sc.upsert_batch(raw_rows(spark, ["1"], "a").unionByName(raw_rows(spark, ["1"], "b", 1)), 0, path)
+    sc.compact(spark, path, target)
+    # Batch 0 of the next query: one known record, one new record of a known line, one new line.
+    again = raw_rows(spark, ["1"], "a").unionByName(raw_rows(spark, ["5"], "b", 7)).unionByName(raw_rows(spark, ["2"], "c", 3))
+    for _ in range(2):
+        sc.upsert_batch(again, 0, target)
+        assert rows(sc.read_state(spark, target), "visible_text", "record_count", "order") == [("a", 1, 1), ("b", 2, 2), ("c", 1, 3)]
+
+
+def test_a_broken_state_is_an_error(spark, tmp_path):
+    (tmp_path / "lines" / "batch=0").mkdir(parents=True)
+    (tmp_path / "lines" / "batch=0" / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        sc.upsert_batch(raw_rows(spark, ["1"]), 1, str(tmp_path))
+
+
+def test_late_snapshots_are_not_lost(spark, landing, tmp_path):
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    for number, day in enumerate((10, 7, 8)):
+        folder = str(tmp_path / "landing")
+        put(folder + f"/day{day}", "1_1.log", snapshot(record(f"日{day}", f"e{day}", "1")), 86_400 * day)
+        sc.canonicalize_stream(sc.stream_raw(spark, folder, "s"), out, check).awaitTermination(120)
+        assert sc.read_state(spark, out).count() == number + 1
+    with pytest.raises(ValueError):
+        sc.canonicalize_stream(sc.stream_raw(spark, folder, "s"), out, str(tmp_path / "other"))
+
+
 def test_stream_equals_batch(spark, landing, tmp_path):
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
     sc.canonicalize_stream(sc.stream_raw(spark, landing, "s", files_per_batch=1), out, check).awaitTermination(120)
