@@ -70,7 +70,8 @@ def _subwords(codes: np.ndarray, count: int) -> Iterator[tuple[np.ndarray, np.nd
             key = key * np.uint32(0x01000193) ^ codes[n:n + count]
             if 0 < n < length - 1:
                 inner |= blank[n:n + count]
-        whole = ~inner & ~(blank[:count] & blank[length - 1:length - 1 + count])
+        # Longer runs have a word between their blanks.
+        whole = ~inner if length > 2 else ~(blank[:count] & blank[1:1 + count])
         key ^= key >> np.uint32(15)
         key *= np.uint32(0x2C1B3C6D)
         yield (key >> np.uint32(16)) % np.uint32(BUCKETS), whole

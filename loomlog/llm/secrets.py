@@ -130,6 +130,10 @@ def _joined(items: Column) -> Column:
     )
 
 
+def _count(kind: int) -> Column:
+    return F.size(F.filter("items", lambda s: s["kind"] == kind))
+
+
 def secret_spans(docs: DataFrame) -> DataFrame:
     """Per document the numbers of base findings, the digest of their list, and the list with linked candidates."""
     matches = scanned(docs)
@@ -140,8 +144,6 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     rows = matches.select("row", "doc_id").join(lists, "row", "left").withColumn(
         "items", F.coalesce("items", F.array().cast("array<struct<begin:bigint,kind:int,end:bigint>>"))
     )
-    counts = [
-        F.size(F.filter("items", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{KINDS[n]}") for n in range(BASE)
-    ]
+    counts = [_count(kind).cast("long").alias(f"n_{KINDS[kind]}") for kind in range(BASE)]
     base = F.filter("items", lambda s: s["kind"] < BASE)
     return rows.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("items")).alias("spans"))
