@@ -360,15 +360,9 @@ def canonical_sources(raw: DataFrame) -> DataFrame:
     )
 
 
-def with_source_ids(canonical: DataFrame, sources: DataFrame, inline_limit: int = 10_000) -> DataFrame:
-    """Add ``source_raw_record_ids`` as the stored format has it.
-
-    A line with more sources than ``inline_limit`` gets null here: its complete list is the source
-    table, which the sink writes beside the lines.
-    """
-    counts = sources.groupBy(*CANONICAL_KEYS).agg(F.count(F.lit(1)).alias("_ids"))
-    small = sources.join(counts.filter(F.col("_ids") <= inline_limit), CANONICAL_KEYS)
-    nested = small.groupBy(*CANONICAL_KEYS).agg(
+def with_source_ids(canonical: DataFrame, sources: DataFrame) -> DataFrame:
+    """Add ``source_raw_record_ids`` as the stored format has it: always the complete list."""
+    nested = sources.groupBy(*CANONICAL_KEYS).agg(
         F.array_sort(F.collect_list("raw_record_id")).alias("source_raw_record_ids")
     )
     return canonical.join(nested, CANONICAL_KEYS, "left")
@@ -382,7 +376,8 @@ def assign_order(canonical: DataFrame, last: int = 0) -> DataFrame:
 def combine_sessions(log: DataFrame) -> DataFrame:
     """One log out of several: by first seen, session, old order, then reading order; dense from 1.
 
-    The old order is kept as ``session_order``.
+    The old order is kept as ``session_order``. ``read_index`` becomes the place in the combined log, so that ties of
+    other sort keys never depend on places in different files.
     """
     old = log.withColumnRenamed("order", "session_order")
     by = [
@@ -391,7 +386,7 @@ def combine_sessions(log: DataFrame) -> DataFrame:
         F.col("session_order").isNull(), F.col("session_order"),
         *[F.col(c) for c in ("session_folder", "read_index") if c in log.columns],
     ]
-    return dense_order(old, by, name="order")
+    return dense_order(old, by, name="order").withColumn("read_index", F.col("order") - 1)
 
 
 def collection_stats(records: DataFrame, raw: DataFrame, deduped: DataFrame, canonical: DataFrame,
@@ -417,9 +412,18 @@ def collection_stats(records: DataFrame, raw: DataFrame, deduped: DataFrame, can
 
 
 def fingerprint(log: DataFrame) -> DataFrame:
-    """One row that changes when the lines change: count and an order-free hash of what is shown."""
-    row = F.xxhash64("session_id", "order", "last_seen_at", "sequence_hint_min", "visible_text")
-    return log.agg(
+    """One row that changes when the lines change: count and order-free sums over a digest of what is shown.
+
+    The digest's first 24 hex digits are summed in four parts of 24 bits, which no number of lines makes overflow.
+    """
+    column = lambda name: F.col(name).cast("string") if name in log.columns else F.lit(None).cast("string")
+    shown = [
+        column("session_id"), column("order"), F.date_format("last_seen_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+        column("sequence_hint_min"), column("sequence_hint_max"), column("visible_text"),
+    ]
+    digest = F.sha1(F.concat_ws("\x1f", *(F.coalesce(c, F.lit("\x1e")) for c in shown)))
+    part = lambda n: F.conv(F.substring(F.col("_digest"), 6 * n + 1, 6), 16, 10).cast("bigint")
+    return log.select("order", digest.alias("_digest")).agg(
         F.count(F.lit(1)).alias("lines"), F.max("order").alias("last_order"),
-        F.bit_xor(row).alias("xor_hash"), F.sum(F.pmod(row, F.lit(1_000_003))).alias("sum_hash"),
+        *(F.sum(part(n)).alias(f"hash{n + 1}") for n in range(4)),
     )

@@ -45,13 +45,10 @@ def flag_excluded(log: DataFrame, records: DataFrame, groups: DataFrame) -> Data
 
 
 def apply_exclusions(log: DataFrame, records: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split a range into (included, excluded) lines."""
-    lines = as_log(log)
-    included = lines.join(records, _scope(lines, records) + RECORD_KEY, "left_anti").join(
-        groups, _scope(lines, groups) + GROUP_KEY, "left_anti"
-    )
-    flagged = flag_excluded(lines, records, groups)
-    return included, flagged.filter("is_excluded").drop("record_excluded", "group_excluded", "is_excluded")
+    """Split a range into (included, excluded) lines: flagged once, filtered twice."""
+    flagged = flag_excluded(as_log(log), records, groups)
+    flags = ("record_excluded", "group_excluded", "is_excluded")
+    return flagged.filter(~F.col("is_excluded")).drop(*flags), flagged.filter("is_excluded").drop(*flags)
 
 
 def exclusion_counts(excluded: DataFrame) -> DataFrame:
@@ -83,37 +80,34 @@ def edit_exclusions(
     """Apply ``exclude_rows``, ``restore_rows``, ``exclude_groups`` or ``restore_groups``.
 
     A row edit is refused when a row has no key or its whole group is excluded. A group edit also
-    clears the row keys of that group, hidden rows of the log included.
+    clears the row keys of that group, hidden rows of the log included. Where the tables name folders, an edit concerns
+    the folders of the selected lines only.
     """
+    record_key, group_key = _scope(selected, records) + RECORD_KEY, _scope(selected, groups) + GROUP_KEY
     refuse = lambda why: Edit(records, groups, False, why)
     if selected.isEmpty():
         return refuse("nothing_selected")
     if operation in ("exclude_rows", "restore_rows"):
         if not selected.filter(is_blank("session_id") | is_blank("canonical_record_id")).isEmpty():
             return refuse("row_key_missing")
-        if not selected.join(groups, GROUP_KEY, "left_semi").isEmpty():
+        if not selected.join(groups, group_key, "left_semi").isEmpty():
             return refuse("group_excluded")
-        keys = selected.select(*RECORD_KEY)
+        keys, old = selected.select(*record_key), records.select(*record_key)
         changed_records = (
-            records.select(*RECORD_KEY).union(keys).distinct()
-            if operation == "exclude_rows"
-            else records.select(*RECORD_KEY).join(keys, RECORD_KEY, "left_anti")
+            old.union(keys).distinct() if operation == "exclude_rows" else old.join(keys, record_key, "left_anti")
         )
-        return Edit(changed_records, groups, _differs(records.select(*RECORD_KEY), changed_records))
+        return Edit(changed_records, groups, _differs(old, changed_records))
     if operation in ("exclude_groups", "restore_groups"):
         if not selected.filter(is_blank("session_id") | is_blank("event_group")).isEmpty():
             return refuse("group_key_missing")
-        keys = selected.select(*GROUP_KEY).distinct()
+        keys, old = selected.select(*group_key).distinct(), groups.select(*group_key)
         changed_groups = (
-            groups.select(*GROUP_KEY).union(keys).distinct()
-            if operation == "exclude_groups"
-            else groups.select(*GROUP_KEY).join(keys, GROUP_KEY, "left_anti")
-        )
-        inside = log.join(keys, GROUP_KEY, "left_semi").select(*RECORD_KEY)
-        changed_records = records.select(*RECORD_KEY).join(inside, RECORD_KEY, "left_anti")
-        changed = _differs(groups.select(*GROUP_KEY), changed_groups) or _differs(
-            records.select(*RECORD_KEY), changed_records
+            old.union(keys).distinct() if operation == "exclude_groups" else old.join(keys, group_key, "left_anti")
         )
+        inside = log.join(keys, group_key, "left_semi").select(*record_key)
+        rows = records.select(*record_key)
+        changed_records = rows.join(inside, record_key, "left_anti")
+        changed = _differs(old, changed_groups) or _differs(rows, changed_records)
         return Edit(changed_records, changed_groups, changed)
     raise ValueError(f"unknown operation {operation!r}")
 
@@ -122,7 +116,8 @@ def edit_eligibility(selected: DataFrame, flagged: DataFrame) -> DataFrame:
     """One row telling which edits the selected lines allow (both inputs from :func:`flag_excluded`)."""
     rows_ok = F.bool_and(~is_blank("session_id") & ~is_blank("canonical_record_id") & ~F.col("group_excluded"))
     groups_ok = F.bool_and(~is_blank("session_id") & ~is_blank("event_group"))
-    hidden = flagged.filter("is_excluded").join(selected.select(*GROUP_KEY).distinct(), GROUP_KEY, "left_semi")
+    key = _scope(selected, flagged) + GROUP_KEY
+    hidden = flagged.filter("is_excluded").join(selected.select(*key).distinct(), key, "left_semi")
     return (
         selected.agg(
             rows_ok.alias("rows_ok"),

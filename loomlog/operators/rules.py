@@ -114,12 +114,10 @@ class RuleSet:
     miss_words: tuple[str, ...] = fixed.MISS_WORDS
 
     @classmethod
-    def with_catalog(cls, catalog: DataFrame, max_names: int = 10_000, **rules) -> "RuleSet":
-        """Read the catalogue from a table with a ``name`` column; refuse one that is not a catalogue."""
-        names = [r[0] for r in catalog.select("name").distinct().limit(max_names + 1).collect()]
-        if len(names) > max_names:
-            raise ValueError(f"a catalogue of more than {max_names} names does not fit a rule set")
-        return cls(weapon_skills=tuple(sorted(names)), **rules)
+    def with_catalog(cls, catalog: DataFrame, **rules) -> "RuleSet":
+        """Read the catalogue from a table with a ``name`` column (its distinct names become part of the plan)."""
+        names = (r[0] for r in catalog.select("name").distinct().collect())
+        return cls(weapon_skills=tuple(sorted(n for n in names if n is not None)), **rules)
 
     def is_weapon_skill(self, name: Column) -> Column:
         return name.isin(*self.weapon_skills) if self.weapon_skills else F.lit(False)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from loomlog.operators import exclusions as ex
+from loomlog.operators.collection import combine_sessions
 from loomlog.operators.incoming import incoming_results
 from loomlog.operators.parsing import parse_groups
 from loomlog.operators.party import party_metrics, party_totals, roster
@@ -16,6 +17,7 @@ from loomlog.operators.rules import DEFAULT_RULES, RuleSet
 from loomlog.operators.summaries import summarize_actions, summarize_actors, summarize_points
 from loomlog.operators.timeline import build_timeline
 from loomlog.schemas import as_log
+from loomlog.sources.sessions import blocked_sessions
 
 RECORD_KEYS = "session_id STRING, canonical_record_id STRING"
 GROUP_KEYS = "session_id STRING, event_group STRING"
@@ -63,10 +65,18 @@ def analyze(
     rules: RuleSet = DEFAULT_RULES,
     with_timeline: bool = True,
     accept_unbracketed: bool = False,
+    exclusion_errors: DataFrame | None = None,
+    combined: bool = False,
 ) -> Analysis:
-    """Analyse one range. Time is settled on the whole range, sums on what is not excluded."""
+    """Analyse one range. Time is settled on the whole range, sums on what is not excluded.
+
+    The sessions of ``log`` are put into one order first, to which ``selection`` refers; ``combined`` says that this was
+    done. Folders whose exclusions could not be read (``exclusion_errors``) must not be analysed.
+    """
     spark = log.sparkSession
-    lines = select_range(as_log(log), selection)
+    if exclusion_errors is not None and not blocked_sessions(log, exclusion_errors).isEmpty():
+        raise ValueError("the exclusions of some folders could not be read")
+    lines = select_range(as_log(log if combined else combine_sessions(as_log(log))), selection)
     time = resolve_time(lines, selection, accept_unbracketed)
     if excluded_records is None and excluded_groups is None:
         included, excluded = lines, lines.filter(F.lit(False))

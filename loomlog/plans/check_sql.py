@@ -377,12 +377,15 @@ CHECKS["included_summary"] = on_actors(
     source="kept", before=(excluded("rng"), "kept AS (SELECT * FROM flg WHERE NOT is_excluded)"),
 )
 CHECKS["restored_groups"] = ctes(LOG_CTE, excluded("log")) + """,
-back AS (SELECT DISTINCT session_id, event_group FROM flg WHERE group_excluded AND contains(visible_text, 'Goblin'))
-SELECT 'record' AS kind, session_id, canonical_record_id AS id FROM xr WHERE canonical_record_id NOT IN
-(SELECT canonical_record_id FROM log JOIN back USING (session_id, event_group))
-UNION ALL SELECT 'group', session_id, event_group FROM xg WHERE (session_id, event_group) NOT IN (SELECT (session_id, event_group) FROM back)"""
-CHECKS["excluded_rows_added"] = ctes(LOG_CTE, excluded("log")) + """SELECT session_id, canonical_record_id FROM xr UNION
-SELECT session_id, canonical_record_id FROM flg WHERE NOT group_excluded AND contains(visible_text, 'ミス')"""
+back AS (SELECT DISTINCT session_folder, session_id, event_group FROM flg WHERE group_excluded AND contains(visible_text, 'Goblin'))
+SELECT 'record' AS kind, session_folder, session_id, canonical_record_id AS id FROM xr WHERE (session_folder, canonical_record_id) NOT IN
+(SELECT (session_folder, canonical_record_id) FROM log JOIN back USING (session_folder, session_id, event_group))
+UNION ALL SELECT 'group', session_folder, session_id, event_group FROM xg
+WHERE (session_folder, session_id, event_group) NOT IN (SELECT (session_folder, session_id, event_group) FROM back)"""
+CHECKS["excluded_rows_added"] = ctes(LOG_CTE, excluded("log")) + """SELECT 'record' AS kind, session_folder, session_id,
+canonical_record_id AS id FROM xr UNION
+SELECT 'record', session_folder, session_id, canonical_record_id FROM flg WHERE NOT group_excluded AND contains(visible_text, 'ミス')
+UNION ALL SELECT 'group', session_folder, session_id, event_group FROM xg"""
 
 HITS = "hits AS (SELECT * FROM log WHERE contains(lower(visible_text), 'goblin'))"
 CHECKS["log_search"] = ctes(LOG_CTE, HITS) + 'SELECT "order", visible_text FROM hits'
@@ -497,6 +500,28 @@ CASE WHEN declares THEN action_type END AS declared_type, CASE WHEN declares THE
 CASE WHEN declares THEN action_name END AS declared_action, is_start FROM dec"""
 CHECKS["timeline_events"] = on_timeline("SELECT * EXCLUDE (order_min) FROM ev")
 CHECKS["numbered_timeline"] = on_timeline("SELECT event_no, session_id, event_group FROM evn")
+# Packing walks from row to row; a row's size depends on the next two events.
+WALK = """sz AS MATERIALIZED (SELECT event_no, CASE WHEN two AND three THEN 3 WHEN two THEN 2 ELSE 1 END AS size FROM (SELECT event_no,
+coalesce(lead(session_id) OVER w = session_id AND lead(reference_time) OVER w IS NOT DISTINCT FROM reference_time
+AND lead(actor) OVER w <> actor, FALSE) AS two,
+coalesce(lead(session_id, 2) OVER w = session_id AND lead(reference_time, 2) OVER w IS NOT DISTINCT FROM reference_time
+AND lead(actor, 2) OVER w <> actor AND lead(actor, 2) OVER w <> lead(actor) OVER w, FALSE) AS three
+FROM evn WINDOW w AS (ORDER BY event_no))),
+walk AS (SELECT event_no AS pos, CAST(1 AS BIGINT) AS row_no, size FROM sz WHERE event_no = 1
+UNION ALL SELECT sz.event_no, row_no + 1, sz.size FROM walk JOIN sz ON sz.event_no = walk.pos + walk.size)"""
+
+
+def on_layout(select: str) -> str:
+    return on_timeline(select, WALK).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+CHECKS["layout_rows"] = on_layout(
+    "SELECT pos + k AS event_no, row_no, k + 1 AS row_place FROM (SELECT pos, row_no, unnest(range(size)) AS k FROM walk)"
+)
+CHECKS["layout_changes"] = on_layout("""SELECT row_no, first_event, last_event, session_id, reference_time, new_session AS show_session,
+reference_time IS NOT NULL AND (new_session OR reference_time IS DISTINCT FROM lag(reference_time) OVER (ORDER BY row_no)) AS show_time
+FROM (SELECT row_no, pos AS first_event, pos + size - 1 AS last_event, session_id, reference_time,
+session_id IS DISTINCT FROM lag(session_id) OVER (ORDER BY row_no) AS new_session FROM walk JOIN evn ON evn.event_no = walk.pos)""")
 RESULTS = """res AS MATERIALIZED (SELECT session_id, event_group, "order" AS line_order, 'damage' AS kind, rt AS target, rd AS amount FROM tl
 WHERE rd IS NOT NULL AND NOT in_chain UNION ALL SELECT session_id, event_group, "order", kind, kt, ka FROM tl WHERE ka IS NOT NULL AND NOT in_chain),
 shown AS (SELECT res.* FROM res SEMI JOIN (SELECT * FROM ev WHERE is_executed) USING (session_id, event_group))"""
@@ -572,6 +597,12 @@ row_number() OVER (ORDER BY {ARRIVED}) AS seq FROM ddr WHERE parse_status = 'suc
 CHECKS["canonicalize"] = ctes(LOG_CTE, RAW_CTE, DEDUPED, CANON) + f"""SELECT session_id, canonical_key, f.g AS event_group, f.t AS visible_text,
 {fold("<")} AS sequence_hint_min, {fold(">")} AS sequence_hint_max, record_count, windows, files, f.m AS is_marker,
 strftime(f.f, '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(seen, '%Y-%m-%d %H:%M:%S') AS last_seen FROM can0"""
+CHECKS["canonicalize_in_batches"] = ctes(LOG_CTE, RAW_CTE, DEDUPED, CANON) + f"""SELECT session_id, canonical_key, f.t AS visible_text,
+{fold("<")} AS sequence_hint_min, {fold(">")} AS sequence_hint_max, record_count, row_number() OVER (PARTITION BY session_id ORDER BY f.s, f.n, f.i, canonical_key) AS "order" FROM can0"""
+CHECKS["log_fingerprint"] = ctes(LOG_CTE) + """SELECT count(*) AS lines, max("order") AS last_order, """ + ", ".join(
+    f"CAST(sum(CAST('0x' || substr(d, {6 * n + 1}, 6) AS BIGINT)) AS BIGINT) AS hash{n + 1}" for n in range(4)
+) + """ FROM (SELECT "order", sha1(concat_ws(chr(31), session_id, CAST("order" AS VARCHAR), strftime(last_seen_at, '%Y-%m-%d %H:%M:%S.%f'),
+coalesce(CAST(sequence_hint_min AS VARCHAR), chr(30)), chr(30), visible_text)) AS d FROM log)"""
 CHECKS["canonical_order"] = ctes(LOG_CTE, RAW_CTE, DEDUPED, CANON) + """SELECT session_id, canonical_key,
 row_number() OVER (PARTITION BY session_id ORDER BY f.s, f.n, f.i, canonical_key) AS "order" FROM can0"""
 CHECKS["canonical_sources"] = ctes(LOG_CTE, RAW_CTE, DEDUPED) + """SELECT DISTINCT session_id,
@@ -580,7 +611,8 @@ CHECKS["collection_counters"] = ctes(LOG_CTE, RAW_CTE, DEDUPED, CANON) + """SELE
 (SELECT count(*) FROM can0) AS canonical_records_written, (SELECT count(*) FROM raw) - (SELECT count(*) FROM ddr) AS duplicate_raw_records_skipped,
 (SELECT count(*) FROM ddr WHERE parse_status = 'success') - (SELECT count(*) FROM can0) AS duplicate_canonical_records_skipped,
 CAST(0 AS BIGINT) AS baseline_records_skipped, (SELECT count(*) FROM raw WHERE parse_status = 'error') AS parse_errors,
-CAST(0 AS BIGINT) AS decode_errors, CAST(0 AS BIGINT) AS gap_warnings"""
+CAST(0 AS BIGINT) AS decode_errors, CAST(0 AS BIGINT) AS gap_warnings,
+(SELECT strftime(max(first_seen_at), '%Y-%m-%d %H:%M:%S') FROM raw WHERE parse_status = 'success') AS last_seen_at"""
 CHECKS["baseline_dropped"] = ctes(LOG_CTE, RAW_CTE) + """SELECT session_id, count(*) AS records FROM raw
 WHERE session_id <> (SELECT min(session_id) FROM raw) AND visible_text NOT IN
 (SELECT visible_text FROM raw WHERE session_id = (SELECT min(session_id) FROM raw)) GROUP BY 1"""

@@ -92,8 +92,7 @@ def read_canonical(
 def write_canonical(log: DataFrame, path: str, sources: DataFrame | None = None, fmt: str = "json") -> None:
     """Full replace, one folder per session, lines in order.
 
-    With ``sources`` the record ids are written inline where their list is small, and all of them as
-    a table under ``<path>_sources``.
+    With ``sources`` the record ids are written inline, and in long form as a table under ``<path>_sources``.
     """
     full = log if sources is None else with_source_ids(log, sources)
     stored = [n for n in CANONICAL_JSON if n in full.columns]
@@ -134,14 +133,11 @@ def decode_escapes(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(r"\\u[0-9a-fA-F]{4}")), F.coalesce(decoded, text)).otherwise(text)
 
 
-def extra_columns(parsed: DataFrame, limit: int = 500) -> list[str]:
+def extra_columns(parsed: DataFrame) -> list[str]:
     """Keys beyond the base columns, found by one aggregate over the data (names only)."""
     known = {*FLAT_COLUMNS, "meta_fields", "display"}
     keys = parsed.select(F.explode(F.map_keys("_all")).alias("k")).distinct().filter(~F.col("k").isin(*known))
-    found = [r.k for r in keys.limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} different extra keys: this is not a raw record file")
-    return sorted(found)
+    return sorted(r.k for r in keys.collect())
 
 
 def flatten_raw(spark: SparkSession, paths: str | Sequence[str], name: str = RAW_FILE, extras: bool = True) -> DataFrame:

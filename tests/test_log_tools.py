@@ -1,6 +1,7 @@
 """Scans, areas, exclusions, search, actors."""
 
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,6 +123,44 @@ def test_exclusion_edits(spark, make_log):
     assert tuple(can) == (True, False, True, True)
 
 
+def test_edits_concern_one_folder(spark, make_log):
+    """Two folders may hold the same session id: an edit in one of them leaves the other alone."""
+    t = lambda text, folder, **more: {"event_group": "g1", "visible_text": text, "session_folder": folder, **more}
+    log = make_log(
+        t("Xitraの攻撃。", "a", canonical_record_id="r1"), t("→敵に、100ダメージ。", "a", canonical_record_id="r2"),
+        t("Xitraの攻撃。", "b", canonical_record_id="r1"), t("→敵に、10ダメージ。", "b", canonical_record_id="r2"),
+    )
+    records, groups = keys(spark)
+    edit = ex.edit_exclusions("exclude_groups", log.filter("order = 1"), records, groups, log)
+    flagged = ex.flag_excluded(log, edit.records, edit.groups)
+    assert rows(flagged.filter("is_excluded"), "order") == [(1,), (2,)]
+    one = ex.edit_exclusions("exclude_rows", log.filter("order = 4"), edit.records, edit.groups, log)
+    assert one.refused is None
+    assert rows(ex.flag_excluded(log, one.records, one.groups).filter("is_excluded"), "order") == [(1,), (2,), (4,)]
+    back = ex.edit_exclusions("restore_groups", log.filter("order = 2"), one.records, one.groups, log)
+    assert back.groups.isEmpty() and rows(back.records, "session_folder", "canonical_record_id") == [("b", "r2")]
+
+
+def test_sessions_are_combined_before_the_analysis(spark, make_log):
+    at = lambda hour, minute: datetime(2026, 1, 1, hour, minute)
+    line = lambda session, order, when: {
+        "session_id": session, "session_folder": session, "order": order, "event_group": f"g{order}", "visible_text": "Xitraの攻撃。",
+        "first_seen_at": when, "message_time_text": f"[{when:%H:%M:%S}]",
+    }
+    log = make_log(
+        *(line("late", n + 1, at(12, 2 * n)) for n in range(3)), *(line("early", n + 1, at(10, 29 * n)) for n in range(2))
+    )
+    result = analyze(log, with_timeline=False)
+    assert result.time.first().duration_seconds == 7440.0
+    assert rows(result.range_lines, "order", "session_id", "read_index") == [
+        (1, "early", 0), (2, "early", 1), (3, "late", 2), (4, "late", 3), (5, "late", 4)
+    ]
+    errors = spark.createDataFrame([("late",)], "session_folder STRING")
+    with pytest.raises(ValueError):
+        analyze(log, exclusion_errors=errors)
+    assert analyze(log, exclusion_errors=errors.filter("session_folder = 'x'"), with_timeline=False).actions.count() == 5
+
+
 def test_search(make_log):
     log = make_log(
         {"event_group": "g1", "visible_text": "A Goblin"}, {"event_group": "g1", "visible_text": "other"},
