@@ -108,5 +108,5 @@ def dense_order(
         numbered = numbered.join(firsts, same).withColumn("_rank", F.col("_rank") - F.col("_first") + 1)
     begin = F.lit(start) if isinstance(start, int) else start
     rank = (F.col("_rank") + begin).cast("bigint")
-    kept = [c for c in df.columns if c != name]
+    kept = [F.col(f"`{c}`") for c in df.columns if c != name]
     return numbered.select(*kept, rank.alias(name))

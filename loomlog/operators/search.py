@@ -82,9 +82,7 @@ def page(df: DataFrame, size: int, number: int, by: Sequence[str]) -> DataFrame:
     """Page ``number`` (from 0) of rows in the given order; a page past the end becomes the last page."""
     if size < 1:
         raise ValueError("a page holds at least one row")
-    offset = max(number, 0) * size
-    ordered = df.orderBy(*by)
-    if offset and ordered.offset(offset).isEmpty():
-        total = df.count()
-        offset = max(0, (total - 1) // size) * size
-    return ordered.offset(offset).limit(size)
+    placed = dense_order(df, list(by), name="_position")
+    last = F.floor((placed.select(F.count(F.lit(1))).scalar() - 1) / size)
+    before = F.greatest(F.least(F.lit(max(number, 0)), last), F.lit(0)) * size
+    return placed.filter(F.col("_position").between(before + 1, before + size)).orderBy("_position").drop("_position")

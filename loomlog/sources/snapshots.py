@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -66,17 +67,12 @@ def stream_snapshots(
     return shape_snapshots(files.load(landing), windows, slots)
 
 
+_HIDDEN = re.compile(b"[" + re.escape(bytes(fixed.CONTROL_PREFIXES)) + rb"](?s:.)?|\x00")
+
+
 def _visible(message: bytes) -> bytes:
     """Message bytes without NUL, and without control bytes and the byte after each."""
-    kept, skip = bytearray(), False
-    for byte in message:
-        if skip:
-            skip = False
-        elif byte in fixed.CONTROL_PREFIXES:
-            skip = True
-        elif byte:
-            kept.append(byte)
-    return bytes(kept)
+    return _HIDDEN.sub(b"", message)
 
 
 def cut_records(content: bytes) -> Iterator[tuple]:
