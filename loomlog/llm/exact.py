@@ -42,12 +42,13 @@ def directory(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     levels = slots.select(
         "slot", "entries", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("depth")
     ).withColumn("bucket", F.expr(f"shiftright(slot, {DEPTH} - depth)"))
-    overfull = levels.groupBy("depth", "bucket").agg((F.sum("entries") > capacity).alias("overfull"))
+    # Fewer than twice as many as there are slots, so they are sent to all tasks.
+    overfull = levels.groupBy("depth", "bucket").agg(F.sum("entries").alias("held")).filter(F.col("held") > capacity)
     # Whatever lies below a bucket that is not overfull fits as well, so the depth is the number of overfull levels.
     return (
-        levels.join(overfull, ["depth", "bucket"])
+        levels.join(F.broadcast(overfull), ["depth", "bucket"], "left")
         .groupBy("slot")
-        .agg(F.least(F.sum(F.col("overfull").cast("int")), F.lit(DEPTH)).cast("int").alias("depth"))
+        .agg(F.least(F.count("held"), F.lit(DEPTH)).cast("int").alias("depth"))
         .withColumn("bucket", F.expr(f"shiftleft(shiftright(slot, {DEPTH} - depth), {DEPTH} - depth)"))
         .select("slot", "bucket", "depth")
     )
