@@ -174,7 +174,7 @@ def _passages(texts: DataFrame) -> DataFrame:
 
 def _found_before(places: DataFrame, index: DataFrame) -> DataFrame:
     """Places whose hash a smaller document has too, listed per document."""
-    firsts = index.groupBy("hash").agg(F.min("doc_id").alias("first"))
+    firsts = stored(index.groupBy("hash").agg(F.min("doc_id").alias("first")), "substring-index")
     return (
         places.join(firsts, "hash")
         .filter(F.col("first") < F.col("doc_id"))
@@ -215,10 +215,9 @@ def removals(texts: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """Per document its words, those removed because a smaller document has the passage, and what is left."""
     seen = stored(sketches(docs), "substring-sketches")
-    firsts = (
-        seen.filter(F.col("n_words") >= WINDOW)
-        .groupBy("words_hash", "n_words")
-        .agg(F.min("doc_id").alias("first"))
+    firsts = stored(
+        seen.filter(F.col("n_words") >= WINDOW).groupBy("words_hash", "n_words").agg(F.min("doc_id").alias("first")),
+        "substring-firsts",
     )
     narrow = seen.select("doc_id", "n_words", "words_hash", "kept_sha256")
     facts = narrow.join(firsts, ["words_hash", "n_words"], "left").select(
@@ -230,9 +229,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         seen.join(unique, "doc_id", "left_semi").select("doc_id", F.explode("marks").alias("m"))
         .select("doc_id", F.col("m.mark").alias("mark"), F.col("m.place").alias("place"))
     )
-    shared = (
+    shared = stored(
         listed.groupBy("mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        .filter(F.col("first") < F.col("last"))
+        .filter(F.col("first") < F.col("last")),
+        "substring-shared",
     )
     probing, indexed = F.col("first") < F.col("doc_id"), F.col("last") > F.col("doc_id")
     near = listed.join(shared, "mark").groupBy("doc_id").agg(

@@ -133,8 +133,10 @@ def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT, least:
     )
     same = F.sha2("payload", 256)
     shared = F.octet_length("payload") >= least
-    firsts = (
-        rows.filter(shared).groupBy(same.alias("first_digest")).agg(F.min("page_id").alias("first"))
+    firsts = stored(
+        rows.filter(shared).groupBy(same.alias("first_digest"))
+        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("pages")).filter("pages > 1").drop("pages"),
+        "warc-firsts",
     )
     typed = rows.join(firsts, shared & (same == F.col("first_digest")), "left").select(
         "page_id", "url", "payload",
@@ -306,8 +308,11 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     responses = parsed.filter(F.col("segment").isNull() & (F.col("record_type") == "response")).select(
         "page_id", "record_type", "payload_bytes", "payload_digest", "complete"
     ).unionByName(reassembled(parsed))
-    named = responses.filter("complete").groupBy(F.col("page_id").alias("response_id"), "payload_digest").agg(
-        F.max("payload_bytes").alias("payload_bytes")
+    named = stored(
+        responses.filter("complete").groupBy(F.col("page_id").alias("response_id"), "payload_digest").agg(
+            F.max("payload_bytes").alias("payload_bytes")
+        ),
+        "warc-responses",
     )
     revisits = parsed.filter(F.col("record_type") == "revisit").select(
         "page_id", "record_type", "refers_to", F.col("digest").alias("payload_digest")
