@@ -12,6 +12,8 @@ from loomlog.schemas import as_log
 
 ROW_LIMIT = 3
 LAYOUT_SLICE = 100_000
+# Slices that are summed up together before they are chained.
+LAYOUT_BLOCK = 1_000
 
 
 def _row_sizes(events: DataFrame, slice_rows: int) -> DataFrame:
@@ -52,18 +54,49 @@ def _exits(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["_slice", "entry", "leave", "made"])
 
 
-def _entries(frame: pd.DataFrame) -> pd.DataFrame:
-    """Follow the slices in order: the real entry of each one and the rows made before it."""
+def _followed(frame: pd.DataFrame, entry: int, made: int) -> list[tuple[int, int, int]]:
+    """Enter the first part at ``entry`` and go on: where each part is entered and the rows made before, and the end."""
     steps = {
         (number, entry): (leave, made)
         for number, entry, leave, made in frame[["_slice", "entry", "leave", "made"]].itertuples(index=False)
     }
-    rows, entry, made = [], 0, 0
+    rows = []
     for number in sorted(frame["_slice"].unique()):
         rows.append((number, entry, made))
         leave, count = steps[(number, entry)]
         entry, made = leave, made + count
-    return pd.DataFrame(rows, columns=["_slice", "entry", "rows_before"])
+    return [*rows, (-1, entry, made)]
+
+
+def _entries(frame: pd.DataFrame) -> pd.DataFrame:
+    """The real entry of each part and the rows made before it; ``first_entry`` and ``first_made`` say where to begin."""
+    begin, made = (int(frame[n].iat[0]) for n in ("first_entry", "first_made"))
+    return pd.DataFrame(_followed(frame, begin, made)[:-1], columns=["_slice", "entry", "rows_before"])
+
+
+def _composed(frame: pd.DataFrame) -> pd.DataFrame:
+    """A run of parts as one part: where each entry leaves it and how many rows it makes."""
+    ends = [_followed(frame, entry, 0)[-1] for entry in range(ROW_LIMIT)]
+    rows = [(frame["_block"].iat[0], entry, leave, made) for entry, (_, leave, made) in enumerate(ends)]
+    return pd.DataFrame(rows, columns=["_slice", "entry", "leave", "made"])
+
+
+EXITS = "_slice BIGINT, entry BIGINT, leave BIGINT, made BIGINT"
+ENTRIES = "_slice BIGINT, entry BIGINT, rows_before BIGINT"
+
+
+def _chained(exits: DataFrame, block: int) -> DataFrame:
+    """Entries of all slices, in two levels: blocks of slices are composed and chained, then followed inside.
+
+    The group that chains the blocks has three rows per ``block`` slices, the others three rows per slice of a block.
+    """
+    blocked = exits.withColumn("_block", F.floor(F.col("_slice") / block))
+    blocks = blocked.groupBy("_block").applyInPandas(_composed, EXITS)
+    from_start = blocks.withColumns({"first_entry": F.lit(0), "first_made": F.lit(0)})
+    begins = from_start.groupBy().applyInPandas(_entries, ENTRIES).select(
+        F.col("_slice").alias("_block"), F.col("entry").alias("first_entry"), F.col("rows_before").alias("first_made")
+    )
+    return blocked.join(begins, "_block").groupBy("_block").applyInPandas(_entries, ENTRIES)
 
 
 def _pack(frame: pd.DataFrame) -> pd.DataFrame:
@@ -81,18 +114,17 @@ def _pack(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"event_no": ordered["event_no"], "row_no": row_no})
 
 
-def layout_rows(events: DataFrame, slice_rows: int = LAYOUT_SLICE) -> DataFrame:
+def layout_rows(events: DataFrame, slice_rows: int = LAYOUT_SLICE, block: int = LAYOUT_BLOCK) -> DataFrame:
     """Pack numbered events side by side: ``row_no`` and ``row_place`` per ``event_no``.
 
     Packing is sequential, but a row never spans more than three events. So each slice is summed up
-    as three entry points with their exits, the summaries are chained (three lines per slice), and
+    as three entry points with their exits, the summaries are chained in two levels, and
     every slice is packed on its own from the entry found that way.
     """
     if slice_rows < ROW_LIMIT:
         raise ValueError("a slice must hold at least one full row")
     sized = _row_sizes(events, slice_rows).select("_slice", "event_no", "_size")
-    exits = sized.groupBy("_slice").applyInPandas(_exits, "_slice BIGINT, entry BIGINT, leave BIGINT, made BIGINT")
-    entries = exits.groupBy().applyInPandas(_entries, "_slice BIGINT, entry BIGINT, rows_before BIGINT")
+    entries = _chained(sized.groupBy("_slice").applyInPandas(_exits, EXITS), block)
     packed = sized.join(entries, "_slice").groupBy("_slice").applyInPandas(_pack, "event_no BIGINT, row_no BIGINT")
     # A row holds three events at most, so this window sorts three rows per key.
     place = Window.partitionBy("row_no").orderBy("event_no")

@@ -125,7 +125,7 @@ def test_row_packing_against_greedy(spark):
     events = [(f"s{i // 150}", rng.choice("ABCD"), rng.choice([None, None, "[10:00]"]) if i % 9 == 0 else None) for i in range(400)]
     expected = [len(r) for r in greedy(events)]
     for slice_rows in (3, 7, 64, 1000):
-        assert sizes(report.layout_rows(numbered(spark, *events), slice_rows)) == expected, slice_rows
+        assert sizes(report.layout_rows(numbered(spark, *events), slice_rows, block=2)) == expected, slice_rows
 
 
 def test_report_tables(make_log):
