@@ -7,8 +7,10 @@ band meet in a bucket, and links are confirmed on the full sets (``100 * interse
 
 No bucket is paired out. First every member is compared with the smallest leader of its buckets, then with a bucket's
 centre (the member most like its leader) unless a chain of links joins them already; only members that are still in
-different components are compared one by one. So a group of thousands costs comparisons in proportion to its size,
-and no link is left out that joins two components. Two sets with a similarity of 0.8 share no band with a probability
+different components are compared one by one. Shingles that one document alone has, or few have, bound each comparison
+from above, so most copies with too many changes to be linked are never compared: for equal sizes, more than a ninth of
+shingles that the other one lacks rules a link out. So a group of thousands costs comparisons about in proportion to its
+size, and no link is left out that joins two components. Two sets with a similarity of 0.8 share no band with a probability
 of (1 - 0.8**4)**32, less than one in twenty million.
 
 Documents without words (null or empty texts) have an empty set, are linked with nothing and are kept. Texts below one
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.llm.common import byte_column, mixed, raw_texts, run_hashes, steps, stored, word_hashes, word_places
@@ -35,6 +37,8 @@ BANDS, ROWS = 32, 4
 SIMILARITY = 80
 # Comparisons with centres before the rest is compared one by one.
 CENTRES = 2
+# A shingle that so few of the documents compared last have tells nearly alone whom to compare.
+RARE = 8
 SKETCH = "doc_id long, n_shingles long, set_hash binary, bands array<long>"
 
 # The first permutation and the second one: bijections of 32-bit numbers.
@@ -135,9 +139,19 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _may_link(a: str, b: str):
-    """Sets whose sizes allow the similarity."""
-    return 100 * F.least(a, b) >= SIMILARITY * F.greatest(a, b)
+def _may_link(a: str, b: str) -> Column:
+    """Sets whose sizes allow the similarity, when shingles of their own (``_own``) cannot be common."""
+    most = F.least(F.col(f"{a}size") - F.col(f"{a}own"), F.col(f"{b}size") - F.col(f"{b}own"))
+    return 100 * most >= SIMILARITY * (F.col(f"{a}size") + F.col(f"{b}size") - most)
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """How many shingles of each document no other one of ``sets`` has; documents without any are left out."""
+    return (
+        sets.select("doc_id", F.explode("shingles").alias("shingle"))
+        .groupBy("shingle").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("doc"))
+        .filter("documents = 1").groupBy("doc").agg(F.count(F.lit(1)).alias("own"))
+    )
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -147,11 +161,13 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (``a``, ``b``) that join all linked members of the buckets (``key``, ``doc``, ``size``)."""
-    leads = members.groupBy("key").agg(F.min_by(F.struct("doc", "size"), F.col("doc")).alias("lead"))
+    """Links (``a``, ``b``) that join all linked members of the buckets (``key``, ``doc``, ``size``, ``own``)."""
+    leads = stored(
+        members.groupBy("key").agg(F.min_by(F.struct("doc", "size", "own"), F.col("doc")).alias("lead")), "minhash-leads"
+    )
     led = (
         members.join(leads, "key")
-        .filter((F.col("doc") != F.col("lead.doc")) & _may_link("size", "lead.size"))
+        .filter((F.col("doc") != F.col("lead.doc")) & _may_link("", "lead."))
         .groupBy("doc").agg(F.min("lead.doc").alias("lead"))
     )
     tested = _compared(led.select(F.col("lead").alias("a"), F.col("doc").alias("b")), sets)
@@ -160,40 +176,87 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
         labels = components(found)
         placed = _labelled(members, labels)
         likeness = tested.groupBy(F.col("b").alias("doc")).agg(F.max("similarity").alias("similarity"))
-        centres = (
+        centres = stored(
             placed.join(likeness, "doc", "left")
             .groupBy("key").agg(
                 F.max_by(
-                    F.struct("doc", "size", "component"), F.struct(F.coalesce("similarity", F.lit(-1)), -F.col("doc"))
+                    F.struct("doc", "size", "own", "component"), F.struct(F.coalesce("similarity", F.lit(-1)), -F.col("doc"))
                 ).alias("centre"),
                 F.min("component").alias("least"), F.max("component").alias("most"),
             )
-            .filter("least < most")
+            .filter("least < most"),
+            "minhash-centres",
         )
         pairs = (
             placed.join(centres, "key")
-            .filter((F.col("component") != F.col("centre.component")) & _may_link("size", "centre.size"))
+            .filter((F.col("component") != F.col("centre.component")) & _may_link("", "centre."))
             .select(F.col("centre.doc").alias("a"), F.col("doc").alias("b")).distinct()
         )
         known = tested.select("a", "b").unionAll(tested.select("b", "a"))
         fresh = _compared(pairs.join(known, ["a", "b"], "left_anti"), sets)
         tested, found = tested.unionAll(fresh), found.unionAll(fresh.filter("linked").select("a", "b"))
-    # Whatever is still apart in a bucket is compared one by one; equal bands are counted, as similar sets share many.
+    # Whatever is still apart in a bucket is compared one by one, if its shingles allow a link.
     placed = _labelled(members, components(found))
-    apart = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter(
-        "least < most"
+    apart = _mixed_buckets(placed)
+    rest = stored(placed.join(apart, "key", "left_semi"), "minhash-apart")
+    pairs = stored(remaining_pairs(rest, sets), "minhash-pairs")
+    known = tested.select("a", "b").unionAll(tested.select("b", "a"))
+    return found.unionAll(_compared(pairs.join(known, ["a", "b"], "left_anti"), sets).filter("linked").select("a", "b"))
+
+
+def _mixed_buckets(placed: DataFrame) -> DataFrame:
+    """Keys of buckets with members of several components."""
+    ends = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    return stored(ends.filter("least < most").select("key"), "minhash-mixed")
+
+
+def remaining_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (``a`` < ``b``) of members of one bucket and different components that may be linked.
+
+    A shingle is rare if at most ``RARE`` of the remaining documents have it. Two documents that share rare shingles are
+    found through these, at most ``RARE`` per shingle; for all other pairs none of the rare shingles is common. Either way
+    it is known how many rare shingles are common, and the others of them bound the intersection from above.
+    """
+    wanted = rest.select(F.col("doc").alias("doc_id")).distinct()
+    parts = stored(
+        sets.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), F.explode("shingles").alias("shingle"))
+        .distinct(),
+        "minhash-parts",
     )
-    rest = stored(placed.join(apart.select("key"), "key", "left_semi"), "minhash-apart")
-    other = rest.select(
-        "key", F.col("doc").alias("b"), F.col("size").alias("b_size"), F.col("component").alias("b_component")
+    few = parts.groupBy("shingle").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") <= RARE)
+    rare = stored(parts.join(few, "shingle"), "minhash-rare")
+    counts = rare.groupBy("doc").agg(F.count(F.lit(1)).alias("rare"))
+    known = stored(
+        rest.drop("own").join(counts, "doc", "left").withColumn("own", F.coalesce("rare", F.lit(0))).drop("rare"),
+        "minhash-rest",
     )
-    pairs = (
-        rest.join(other, "key")
-        .filter((F.col("doc") < F.col("b")) & (F.col("component") != F.col("b_component")) & _may_link("size", "b_size"))
-        .select(F.col("doc").alias("a"), "b").distinct()
+    # No rare shingle in common: sets too large, without theirs, for the smallest set of the bucket fit none in it.
+    least = known.groupBy("key").agg(F.min("size").alias("least_size"))
+    able = known.join(least, "key").filter(
+        100 * (F.col("size") - F.col("own")) >= SIMILARITY * (F.col("least_size") + F.col("own"))
+    ).drop("least_size")
+    able = stored(able.join(_mixed_buckets(able), "key", "left_semi"), "minhash-able")
+    buckets = able.groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    able = stored(able.join(buckets, "doc"), "minhash-keyed")
+    other = able.select("key", *(F.col(n).alias(f"b_{n}") for n in ("doc", "size", "own", "component", "keys")))
+    apart = F.col("component") != F.col("b_component")
+    # A pair is made in the first bucket that it shares, not in all of them.
+    first = F.array_min(F.array_intersect("keys", "b_keys")) == F.col("key")
+    plain = able.join(other, "key").filter((F.col("doc") < F.col("b_doc")) & apart & _may_link("", "b_") & first)
+    # Some in common: as many fewer are the documents' own.
+    facts = known.select("doc", "size", "own", "component").distinct()
+    shared = stored(rare.filter("documents > 1").select("shingle", "doc").join(facts, "doc"), "minhash-shared")
+    names = ("doc", "size", "own", "component")
+    sizes = 100 * F.least("size", "b_size") >= SIMILARITY * F.greatest("size", "b_size")
+    met = (
+        shared.join(shared.select("shingle", *(F.col(n).alias(f"b_{n}") for n in names)), "shingle")
+        .filter((F.col("doc") < F.col("b_doc")) & apart & sizes)
+        .groupBy("doc", "b_doc", "size", "b_size", "own", "b_own").agg(F.count(F.lit(1)).alias("common"))
+        .withColumns({"own": F.col("own") - F.col("common"), "b_own": F.col("b_own") - F.col("common")})
+        .filter(_may_link("", "b_"))
     )
-    known = tested.select("a", "b").unionAll(tested.select("b", "a"))
-    return found.unionAll(_compared(pairs.join(known, ["a", "b"], "left_anti"), sets).filter("linked").select("a", "b"))
+    ends = (F.col("doc").alias("a"), F.col("b_doc").alias("b"))
+    return plain.select(*ends).unionAll(met.select(*ends)).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -203,7 +266,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     banded = seen.join(
         classes.filter(F.col("class_id").isNotNull()), (seen.set_hash == classes.set_hash) & (seen.doc_id == classes.class_id)
     ).select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    buckets = stored(
+        banded.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most"),
+        "minhash-buckets",
+    )
     members = stored(
         banded.join(buckets.select("key"), "key", "left_semi").select(
             "key", F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size")
@@ -212,9 +278,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     )
     wanted = members.select(F.col("doc").alias("doc_id")).distinct()
     sets = stored(full_sets(raw_texts(docs).join(wanted, "doc_id", "left_semi"), shingle), "minhash-sets")
-    labels = components(links(members, sets)).withColumnRenamed("node", "class_id")
-    named = classes.join(labels, "class_id", "left").select(
-        "set_hash", F.coalesce("component", "class_id").alias("component_id")
+    # Sets of which more than a fifth is their own are linked with nothing.
+    counted = stored(
+        members.join(own_shingles(sets), "doc", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        .filter(100 * (F.col("size") - F.col("own")) >= SIMILARITY * F.col("size")),
+        "minhash-counted",
+    )
+    labels = components(links(counted, sets)).withColumnRenamed("node", "class_id")
+    named = stored(
+        classes.join(labels, "class_id", "left").select(
+            "set_hash", F.coalesce("component", "class_id").alias("component_id")
+        ),
+        "minhash-classes",
     )
     return seen.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left").select(
         "doc_id", "n_shingles",
