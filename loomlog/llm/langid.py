@@ -192,11 +192,25 @@ def learn(docs: DataFrame) -> Model | None:
     return train([bytes(r["text"]) for r in rows], [r["lang"] for r in rows]) if rows else None
 
 
+def _scored(model: Model, texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text the number of its language, its score, and whether that is rejected; ``known``: it has a letter."""
+    total, number = sums(model.table, *byte_column(texts))
+    logits = total / (_SCALE * np.maximum(number, 1)[:, None]) + model.bias
+    scores = _softmax(logits / model.temperature)
+    best = scores.argmax(axis=1)
+    score = np.where(known, scores[np.arange(len(best)), best], 0.0)
+    return best, score, ~known | (score < model.threshold)
+
+
+def _has_letter():
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """Per row the language of the whole text, its score, and whether the prediction is rejected."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"),
-        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"),
+        _has_letter().alias("has_letter"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
     )
     if model is None:
@@ -208,22 +222,34 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for step in steps(batches, 1 << 20):
-            total, number = sums(model.table, *byte_column(step.column(3)))
-            logits = total / (_SCALE * np.maximum(number, 1)[:, None]) + model.bias
-            scores = _softmax(logits / model.temperature)
-            best = scores.argmax(axis=1)
             known = step.column(2).to_numpy(zero_copy_only=False)
-            score = np.where(known, scores[np.arange(len(best)), best], 0.0)
+            best, score, rejected = _scored(model, step.column(3), known)
             named = [model.languages[n] if k else UNKNOWN for n, k in zip(best, known)]
             yield pa.RecordBatch.from_arrays(
-                [step.column(0), step.column(1), pa.array(named, pa.string()), pa.array(score),
-                 pa.array(~known | (score < model.threshold))],
+                [step.column(0), step.column(1), pa.array(named, pa.string()), pa.array(score), pa.array(rejected)],
                 names=["doc_id", "held_out", "lang_pred", "score", "rejected"],
             )
 
     return rows.mapInArrow(name, PREDICTED)
 
 
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The whole rows of ``docs`` whose prediction is not rejected: each row by its own text, so nothing is joined."""
+    if model is None:
+        return docs.filter(F.lit(False))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps(batches, 1 << 20):
+            last = step.num_columns - 1
+            known = step.column(last).to_numpy(zero_copy_only=False)
+            texts = step.column(step.schema.get_field_index("text"))
+            _, _, rejected = _scored(sent.value, texts, known)
+            yield step.select(list(range(last))).filter(pa.array(~rejected))
+
+    return docs.withColumn("__has_letter", _has_letter()).mapInArrow(keep, docs.schema)
+
+
 def languages(docs: DataFrame) -> DataFrame:
     """Learn from the labelled rows of ``docs`` and name the language of every row."""
     return predict(docs, learn(docs))

@@ -123,7 +123,7 @@ def _path(
 
 
 class Mix(NamedTuple):
-    """``documents``: doc_id, size, sources, taken. ``sources``: source, source_size, target."""
+    """``documents``: doc_id, size, sources, further columns of the members, taken. ``sources``: source, source_size, target."""
 
     documents: DataFrame
     sources: DataFrame
@@ -139,12 +139,14 @@ def mix(
     """Mix documents given as ``doc_id``, ``size`` (words) and ``sources`` (an array of names, null for none).
 
     Sources in the order of code points, null last, have the weights in turn; together they get ``share`` of all words.
+    Further columns of ``members`` (such as a key of the row) are handed on.
     """
     spark = members.sparkSession
+    handed = ["doc_id", "size", "sources", *(name for name in members.columns if name not in ("doc_id", "size", "sources"))]
     sources = F.array_sort(F.array_distinct("sources"))
     rows = stored(
-        members.select("doc_id", "size", sources.alias("sources")).select(
-            "doc_id", "size", "sources", F.to_json("sources").alias("pattern"),
+        members.withColumn("sources", sources).select(
+            *handed, F.to_json("sources").alias("pattern"),
             F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(SLICES)).cast("int").alias("slice"),
             F.xxhash64(F.lit(seed + 1), "doc_id").alias("rank"),
         ),
@@ -189,13 +191,13 @@ def mix(
     planned = rows.join(plan.join(edges, "pattern", "left"), "pattern", "left")
     passes = F.col("passes") * F.col("size")
     clear = planned.filter(~F.col("slice").eqNullSafe(F.col("edge"))).select(
-        "doc_id", "size", "sources",
+        *handed,
         (passes + F.when(F.col("slice") < F.col("edge"), F.col("size")).otherwise(0)).alias("taken"),
     )
     earlier = W.partitionBy("pattern").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     still = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(earlier), F.lit(0))
     edge = planned.filter(F.col("slice").eqNullSafe(F.col("edge"))).select(
-        "doc_id", "size", "sources", (passes + F.greatest(F.lit(0), F.least(F.col("size"), still))).alias("taken")
+        *handed, (passes + F.greatest(F.lit(0), F.least(F.col("size"), still))).alias("taken")
     )
     return Mix(clear.unionAll(edge), facts)
 
