@@ -29,7 +29,8 @@ ASSIGN_LENGTH = 6
 # Runs of these characters are maximal, so a least length in the pattern is the same as a test afterwards.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-PART = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
+# An equals sign before a part assigns it; one behind it is padding of a longer value.
+PART = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
 ENDPOINT = r"""(?:https?|s3)://[^\s"'<>]+"""
 
 KINDS = ("assign", "access", "hex", "part", "endpoint")
