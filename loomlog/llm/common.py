@@ -139,9 +139,19 @@ def _long_word(word: np.ndarray, table: np.ndarray) -> np.uint64:
     return mixed(np.array([total % (1 << 64)], np.uint64))[0]
 
 
-def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, folded: bool = False) -> np.ndarray:
+def folded_table(seed: int) -> np.ndarray:
+    """Other numbers for bytes than the usual ones, A-Z counting as a-z, for :func:`word_hashes`."""
+    table = _random(256, seed)
+    table[65:91] = table[97:123]
+    return table
+
+
+def word_hashes(
+    data: np.ndarray, begins: np.ndarray, ends: np.ndarray, folded: bool = False, table: np.ndarray | None = None
+) -> np.ndarray:
     """A 64-bit hash of each word (``folded``: A-Z count as a-z), piece by piece so that memory stays bounded."""
-    table = _FOLDED if folded else _BYTE
+    if table is None:
+        table = _FOLDED if folded else _BYTE
     out = np.empty(len(begins), np.uint64)
     first = 0
     while first < len(begins):

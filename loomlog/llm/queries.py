@@ -15,9 +15,12 @@ from loomlog.llm.langid import languages
 from loomlog.llm.media import fingerprints, to_wav
 from loomlog.llm.minhash import near_duplicates
 from loomlog.llm.mixing import taken_words
+from loomlog.llm.phrases import collocations
+from loomlog.llm.prefix_trie import prefix_trie
 from loomlog.llm.secrets import secret_spans
 from loomlog.llm.substring import without_repeats
 from loomlog.llm.token_counts import token_counts
+from loomlog.llm.urls import judge_urls
 from loomlog.llm.warc import read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +75,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(prepared(spark).read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(prepared(spark).read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_warc_segments": op2_warc_segments,
@@ -83,5 +98,8 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_url_filter": op13_url_filter,
     "pipeline": corpus_pipeline.run,
 }

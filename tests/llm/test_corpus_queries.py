@@ -33,14 +33,14 @@ def rows(found, *columns):
 
 
 def test_all_are_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{n}" for n in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{n}" for n in range(1, 14)] + ["pipeline"]
     assert set(QUERIES) <= set(entry.queries()) and set(CHECKS) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     found = duck.execute(CHECKS[name])
     columns = [d[0] for d in found.description]
