@@ -3,10 +3,10 @@
 How a text up to some byte is cut into tokens ends in exactly one token, and a cut is the right one when each
 token may follow the one before it: when the merges, run on the two alone, keep them apart. The transducer
 reads byte by byte. Its state is the longest end of the input that begins some token, and for each place in that
-end the tokens that lead there since the last token written. A further byte settles the last token at the new
-place; as soon as all places still open agree on their first tokens, these are written. So the lookahead is
-bounded by the vocabulary, not by the text. States and their steps are made when first needed, kept in a table,
-and dropped together when the table is full.
+end where a token may begin the token that leads there. A further byte settles the last token at the new place.
+Going back from token to token, the ways from all places still open meet after a number of bytes that the vocabulary
+bounds; the tokens before that are written. States and their steps are made when first needed, kept in a table of
+bounded bytes, and dropped together when it is full. A worker that has nothing to do for a moment gives its tables back.
 
 Nulls and empty texts give no ids. Repeated rows each get a row; a null ``doc_id`` stays null. Texts of any length
 are read whole, pre-token by pre-token; a pre-token of any length needs time in proportion to its length.
@@ -17,8 +17,10 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain, islice
+from threading import Timer
 
 import pyarrow as pa
 import public_tokenizers
@@ -30,16 +32,20 @@ from loomlog.llm.common import steps, texts
 from loomlog.llm.pretokens import units
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
-# States, and units and pre-tokens, that one Python worker keeps, and the longest unit kept.
-STATES, REMEMBERED, REMEMBERED_LENGTH = 350_000, 500_000, 64
+# About how many bytes of states, and of each of two generations of units, one Python worker keeps; the longest unit kept.
+STATE_BYTES, UNIT_BYTES, REMEMBERED_LENGTH = 128 << 20, 24 << 20, 64
+# Seconds without work after which a worker lets go of them.
+IDLE = 1.0
+# Bytes of a pre-token after which tokens are written that no further byte can change.
+SETTLED = 4096
 # Ids that the decoder takes at a time.
 DECODED = 1 << 14
 ROUND_TRIP = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, n_chars long"
 
 START = -1
-# The end of the input that begins a token, the last id written if it still matters, and for each place in that end
-# where a token may begin (counted from the last byte backwards) the ids since then.
-State = tuple[bytes, int, tuple[tuple[int, tuple[int, ...]], ...]]
+# The end of the input that begins a token; places in it where a token may begin, counted from the last byte backwards;
+# and the tokens that lead there.
+State = tuple[bytes, tuple[int, ...], tuple[int, ...]]
 
 
 class Vocabulary:
@@ -50,6 +56,7 @@ class Vocabulary:
             lines = [line.split() for line in file if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.lengths = {rank: len(token) for rank, token in self.tokens.items()}
         self.beginnings = {token[:n] for token in self.ranks for n in range(1, len(token) + 1)}
         if any(bytes([b]) not in self.ranks for b in range(256)):
             raise ValueError("the vocabulary lacks single bytes")
@@ -106,83 +113,92 @@ class Transducer:
 
     def __init__(self, words: Vocabulary):
         self.words = words
-        self._reset()
+        self._reset((b"", (0,), (START,)))
 
-    def _reset(self) -> None:
+    def _reset(self, first: State) -> int:
+        self.size = 0
         self.states: list[State] = []
         self.numbers: dict[State, int] = {}
-        # By 256 times the state plus the byte: 256 times the next state, and the ids written.
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._number((b"", START, ((0, ()),)))
+        # By 256 times the state plus the byte: 256 times the next state.
+        self.moves: dict[int, int] = {}
+        self._number((b"", (0,), (START,)))
+        return self._number(first)
 
     def _number(self, state: State) -> int:
         number = self.numbers.get(state)
         if number is None:
             number = self.numbers[state] = len(self.states) << 8
             self.states.append(state)
+            self.size += 430 + len(state[0]) + 16 * len(state[1])
         return number
 
-    def _move(self, key: int) -> tuple[int, tuple[int, ...]]:
+    def _move(self, key: int) -> int:
         """Make the step from a state by one byte."""
-        end, last, places = self.states[key >> 8]
+        end, places, lasts = self.states[key >> 8]
         end += bytes((key & 255,))
-        words = self.words
-        ranks, size = words.ranks, len(end)
-        for back, path in reversed(places):
-            token = ranks.get(end[size - back - 1:])
-            if token is None or token not in words.made:
-                continue
-            before = path[-1] if path else last
-            if before == START or words.may_follow(before, token):
+        words, size = self.words, len(end)
+        ranks, beginnings = words.ranks, words.beginnings
+        open_places, open_lasts = [0], [START]
+        token = None
+        for back, last in zip(places, lasts):
+            tail = end[size - back - 1:]
+            if tail in beginnings:
+                open_places.append(back + 1)
+                open_lasts.append(last)
+        for back, last in zip(reversed(places), reversed(lasts)):
+            found = ranks.get(end[size - back - 1:])
+            if found is not None and found in words.made and (last == START or words.may_follow(last, found)):
+                token = found
                 break
-        else:
+        if token is None:
             raise AssertionError("no token ends here")
-        newest = (*path, token)
-        # Only places from which the input still begins a token stay open.
-        held = [(0, newest)]
-        beginnings = words.beginnings
-        reach = 0
-        agreed = newest
-        for back, path in places:
-            if end[size - back - 1:] in beginnings:
-                held.append((back + 1, path))
-                reach = back + 1
-                if path[:len(agreed)] != agreed:
-                    n = 0
-                    for x, y in zip(path, agreed):
-                        if x != y:
-                            break
-                        n += 1
-                    agreed = agreed[:n]
-        if agreed:
-            last = agreed[-1]
-        cut = len(agreed)
-        if all(len(path) > cut for _, path in held):
-            # Every open place has an id of its own behind the last one written, so that one no longer matters.
-            last = START
-        state = (end[size - reach:], last, tuple((back, path[cut:]) for back, path in held))
-        move = self.moves[key] = (self._number(state), agreed)
-        return move
+        open_lasts[0] = token
+        state = (end[size - open_places[-1]:], tuple(open_places), tuple(open_lasts))
+        at = self.moves[key] = self._number(state)
+        self.size += 130
+        return at
+
+    def _written(self, way: list[int], at: int) -> tuple[list[int], int]:
+        """Tokens that no further byte can change, and how many bytes they have; ``way``: the token at each byte's end."""
+        lengths = self.words.lengths
+        ends = {len(way) - back for back in self.states[at >> 8][1]}
+        while len(ends) > 1:
+            far = max(ends)
+            ends.remove(far)
+            ends.add(far - lengths[way[far - 1]])
+        end = ends.pop()
+        return self._back(way, end), end
+
+    def _back(self, way: list[int], end: int) -> list[int]:
+        lengths, out = self.words.lengths, []
+        while end:
+            token = way[end - 1]
+            out.append(token)
+            end -= lengths[token]
+        out.reverse()
+        return out
 
     def ids(self, data: bytes) -> tuple[int, ...] | list[int]:
         known = self.words.ranks.get(data)
         if known is not None:
             return (known,)
-        if len(self.states) > STATES:
-            self._reset()
-        at, out, moves = 0, [], self.moves
+        if self.size > STATE_BYTES:
+            self._reset((b"", (0,), (START,)))
+        at, way, out = 0, [], []
+        moves, states = self.moves, self.states
         for byte in data:
             key = at + byte
-            move = moves[key] if key in moves else self._move(key)
-            at = move[0]
-            if move[1]:
-                out += move[1]
-            if len(self.states) > 2 * STATES:
-                # A very long pre-token: keep the present state alone.
-                state = self.states[at >> 8]
-                self._reset()
-                at, moves = self._number(state), self.moves
-        out += self.states[at >> 8][2][0][1]
+            at = moves[key] if key in moves else self._move(key)
+            way.append(states[at >> 8][2][0])
+            if len(way) >= SETTLED:
+                found, end = self._written(way, at)
+                out += found
+                del way[:end]
+                if self.size > 2 * STATE_BYTES:
+                    # A very long pre-token: keep the present state alone.
+                    at = self._reset(states[at >> 8])
+                    moves, states = self.moves, self.states
+        out += self._back(way, len(way))
         return out
 
 
@@ -218,28 +234,23 @@ class StreamDecoder:
 
 
 class Encoder:
-    """Texts to ids; remembers a bounded number of units and pre-tokens."""
+    """Texts to ids; remembers units up to a number of bytes."""
 
     def __init__(self, path: str):
         self.words = vocabulary(path)
-        self.transducer = Transducer(self.words)
         self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.forget()
+
+    def forget(self) -> None:
+        self.transducer = Transducer(self.words)
         # What is remembered: of two generations, the younger one is filled and then becomes the older one.
         self.units: tuple[dict[str, tuple[int, ...]], dict[str, tuple[int, ...]]] = ({}, {})
-        self.pretokens: dict[str, tuple[int, ...]] = {}
+        self.size = 0
 
     def _unit(self, unit: str) -> tuple[int, ...]:
-        pretokens, found = self.pretokens, []
-        for word in self.split(unit):
-            ids = pretokens.get(word)
-            if ids is None:
-                ids = tuple(self.transducer.ids(word.encode()))
-                if len(word) <= REMEMBERED_LENGTH:
-                    if len(pretokens) >= REMEMBERED:
-                        pretokens.clear()
-                    pretokens[word] = ids
-            found.append(ids)
-        return found[0] if len(found) == 1 else tuple(chain.from_iterable(found))
+        ids = self.transducer.ids
+        found = [ids(word.encode()) for word in self.split(unit)]
+        return tuple(found[0] if len(found) == 1 else chain.from_iterable(found))
 
     def encode(self, text: str) -> list[int]:
         first, rest = units(text)
@@ -253,17 +264,31 @@ class Encoder:
                     ids = self._unit(" " + unit)
                 if len(unit) <= REMEMBERED_LENGTH:
                     young[unit] = ids
+                    self.size += 200 + len(unit) + 8 * len(ids)
+                    if self.size > UNIT_BYTES:
+                        young, old = {}, young
+                        self.units, self.size = (young, old), 0
             found += ids
-        if len(young) >= REMEMBERED // 2:
-            self.units = ({}, young)
         return found
 
 
 _ENCODERS: dict[str, Encoder] = {}
+_IDLE: dict[str, Timer] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    return _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+@contextmanager
+def _encoder(path: str) -> Iterator[Encoder]:
+    """A worker's encoder for one task. It goes on with the next task, unless none comes soon."""
+    if path in _IDLE:
+        _IDLE.pop(path).cancel()
+    encoder = _ENCODERS.pop(path, None) or Encoder(path)
+    try:
+        yield encoder
+    finally:
+        _ENCODERS[path] = encoder
+        timer = _IDLE[path] = Timer(IDLE, _ENCODERS.pop, (path, None))
+        timer.daemon = True
+        timer.start()
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -271,10 +296,10 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path(TOKENIZER)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
-        for step in steps(batches, 1 << 20):
-            ids = pa.array([encoder.encode(v) for v in step.column(1).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([step.column(0), ids], names=["doc_id", "ids"])
+        with _encoder(path) as encoder:
+            for step in steps(batches, 1 << 20):
+                ids = pa.array([encoder.encode(v) for v in step.column(1).to_pylist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([step.column(0), ids], names=["doc_id", "ids"])
 
     return texts(docs).mapInArrow(encode, "doc_id long, ids array<int>")
 
@@ -299,28 +324,27 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode every text, decode its ids again, and give digests of both."""
     path = path or public_tokenizers.path(TOKENIZER)
 
+    def digests(encoder: Encoder, decimals: dict[int, str], text: str) -> tuple[int, str, str, int, int]:
+        ids = encoder.encode(text)
+        listed = hashlib.sha256(",".join(map(decimals.__getitem__, ids)).encode())
+        stream, back = StreamDecoder(encoder.words), hashlib.sha256()
+        n_bytes = n_chars = 0
+        rest = iter(ids)
+        while part := list(islice(rest, DECODED)):
+            data, shown = stream.feed(part)
+            back.update(data)
+            n_bytes += len(data)
+            n_chars += len(shown)
+        return len(ids), listed.hexdigest(), back.hexdigest(), n_bytes, n_chars + len(stream.finish())
+
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
-        decimals = {n: str(n) for n in encoder.words.tokens}
-        for step in steps(batches, 1 << 20):
-            columns: list[list] = [[], [], [], [], []]
-            for text in step.column(1).to_pylist():
-                ids = encoder.encode(text)
-                listed = hashlib.sha256(",".join(map(decimals.__getitem__, ids)).encode())
-                stream, back = StreamDecoder(encoder.words), hashlib.sha256()
-                n_bytes = n_chars = 0
-                rest = iter(ids)
-                while part := list(islice(rest, DECODED)):
-                    data, shown = stream.feed(part)
-                    back.update(data)
-                    n_bytes += len(data)
-                    n_chars += len(shown)
-                n_chars += len(stream.finish())
-                for column, value in zip(columns, (len(ids), listed.hexdigest(), back.hexdigest(), n_bytes, n_chars)):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [step.column(0), *map(pa.array, columns)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "n_chars"],
-            )
+        with _encoder(path) as encoder:
+            decimals = {n: str(n) for n in encoder.words.tokens}
+            for step in steps(batches, 1 << 20):
+                rows = [digests(encoder, decimals, text) for text in step.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [step.column(0), *map(pa.array, zip(*rows))],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "n_chars"],
+                )
 
     return texts(docs).mapInArrow(both, ROUND_TRIP)

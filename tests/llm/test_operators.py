@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import re
 import wave
 import zlib
@@ -436,14 +437,28 @@ def test_transducer_equals_the_library(library, monkeypatch):
     rng = random.Random(9)
     tokens = [t.decode("utf-8", "ignore").strip() for t in list(encoder.words.ranks)[300:]]
     pool = text_pool() + ["".join(rng.choice(tokens) for _ in range(rng.randint(1, 12))) for _ in range(400)] + ["a" * 2000, "漢字" * 400]
-    for states in (bpe.STATES, 20):
-        monkeypatch.setattr(bpe, "STATES", states)
-        for text in pool if states > 20 else pool[::20]:
+    for size, settled in ((bpe.STATE_BYTES, bpe.SETTLED), (bpe.STATE_BYTES, 7), (10_000, 5)):
+        monkeypatch.setattr(bpe, "STATE_BYTES", size)
+        monkeypatch.setattr(bpe, "SETTLED", settled)
+        for text in pool if settled > 7 else pool[::20] + ["a" * 2000, "漢字" * 400]:
             ids = encoder.encode(text)
             assert ids == library.encode_ordinary(text)
             stream = bpe.StreamDecoder(encoder.words)
             assert "".join(stream.feed([i])[1] for i in ids) + stream.finish() == text
-        encoder.units, encoder.pretokens = ({}, {}), {}
+        encoder.forget()
+
+
+def test_idle_workers_give_back_their_tables(monkeypatch):
+    path = public_tokenizers.path(bpe.TOKENIZER)
+    monkeypatch.setattr(bpe, "IDLE", 0.2)
+    with bpe._encoder(path) as first:
+        first.encode("some text")
+    with bpe._encoder(path) as second:
+        assert second is first
+        time.sleep(0.5)
+    assert path in bpe._ENCODERS
+    time.sleep(0.5)
+    assert path not in bpe._ENCODERS
 
 
 def test_decoder_state_machine():
