@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+# Folders that tables were stored in since a scope was opened in this thread, or nothing.
+_SCOPE = threading.local()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there, lost executors cost nothing.
 
@@ -52,10 +58,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     only where both sides come straight from a shuffle.
     """
     path = shared_folder(df.sparkSession, name)
+    folders = getattr(_SCOPE, "folders", None)
+    if folders is not None:
+        folders.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def table_scope(folders: list[str]) -> Iterator[None]:
+    """Note in ``folders`` where tables are stored, so that they can be taken away once nothing reads them."""
+    before = getattr(_SCOPE, "folders", None)
+    _SCOPE.folders = folders
+    try:
+        yield
+    finally:
+        _SCOPE.folders = before
+
+
+def drop_stored(spark: SparkSession, folders: list[str], read_by: DataFrame | None = None) -> None:
+    """Delete stored tables, but none that ``read_by`` still reads, and forget those that are gone."""
+    used = read_by.inputFiles() if read_by is not None else []
+    for folder in list(folders):
+        name = folder.rsplit("/", 1)[1]
+        if any(f"/{name}/" in file for file in used):
+            continue
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+        folders.remove(folder)
+
+
 def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into slices whose ``text`` has about ``limit`` bytes; one row at least."""
     for batch in batches:
