@@ -6,15 +6,20 @@ executor never costs more than one stage.
 
 Every row is a document of its own: a stage decides in the row, or numbers its rows and joins its decision on that number,
 never on ``doc_id``. Where one row of several stays it is the one with the smallest ``doc_id``, null last.
+
+What a stage stores on its way is deleted when the next one begins, unless that one still reads it.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.llm.bpe import round_trip
-from loomlog.llm.common import prepared, shared_folder, stored
+from loomlog.llm.common import drop_stored, prepared, shared_folder, stored, table_scope
 from loomlog.llm.exact import exact_groups
 from loomlog.llm.langid import accepted, learn
 from loomlog.llm.minhash import near_duplicates
@@ -27,6 +32,23 @@ ORACLE_SQL = None
 KEY = "__row_key"
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+# Where the stages so far have stored tables.
+_FOLDERS: list[str] = []
+
+
+def _stage(work: Stage) -> Stage:
+    """A stage that first deletes what stages before it have stored."""
+
+    @functools.wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_stored(prepared(spark), _FOLDERS, docs)
+        with table_scope(_FOLDERS):
+            return work(spark, docs, sf_dir)
+
+    return stage
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with a number of its own for every row, stored so that the number holds however often it is read."""
     return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), "pipeline-rows")
@@ -59,38 +81,38 @@ def _first_of(rows: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
+@_stage
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: rows whose language prediction is rejected go, each by its own text."""
-    prepared(spark)
     return accepted(docs, learn(docs))
 
 
+@_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: one row of each group of equal texts stays, also where rows repeat a ``doc_id`` or have none."""
-    prepared(spark)
     rows = _keyed(docs)
     groups = exact_groups(_by_row(rows))
     return _chosen(rows, _first_of(rows, groups.select(F.col("doc_id").alias("member"), F.col("keep_id").alias("of"))))
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: one row of each component of near duplicates stays (five-word shingles, 0.8 or more).
 
     Rows that repeat a ``doc_id`` or have none are compared like all others; rows without words all stay.
     """
-    prepared(spark)
     rows = _keyed(docs)
     groups = near_duplicates(_by_row(rows), shingle=5)
     members = groups.select(F.col("doc_id").alias("member"), F.col("component_id").alias("of"))
     return _chosen(rows, _first_of(rows, members))
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: a row appears as often as the mix takes it, rounded to whole documents; others go.
 
     Rows that repeat a ``doc_id`` are taken one by one; rows without one have their place in the seeded order by text.
     """
-    prepared(spark)
     rows = _keyed(docs)
     members = rows.select(
         F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("doc_id"), n_words().alias("size"),
@@ -106,9 +128,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+@_stage
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: token counts and digests of every document that is left."""
-    prepared(spark)
     return round_trip(docs)
 
 
@@ -123,7 +145,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         path = shared_folder(spark, f"pipeline-{number}")
         stage(spark, docs, sf_dir).write.parquet(path)
