@@ -569,7 +569,9 @@ def canonicalize_in_batches(spark, sf_dir):
     """The stream's merging, fed with the records in three batches, each of which brings older records once more."""
     raw = derived_raw(spark, sf_dir)
     third = F.pmod(F.xxhash64("raw_record_id"), F.lit(3))
-    hour = F.hour("first_seen_at")
+    # Hours since the session's day began, whatever day the record itself falls on: a sighting after midnight comes last.
+    day = F.to_timestamp(F.substring("session_id", 2, 10), "yyyy-MM-dd")
+    hour = (F.unix_seconds("first_seen_at") - F.unix_seconds(day)) / 3600
     path = f"{checkpoint_folder(spark)}/replay-{uuid.uuid4().hex}"
     batches = [hour < 8, (hour < 16) & ((hour >= 8) | (third == 0)), (hour >= 16) | (third == 1)]
     for batch, chosen in enumerate(batches):
