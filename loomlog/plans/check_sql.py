@@ -573,6 +573,13 @@ count(*) AS line_count, count(*) FILTER (is_marker) AS marker_count, CAST(0 AS B
 CHECKS["session_labels"] = ctes(LOG_CTE) + """SELECT session_id, alias || '（' || session_id || '）' AS label FROM
 (SELECT session_id, coalesce(arg_min(marker_keyword, "order") FILTER (is_marker), '') AS alias FROM log GROUP BY 1)
 WHERE contains(upper(alias), 'LAP1') OR contains(upper(session_id), 'LAP1')"""
+CHECKS["stored_action_summary"] = CHECKS["action_summary"]
+CHECKS["stored_sessions"] = ctes(LOG_CTE, RAW_CTE) + """SELECT session_id, coalesce(alias || '（' || session_id || '）', session_id) AS label,
+CASE WHEN ends_with(session_id, '5') THEN 'active' ELSE 'completed' END AS status, ends_with(session_id, '5') AS unfinished,
+coalesce(parse_errors, 0) AS parse_errors, canonical_record_id, event_group, strftime(ended, '%Y-%m-%d %H:%M:%S.%f') AS ended_at
+FROM (SELECT session_id, arg_min(marker_keyword, "order") FILTER (is_marker) AS alias, max(last_seen_at) AS ended,
+max(event_group) AS event_group, max(canonical_record_id) FILTER (event_group IS NOT NULL) AS canonical_record_id FROM log GROUP BY 1)
+LEFT JOIN (SELECT session_id, count(*) FILTER (parse_status = 'error') AS parse_errors FROM raw GROUP BY 1) USING (session_id)"""
 CHECKS["combined_order"] = ctes(LOG_CTE) + """SELECT row_number() OVER (ORDER BY first_seen_at, session_id, "order") AS "order",
 session_id, "order" AS session_order FROM log"""
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomlog.functions import fixed_values as fixed
 from loomlog.operators import collection as c
+from loomlog.sources.lines import canonical_documents, raw_documents
+from loomlog.sources.session_store import write_store
+from loomlog.sources.sessions import session_documents
 from loomlog.sources.snapshots import explode_snapshot_records, scan_snapshots
 
 
@@ -49,3 +52,18 @@ def collect_once(
     canonical = c.assign_order(c.canonicalize(deduped))
     stats = c.collection_stats(kept, raw, deduped, canonical, skipped)
     return Collected(records, raw, deduped, canonical, c.canonical_sources(deduped), stats)
+
+
+def store_session(run: Collected, root: str, manifest: DataFrame) -> None:
+    """Write a run as a session folder named after its session: lines, raw records, counters and manifest, in one commit."""
+    session = manifest.select("session_id").scalar()
+    folder = lambda df: df.withColumn("session_folder", session)
+    documents = session_documents(folder(manifest), folder(run.stats))
+    lines = canonical_documents(run.canonical.withColumn("session_folder", F.col("session_id")), run.sources)
+    raw = raw_documents(run.deduped.withColumn("session_folder", F.col("session_id")))
+    # A run without records still has its files.
+    empty = folder(run.canonical.sparkSession.range(1)).select(
+        "session_folder", F.explode(F.array(F.lit("canonical_records.jsonl"), F.lit("raw_records.jsonl"))).alias("file"),
+        F.lit(-1).cast("bigint").alias("place"), F.lit(None).cast("string").alias("line"),
+    )
+    write_store(documents.unionByName(lines).unionByName(raw).unionByName(empty), root)

@@ -20,8 +20,12 @@ from loomlog.operators import search, summaries, timeline
 from loomlog.plans.analysis import analyze_slice
 from loomlog.plans.derived import RULES, derived_log, read_table
 from loomlog.plans.derived_raw import derived_json_lines, derived_raw, derived_snapshots
-from loomlog.sources.lines import flatten_lines, replay
-from loomlog.sources.sessions import filter_sessions, session_rollup
+from loomlog.sources.lines import canonical_documents, flatten_lines, read_canonical, replay
+from loomlog.sources.session_store import write_store
+from loomlog.sources.sessions import (
+    alias_documents, filter_sessions, read_aliases, read_exclusions, read_sessions, save_exclusions, session_documents,
+    session_rollup, with_labels,
+)
 from loomlog.session import checkpoint_folder
 from loomlog.sources.snapshots import explode_snapshot_records, shape_snapshots
 from loomlog.streaming.collect import read_state, upsert_batch
@@ -541,6 +545,54 @@ def session_labels(spark, sf_dir):
     return filter_sessions(named, "LAP1").select("session_id", session_label("session_id", "alias").alias("label"))
 
 
+def _stored_log(spark, sf_dir):
+    """The log written as session folders and the folder it lies in: days with their manifests, counters and aliases."""
+    root = f"{checkpoint_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    log = derived_log(spark, sf_dir).withColumn("session_folder", F.col("session_id"))
+    begun = _sessions(spark, sf_dir).drop("session_folder").withColumns({
+        "session_folder": F.col("session_id"), "status": F.when(F.col("session_id").endswith("5"), "Active").otherwise("completed"),
+    })
+    stats = _session_stats(spark, sf_dir).withColumn("session_folder", F.col("session_id"))
+    aliases = log.filter("is_marker").groupBy("session_folder", "session_id").agg(
+        F.min_by("marker_keyword", "order").alias("alias")
+    )
+    documents = session_documents(begun, stats).unionByName(alias_documents(aliases))
+    write_store(documents.unionByName(canonical_documents(log)), root)
+    return root
+
+
+@query
+def stored_action_summary(spark, sf_dir):
+    """The action summary of a log that was written as session folders and read back."""
+    log, _ = read_canonical(spark, _stored_log(spark, sf_dir))
+    lines = ranges.select_range(log)
+    return summaries.summarize_actions(parsing.parse_groups(lines, RULES))
+
+
+@query
+def stored_sessions(spark, sf_dir):
+    """Stored sessions as they are listed: label, state, counters, and the keys excluded in each."""
+    root = _stored_log(spark, sf_dir)
+    last = derived_log(spark, sf_dir).filter("event_group IS NOT NULL").groupBy(F.col("session_id").alias("session_folder"), "session_id")
+    groups = last.agg(F.max("event_group").alias("event_group"))
+    records = last.agg(F.max("canonical_record_id").alias("canonical_record_id"))
+    save_exclusions(records, groups, root)
+    sessions, stats, issues = read_sessions(spark, root)
+    labelled = with_labels(sessions, read_aliases(spark, root, sessions)[0])
+    left_out, grouped, _ = read_exclusions(spark, root)
+    unfinished = issues.filter("code = 'not_completed'").select("session_folder", F.lit(True).alias("unfinished"))
+    return (
+        labelled.join(stats.select("session_folder", "parse_errors"), "session_folder")
+        .join(left_out.select("session_folder", "canonical_record_id"), "session_folder", "left")
+        .join(grouped.select("session_folder", "event_group"), "session_folder", "left")
+        .join(unfinished, "session_folder", "left")
+        .select(
+            "session_id", "label", "status", F.coalesce("unfinished", F.lit(False)).alias("unfinished"), "parse_errors",
+            "canonical_record_id", "event_group", F.date_format("ended_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ended_at"),
+        )
+    )
+
+
 @query
 def combined_order(spark, sf_dir):
     return collection.combine_sessions(derived_log(spark, sf_dir)).select("order", "session_id", "session_order")

@@ -8,11 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loomlog.functions.numbers import flex_long
 from loomlog.functions.text import css_color, is_blank
-from loomlog.operators.collection import CANONICAL_KEYS, with_source_ids
+from loomlog.operators.collection import CANONICAL_KEYS, arrival, with_source_ids
+from loomlog.operators.scans import dense_order
 from loomlog.schemas import CANONICAL_JSON, RAW_RECORD, ddl
+from loomlog.sources.documents import as_json, misfits, parse_document, types_of
 
 CANONICAL_FILE = "canonical_records.jsonl"
 RAW_FILE = "raw_records.jsonl"
+# The types that values may have in a stored line.
+_KINDS = {"STRING": ("STRING",), "TIMESTAMP": ("STRING", "TIMESTAMP"), "BOOLEAN": ("BOOLEAN",)}
+_LONGS = ("order", "sequence_hint_min", "sequence_hint_max")
+CANONICAL_TYPES = {
+    n: ("BIGINT", "STRING") if n in _LONGS else _KINDS.get(kind, ("ARRAY",)) for n, kind in CANONICAL_JSON.items()
+}
 META_COLUMNS = tuple(f"meta{i}" for i in range(1, 22))
 FLAT_COLUMNS = (
     "schema_version", "raw_record_id", "session_id", "first_seen_at", "source_file", "window_id",
@@ -68,13 +76,17 @@ def read_canonical(
 ) -> tuple[DataFrame, DataFrame]:
     """(log, line errors) of one or many session folders.
 
-    Blank lines are skipped, unreadable ones come back as errors with their number and text.
+    Keys may be in any case; comments and trailing commas are allowed. Blank lines are skipped; lines that are no object
+    or hold a value of a wrong type come back as errors with their number and text.
     """
     lines = read_lines(spark, paths, CANONICAL_FILE)
     filled = lines.filter(~is_blank("line"))
-    schema = ddl({**CANONICAL_JSON, "_bad": "STRING"})
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowComments": "true"}
-    parsed = filled.withColumn("_r", F.from_json("line", schema, options))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    document = filled.withColumn("_document", parse_document("line"))
+    fitting = F.size(misfits(types_of("_document"), CANONICAL_TYPES)) == 0
+    parsed = document.withColumn(
+        "_r", F.when(fitting, F.from_json(F.to_json("_document"), ddl({**CANONICAL_JSON, "_bad": "STRING"}), options))
+    ).drop("_document")
     good = parsed.filter(F.col("_r").isNotNull() & F.col("_r._bad").isNull())
     log = good.select("_r.*", "session_folder", "read_index").drop("_bad").withColumns(
         {
@@ -89,6 +101,23 @@ def read_canonical(
     return log, errors
 
 
+def canonical_documents(log: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Canonical lines as lines of a store, in order; ``session_folder`` names the folder."""
+    full = log if sources is None else with_source_ids(log, sources)
+    shown = [n for n in CANONICAL_JSON if n in full.columns]
+    return full.select(
+        "session_folder", F.lit(CANONICAL_FILE).alias("file"), F.col("order").cast("bigint").alias("place"),
+        as_json(full, shown).alias("line"),
+    )
+
+
+def raw_documents(raw: DataFrame) -> DataFrame:
+    """Raw records as lines of a store, in the order of their arrival."""
+    shown = [n for n in RAW_RECORD if n in raw.columns]
+    placed = dense_order(raw, [arrival(raw), "raw_record_id"], ["session_folder"], "place")
+    return placed.select("session_folder", F.lit(RAW_FILE).alias("file"), "place", as_json(placed, shown).alias("line"))
+
+
 def write_canonical(log: DataFrame, path: str, sources: DataFrame | None = None, fmt: str = "json") -> None:
     """Full replace, one folder per session, lines in order.
 

@@ -4,48 +4,34 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loomlog.functions import fixed_values as fixed
 from loomlog.functions.text import alias_problem, contains_ignoring_case, is_blank, normalize_alias, session_label
 from loomlog.schemas import ALIAS_JSON, EXCLUSIONS_JSON, SESSION_JSON, STATS_JSON, ddl
-from loomlog.sources.lines import folder_of
+from loomlog.sources.documents import as_json, merged, parse_document, spelled_document
+from loomlog.sources.session_store import folder_in, read_store, write_store
 
 REQUIRED_FILES = ("session.json", "canonical_records.jsonl", "stats.json")
 OPTIONAL_FILES = ("raw_records.jsonl",)
 FORMAT_VERSION = 1
 
 
-def _folder() -> Column:
-    return folder_of(F.col("_metadata.file_path")).alias("session_folder")
-
-
 def _read(spark: SparkSession, root: str, name: str, schema: dict[str, str]) -> DataFrame:
     """One small JSON document per folder; ``_bad`` keeps a document that does not parse."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name)
-    document = F.regexp_replace("value", "^\ufeff", "")
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowComments": "true"}
-    parsed = F.from_json(document, ddl({**schema, "_bad": "STRING"}), options)
-    files = reader.text(root, wholetext=True).select(_folder(), document.alias("_text"), parsed.alias("_d"))
-    unread = F.when(F.col("_d").isNull(), F.col("_text")).otherwise(F.col("_d._bad"))
-    return files.select("session_folder", *[f"_d.{n}" for n in schema], unread.alias("_bad"))
+    files = read_store(spark, root, [name]).filter(F.col("file") == name)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    parsed = F.from_json(F.to_json("_document"), ddl({**schema, "_bad": "STRING"}), options)
+    read = files.withColumn("_document", parse_document("content")).select("session_folder", "content", parsed.alias("_d"))
+    unread = F.when(F.col("_d").isNull(), F.col("content")).otherwise(F.col("_d._bad"))
+    return read.select("session_folder", *[f"_d.{n}" for n in schema], unread.alias("_bad"))
 
 
 def session_files(spark: SparkSession, root: str) -> DataFrame:
-    """Which of the known files each folder has. Contents are not read.
-
-    The names come from Spark's file index: a scan would skip empty files, and an empty log is a log.
-    """
-    names = [*REQUIRED_FILES, *OPTIONAL_FILES]
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    listed = reader.option("pathGlobFilter", "*.json*").load(root).inputFiles()
-    files = spark.createDataFrame([(p,) for p in listed], "path STRING")
-    name = F.element_at(F.split("path", "/"), -1)
-    return (
-        files.withColumns({"name": name, "session_folder": folder_of("path")})
-        .groupBy("session_folder")
-        .agg(*[F.bool_or(F.col("name") == n).alias(n) for n in names])
-    )
+    """Which of the known files each folder has. Contents are not read, and an empty log is a log."""
+    return read_store(spark, root).groupBy("session_folder").agg(
+        *[F.bool_or(F.col("file") == n).alias(n) for n in (*REQUIRED_FILES, *OPTIONAL_FILES)]
+    ).filter(" OR ".join(f"`{n}`" for n in (*REQUIRED_FILES, *OPTIONAL_FILES)))
 
 
 def list_sessions(spark: SparkSession, root: str) -> DataFrame:
@@ -134,6 +120,81 @@ def read_exclusion_tables(spark: SparkSession, path: str) -> tuple[DataFrame, Da
     return records, groups
 
 
+def exclusion_documents(records: DataFrame, groups: DataFrame) -> DataFrame:
+    """Exclusions as documents of a store, from keys with their ``session_folder``; blank keys are an error.
+
+    A document is written line by line, one key a line, so that no folder's keys become one row.
+    """
+    parts = []
+    for number, (keys, names) in enumerate(((records, ("session_id", "canonical_record_id")), (groups, ("session_id", "event_group")))):
+        bad = F.lit(False)
+        for name in names:
+            bad = bad | F.col(name).isNull() | is_blank(name)
+        if not keys.filter(bad).isEmpty():
+            raise ValueError("exclusion keys must not be blank")
+        nth = F.row_number().over(Window.partitionBy("session_folder").orderBy(*names))
+        line = F.concat(F.when(F.col("nth") > 1, ",").otherwise(""), as_json(keys, names))
+        listed = keys.select("session_folder", *names).distinct().withColumn("nth", nth)
+        parts.append(listed.select("session_folder", (F.lit(number << 40) + F.col("nth")).alias("place"), line.alias("line")))
+    frame = ((0, f'{{"schema_version":{FORMAT_VERSION},"records":['), (1 << 40, '],"groups":['), (1 << 41, "]}"))
+    keys = parts[0].unionByName(parts[1])
+    edges = keys.select("session_folder").distinct().select(
+        "session_folder", F.explode(F.array(*[F.struct(F.lit(p).cast("bigint").alias("place"), F.lit(t).alias("line")) for p, t in frame])).alias("e")
+    ).select("session_folder", "e.place", "e.line")
+    return keys.unionByName(edges).select("session_folder", F.lit("analysis_exclusions.json").alias("file"), "place", "line")
+
+
+def save_exclusions(records: DataFrame, groups: DataFrame, root: str) -> None:
+    """Replace the exclusions of the folders that have keys; :func:`read_exclusions` reads them."""
+    write_store(exclusion_documents(records, groups), root)
+
+
+def _documents(rows: DataFrame, file: str, columns: dict[str, str] | list[str]) -> DataFrame:
+    shown = [n for n in columns if n in rows.columns]
+    return rows.select("session_folder", F.lit(file).alias("file"), F.lit(0).cast("bigint").alias("place"), as_json(rows, shown).alias("line"))
+
+
+def session_documents(sessions: DataFrame, stats: DataFrame) -> DataFrame:
+    """Manifests and counters (each with ``session_folder``) as documents of a store."""
+    return _documents(sessions, "session.json", SESSION_JSON).unionByName(_documents(stats, "stats.json", STATS_JSON))
+
+
+def alias_documents(aliases: DataFrame) -> DataFrame:
+    """Aliases (``session_folder``, ``session_id``, ``alias``) as documents of a store."""
+    if not aliases.filter(alias_problem("alias").isNotNull()).isEmpty():
+        raise ValueError("an alias holds a control character or is too long")
+    named = aliases.withColumns({"alias": normalize_alias("alias"), "schema_version": F.lit(FORMAT_VERSION)})
+    return _documents(named, "session_annotations.json", ALIAS_JSON)
+
+
+def edit_manifest(
+    spark: SparkSession, root: str, session_id: str, status: str, at: datetime, manual: bool = False
+) -> None:
+    """Close one stored session. Keys of its manifest that are not concerned stay, known or not.
+
+    A completion by hand needs an active session and keeps its end time.
+    """
+    if status not in ("completed", "aborted"):
+        raise ValueError("a session can be completed or aborted")
+    if manual and status != "completed":
+        raise ValueError("only an active session can be completed by hand")
+    found = read_store(spark, root, ["session.json"]).filter(F.col("file") == "session.json")
+    named = found.withColumn("_keys", parse_document("content"))
+    text = lambda key: F.try_variant_get(F.col("_keys")[key], "$", "string")
+    mine = named.filter(text("session_id") == session_id)
+    if manual:
+        mine = mine.filter(text("status") == "active")
+    if mine.isEmpty():
+        raise ValueError("only an active session can be completed by hand" if manual else f"no session {session_id}")
+    stamp = F.date_format(F.lit(at).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    changes = {"status": F.lit(status), "manually_completed_at" if manual else "ended_at": stamp}
+    edited = mine.select(
+        folder_in(root).alias("session_folder"), "file", F.lit(0).cast("bigint").alias("place"),
+        merged(spelled_document("content"), changes).alias("line"),
+    )
+    write_store(edited, root)
+
+
 def read_aliases(spark: SparkSession, root: str, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(aliases, errors). An alias counts only in version 1 and for the session of its folder."""
     files = _read(spark, root, "session_annotations.json", ALIAS_JSON)
