@@ -641,6 +641,13 @@ coalesce(CAST(sequence_hint_min AS VARCHAR), '') AS sequence_hint, t AS visible_
 nullif(regexp_extract(t, {MARKER}, 1), '') AS marker_keyword, 'success' AS parse_status, '80ff00aa' AS color_code,
 {time_list("t")} AS message_time_text FROM (SELECT *, {tidy("visible_text")} AS t FROM log)"""
 
+# Whatever a file was overwritten with, all that it ever held has been read once.
+CHECKS["rewritten_snapshots"] = ctes(LOG_CTE) + f"""SELECT CAST(1 + (read_index // 40) % 2 AS INTEGER) AS window_id,
+CAST((read_index // 40) % 20 AS INTEGER) AS rotation_index,
+CAST(row_number() OVER (PARTITION BY read_index // 40 ORDER BY read_index) - 1 AS INTEGER) AS record_index,
+coalesce(event_group, '') AS event_group, coalesce(CAST(sequence_hint_min AS VARCHAR), '') AS sequence_hint,
+{tidy("visible_text")} AS visible_text FROM log"""
+
 # --- flat view ---------------------------------------------------------------------------------
 
 FLAT = f"""flat AS MATERIALIZED (SELECT *, event_id % 10 = 7 AS bad, CASE event_id % 3 WHEN 0 THEN '80ff00aa' WHEN 1 THEN '00aaff' ELSE 'none' END AS color

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomlog.functions import fixed_values as fixed
 from loomlog.functions.hashing import raw_record_id
 from loomlog.plans.derived import derived_log
+from loomlog.sources.session_store import opened_root
 
 # Each line is seen in one or two windows, and some sightings are read twice. Plain SQL over a log
 # line and the sighting number k (0, 1, 2), read alike by Spark and DuckDB.
@@ -97,6 +102,25 @@ def derived_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _write_files(frames: Iterator[pd.DataFrame], root: str) -> Iterator[pd.DataFrame]:
+    """Write files under ``root``; a file is whole or not there when it is looked at."""
+    for files in frames:
+        for path, content in zip(files["path"], files["content"]):
+            system, target, _ = opened_root(f"{root}/{path.lstrip('/')}")
+            system.create_dir(posixpath.dirname(target), recursive=True)
+            hidden = f"{target}.{uuid.uuid4().hex}"
+            with system.open_output_stream(hidden) as stream:
+                stream.write(content)
+            system.move(hidden, target)
+        yield pd.DataFrame({"files": [len(files)]})
+
+
+def put_files(files: DataFrame, root: str) -> int:
+    """Write binary files (``path``, ``content``) under a shared folder, over those that are there; returns their number."""
+    put = files.select("path", "content").mapInPandas(lambda frames: _write_files(frames, root), "files BIGINT")
+    return put.agg(F.sum("files")).first()[0] or 0
+
+
 # One JSON line per event, every tenth of them broken.
 JSON_LINE = """CASE WHEN event_id % 10 = 7 THEN '{"session_id": "s' || CAST(event_id AS STRING)
 ELSE '{"schema_version":"1.0","session_id":"s' || CAST(event_id AS STRING)

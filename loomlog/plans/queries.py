@@ -19,7 +19,7 @@ from loomlog.operators import areas, collection, exclusions, grouping, incoming,
 from loomlog.operators import search, summaries, timeline
 from loomlog.plans.analysis import analyze_slice
 from loomlog.plans.derived import RULES, derived_log, read_table
-from loomlog.plans.derived_raw import derived_json_lines, derived_raw, derived_snapshots
+from loomlog.plans.derived_raw import derived_json_lines, derived_raw, derived_snapshots, put_files
 from loomlog.sources.lines import canonical_documents, flatten_lines, read_canonical, replay
 from loomlog.sources.session_store import write_store
 from loomlog.sources.sessions import (
@@ -27,7 +27,7 @@ from loomlog.sources.sessions import (
     session_rollup, with_labels,
 )
 from loomlog.session import checkpoint_folder
-from loomlog.sources.snapshots import explode_snapshot_records, shape_snapshots
+from loomlog.sources.snapshots import explode_snapshot_records, shape_snapshots, stream_rewritten
 from loomlog.streaming.collect import read_state, upsert_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -670,6 +670,28 @@ def snapshot_records(spark, sf_dir):
                       F.col("display.color_code").alias("color_code"), "message_time_text")
 
 
+@query
+def rewritten_snapshots(spark, sf_dir):
+    """The snapshots as they rotate: each file is written over by a later one, and a stream reads it again.
+
+    Two rounds of polls with one checkpoint; a third one finds nothing new.
+    """
+    place = f"{checkpoint_folder(spark)}/rotating-{uuid.uuid4().hex}"
+    folder = F.split("path", "/")[2].cast("bigint")
+    files = derived_snapshots(spark, sf_dir).withColumns({
+        "round": folder % 2,
+        "path": F.concat(F.floor(folder / 2).cast("string"), F.lit("/"), F.element_at(F.split("path", "/"), -1)),
+    })
+    for turn in (0, 1, None):
+        if turn is not None:
+            put_files(files.filter(F.col("round") == turn), f"{place}/log")
+        records = explode_snapshot_records(stream_rewritten(spark, f"{place}/log"))
+        polls = records.writeStream.option("checkpointLocation", f"{place}/check").trigger(availableNow=True)
+        polls.format("parquet").start(f"{place}/records").awaitTermination()
+    raw = collection.project_raw(spark.read.parquet(f"{place}/records"), "s")
+    return raw.select("window_id", "rotation_index", "record_index", "event_group", "sequence_hint", "visible_text")
+
+
 @query
 def log_fingerprint(spark, sf_dir):
     return collection.fingerprint(derived_log(spark, sf_dir))

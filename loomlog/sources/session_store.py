@@ -36,7 +36,7 @@ LINES = "session_folder STRING, file STRING, place BIGINT, line STRING"
 LISTERS = 32
 
 
-def _opened(root: str) -> tuple[fs.FileSystem, str, str]:
+def opened_root(root: str) -> tuple[fs.FileSystem, str, str]:
     """The file system of a root, the root as it names it, and how Spark spells what is in front of that."""
     if "://" in root:
         system, path = fs.FileSystem.from_uri(root)
@@ -70,7 +70,7 @@ class SessionReader(DataSourceReader):
         return [Share(n, self.listers) for n in range(self.listers)]
 
     def read(self, partition: Share) -> Iterator[Row]:
-        system, root, prefix = _opened(self.root)
+        system, root, prefix = opened_root(self.root)
         top = _children(system, root)
         # Files that lie in the root itself make it a session folder; the first task takes them.
         waiting = [[i for i in top if i.is_file]] if partition.part == 0 else []
@@ -105,7 +105,7 @@ class SessionWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator[Row]) -> Staged:
         """Write the rows of a task; a file's rows follow each other."""
-        system, root, _ = _opened(self.root)
+        system, root, _ = opened_root(self.root)
         # A task that is run again, or twice at a time, writes under another name; only what it reports is committed.
         attempt = uuid.uuid4().hex
         files: list[tuple[str, str]] = []
@@ -134,13 +134,13 @@ class SessionWriter(DataSourceWriter):
         return Staged(files)
 
     def commit(self, messages: list[Staged | None]) -> None:
-        system, _, _ = _opened(self.root)
+        system, _, _ = opened_root(self.root)
         files = [f for m in messages if m is not None for f in m.files]
         for hidden, wanted in sorted(files, key=lambda f: posixpath.basename(f[1]) == MANIFEST):
             system.move(hidden, wanted)
 
     def abort(self, messages: list[Staged | None]) -> None:
-        system, _, _ = _opened(self.root)
+        system, _, _ = opened_root(self.root)
         for message in messages:
             for hidden, _ in message.files if message is not None else ():
                 if system.get_file_info(hidden).type != fs.FileType.NotFound:
@@ -183,7 +183,7 @@ def read_store(spark: SparkSession, root: str, documents: Sequence[str] = ()) ->
 
 def folder_in(root: str, folder: str = "session_folder") -> Column:
     """A folder as it is read, named from the root on, as it is written."""
-    _, path, prefix = _opened(root)
+    _, path, prefix = opened_root(root)
     return F.replace(F.col(folder), F.lit(f"{prefix}{path}/"), F.lit(""))
 
 

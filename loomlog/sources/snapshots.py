@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomlog.functions import fixed_values as fixed
 from loomlog.schemas import SNAPSHOT, ddl
+from loomlog.sources.changed_files import CHANGED, stream_changes
 
 RECORD_COLUMNS = (
     "record_index INT, record_offset INT, record_bytes BINARY, meta_fields ARRAY<STRING>, "
@@ -58,7 +59,7 @@ def stream_snapshots(
     spark: SparkSession, landing: str, windows: Sequence[int] = (1, 2), slots: int = fixed.MAX_SLOTS,
     files_per_batch: int = 1000,
 ) -> DataFrame:
-    """The same scan as a stream. A path is read once, so every new snapshot must land as a new file."""
+    """The same scan as a stream of files that land once; see :func:`stream_rewritten` for files that are rewritten."""
     files = (
         spark.readStream.format("binaryFile").schema(ddl(SNAPSHOT))
         .option("recursiveFileLookup", True).option("pathGlobFilter", "*.log")
@@ -67,6 +68,14 @@ def stream_snapshots(
     return shape_snapshots(files.load(landing), windows, slots)
 
 
+def stream_rewritten(
+    spark: SparkSession, folder: str, windows: Sequence[int] = (1, 2), slots: int = fixed.MAX_SLOTS
+) -> DataFrame:
+    """The same scan as a stream of files that are rewritten in place: a changed file comes again, an unchanged one never."""
+    changed = stream_changes(spark, folder).filter(F.col("change") == CHANGED).drop("change")
+    return shape_snapshots(changed, windows, slots)
+
+
 _HIDDEN = re.compile(b"[" + re.escape(bytes(fixed.CONTROL_PREFIXES)) + rb"](?s:.)?|\x00")
 
 

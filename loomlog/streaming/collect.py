@@ -23,7 +23,7 @@ from loomlog.operators import collection as c
 from loomlog.operators.collection import CANONICAL_KEYS
 from loomlog.operators.scans import dense_order
 from loomlog.session import path_exists
-from loomlog.sources.snapshots import explode_snapshot_records, stream_snapshots
+from loomlog.sources.snapshots import explode_snapshot_records, stream_rewritten, stream_snapshots
 
 RAW_KEYS = ["session_id", "raw_record_id"]
 # Files of a version. Each holds few buckets, so their statistics tell which files a few keys can be in.
@@ -40,12 +40,18 @@ def stream_raw(
     windows: Sequence[int] = (1, 2),
     slots: int = fixed.MAX_SLOTS,
     files_per_batch: int = 1000,
+    in_place: bool = False,
 ) -> DataFrame:
     """Raw records of the snapshots that land in a folder; baseline records never come out.
 
+    ``in_place``: files are rewritten, and come again as often as they change (``files_per_batch`` has no meaning then).
     Records that were read before come out again; :func:`upsert_batch` knows them by id, however late they are.
     """
-    records = explode_snapshot_records(stream_snapshots(spark, landing, windows, slots, files_per_batch))
+    if in_place:
+        files = stream_rewritten(spark, landing, windows, slots)
+    else:
+        files = stream_snapshots(spark, landing, windows, slots, files_per_batch)
+    records = explode_snapshot_records(files)
     if baseline is not None:
         records = c.drop_baseline(records, baseline)
     return c.project_raw(records, session_id)
