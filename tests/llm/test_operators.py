@@ -516,3 +516,14 @@ def test_colliding_keys_form_a_chain(spark, monkeypatch):
     assert table(exact.exact_groups(frame)) == sorted(brute.exact(docs), key=str)
     chained = exact.index(frame).orderBy("chain").collect()
     assert [(r.key, r.chain, r.keep_id) for r in chained] == [(7, n, n) for n in range(4)]
+
+
+def test_rows_come_from_the_entries_of_their_bucket(edges, monkeypatch):
+    want = sorted(brute.exact(DOCS), key=str)
+    assert table(exact.exact_groups(edges, capacity=1)) == want
+    assert len({r.bucket for r in exact.index(edges, capacity=1).collect()}) > 4
+    whole = exact._directory_of
+    # Without the part of the directory that holds a key, no row with that key finds its entry.
+    lost = exact._keyed(edges).filter("doc_id = 4").select(exact._slot(exact.F.col("key"))).first()[0]
+    monkeypatch.setattr(exact, "_directory_of", lambda rows, capacity: whole(rows, capacity).filter(f"slot <> {lost}"))
+    assert table(exact.exact_groups(edges)) == [r for r in want if r[0] != 4]
