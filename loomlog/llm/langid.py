@@ -3,14 +3,16 @@
 A word is a run of ASCII letters and of bytes above 127; A-Z count as a-z. Its subwords are the runs of two to four
 bytes of the word with one blank on each side. Subwords are hashed to rows of an embedding table; the rows of a text
 are averaged and a linear softmax gives the languages. Training is stochastic gradient descent in numpy on a bounded
-sample of labelled rows: of the texts with at most ``SAMPLE_CHARS`` characters, the ``SAMPLE_ROWS`` first rows in a
-seeded order that takes languages in turn. A fifth of the sample is kept apart to fit a temperature, so that scores are
-probabilities, and the threshold below which a prediction is rejected.
+sample of labelled rows: the ``SAMPLE_ROWS`` first in a seeded order that takes languages in turn, texts of more than
+``SAMPLE_CHARS`` characters after all others of their language, shortest first, and only up to ``SAMPLE_ROWS`` times
+``SAMPLE_CHARS`` characters in all, but each language's first row is always taken. A fifth of the sample is kept apart to
+fit a temperature, so that scores are probabilities, and the threshold below which a prediction is rejected: one half, or
+less if more than ``REJECTED_RIGHT`` of the rightly named texts kept apart would fall below it.
 
 For prediction the table and the softmax are multiplied out and rounded to whole numbers, so that the sum over a text
 does not depend on how it is cut. A null text, or one without a letter, is ``und`` with score 0 and rejected. With no
 labelled row there is no language to learn: every row is ``und``. Labels that are null teach nothing; a null ``doc_id``
-counts as held out. Repeated rows each get a row. Every text is read whole, piece by piece.
+counts as held out. Repeated rows each get a row, and teach once. Every text is read whole, piece by piece.
 """
 
 from __future__ import annotations
@@ -24,11 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import byte_column, steps
+from loomlog.llm.common import byte_column, steps, stored
 
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
+# Slots of the seeded order of a language; longer texts have as many behind them.
+SLOTS = 4096
+# The share of rightly named texts that may be rejected.
+REJECTED_RIGHT = 0.01
 BUCKETS, WIDTH = 1 << 16, 16
 EPOCHS, RATE, SEED = 6, 4.0, 5
+# The largest value of a weight or embedding: what a subword adds stays below WIDTH * LIMIT ** 2, 31 bits when scaled.
+LIMIT = 32.0
 LENGTHS = (2, 3, 4)
 UNKNOWN = "und"
 # Bytes of text whose subwords are held at a time.
@@ -139,16 +147,19 @@ def train(texts: list[bytes], labels: list[str]) -> Model:
             error = _softmax(mean @ weights + bias)
             error[answer[n]] -= 1
             back = weights @ error
-            weights -= rate * np.outer(mean, error)
+            # Bounded, since labels that contradict each other make such steps grow without end.
+            weights = np.clip(weights - rate * np.outer(mean, error), -LIMIT, LIMIT)
             bias -= 0.1 * rate * error
-            embeddings[buckets] = rows - rate * np.outer(shares, back)
+            embeddings[buckets] = np.clip(rows - rate * np.outer(shares, back), -LIMIT, LIMIT)
     table = embeddings @ weights
+    # A subword that no taught text has says nothing; its embedding is still the random one it began with.
+    taught_buckets = np.unique(np.concatenate([bags[n][0] for n in taught]))
+    table[np.setdiff1d(np.arange(BUCKETS), taught_buckets)] = 0
     calibration = apart if len(apart) else taught
     logits = np.array([bags[n][1] @ table[bags[n][0]] + bias for n in calibration]).reshape(-1, len(languages))
     right = answer[calibration]
     rounded = np.rint(table * _SCALE).astype(np.int32)
-    # The temperature under which the calibration texts' labels are likeliest, then the highest threshold of at most
-    # one half that no rightly named calibration text falls below.
+    # The temperature under which the calibration texts' labels are likeliest, then the threshold.
     grid = np.geomspace(0.05, 20, 60)
     # Labels count with the doubt that so few texts leave, so that flawless ones do not make every score 1.
     doubt = np.full(logits.shape, 1 / (len(right) + len(languages)) / len(languages))
@@ -157,28 +168,55 @@ def train(texts: list[bytes], labels: list[str]) -> Model:
     temperature = float(grid[int(np.argmin(losses))])
     scores = _softmax(logits / temperature)
     sure = scores.max(axis=1)[scores.argmax(axis=1) == right]
-    threshold = min([0.5, *sure.tolist()]) * 0.999
-    return Model(languages, rounded, bias, temperature, threshold)
+    return Model(languages, rounded, bias, temperature, rejection_threshold(sure))
+
+
+def rejection_threshold(right: np.ndarray) -> float:
+    """The score below which predictions are rejected, from the scores of rightly named texts."""
+    kept = np.quantile(right, REJECTED_RIGHT, method="lower") if len(right) else 0.5
+    return min(0.5, float(kept)) * 0.999
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """The bounded sample: ``text`` (bytes) and ``lang`` of rows that may be learned from."""
+    """The bounded sample: ``doc_id``, ``text`` (bytes) and ``lang`` of rows that may be learned from, each once.
+
+    A language's rows are counted by slot of their order first, so that no more than its first ``rows`` rows and the rest of
+    one slot are ever sorted.
+    """
     labelled = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.col("lang").alias("lang")
-    ).filter(~_held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= chars))
-    turn = W.partitionBy("lang").orderBy("seeded", "doc_id")
-    chosen = (
-        labelled.select("doc_id", "lang", F.xxhash64(F.lit(SEED), "doc_id").alias("seeded"))
-        .withColumn("turn", F.row_number().over(turn))
-        .filter(F.col("turn") <= rows)
-        .orderBy("turn", "seeded", "doc_id", "lang")
-        .limit(rows)
-        .select(F.col("doc_id").alias("chosen_id"))
+    ).filter(~_held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("key", F.xxhash64("text"))
+    length = F.length("text")
+    facts = stored(
+        labelled.select("doc_id", "lang", "key", length.alias("chars"), F.when(length > chars, length).otherwise(0).alias("above"))
         .distinct()
+        .withColumn("seeded", F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 1))
+        .withColumn(
+            "slot", F.when(F.col("above") == 0, F.shiftright("seeded", 51)).otherwise(
+                SLOTS + F.least(F.floor(F.col("above") / chars), F.lit(SLOTS - 1))
+            )
+        ),
+        "language-sample",
+    )
+    before = F.sum("held").over(W.partitionBy("lang").orderBy("slot").rowsBetween(W.unboundedPreceding, -1))
+    # One row per language, as the model itself has.
+    cuts = (
+        facts.groupBy("lang", "slot").agg(F.count(F.lit(1)).alias("held"))
+        .withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < rows)
+        .groupBy("lang").agg(F.max("slot").alias("last"))
+    )
+    order = ["above", "seeded", "doc_id", "key"]
+    early = facts.join(F.broadcast(cuts), "lang").filter("slot <= last")
+    first = (
+        early.withColumn("turn", F.row_number().over(W.partitionBy("lang").orderBy(*order)))
+        .orderBy("turn", *order, "lang").limit(rows)
     )
-    # At most SAMPLE_ROWS ids are sent to all tasks.
-    return labelled.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"), "left_semi").select(
-        "doc_id", F.col("text").cast("binary").alias("text"), "lang"
+    # Over at most ``rows`` rows, which are then sent to all tasks.
+    spent = F.sum("chars").over(W.orderBy("above", "turn", *order[1:], "lang").rowsBetween(W.unboundedPreceding, W.currentRow))
+    chosen = first.withColumn("spent", spent).filter((F.col("spent") <= rows * chars) | (F.col("turn") == 1))
+    taught = labelled.join(F.broadcast(chosen.select("doc_id", "lang", "key")), ["doc_id", "lang", "key"], "left_semi")
+    return taught.groupBy("doc_id", "lang", "key").agg(F.first("text").cast("binary").alias("text")).select(
+        "doc_id", "text", "lang"
     )
 
 
@@ -188,7 +226,7 @@ def _held_out():
 
 def learn(docs: DataFrame) -> Model | None:
     """A model from the bounded sample, fitted on the driver; none if nothing is labelled."""
-    rows = sorted(sample(docs).collect(), key=lambda r: (r["doc_id"], r["lang"], bytes(r["text"])))[:SAMPLE_ROWS]
+    rows = sorted(sample(docs).collect(), key=lambda r: (r["doc_id"], r["lang"], bytes(r["text"])))
     return train([bytes(r["text"]) for r in rows], [r["lang"] for r in rows]) if rows else None
 
 
