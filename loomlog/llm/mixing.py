@@ -180,23 +180,26 @@ def mix(
     )
     facts = spark.createDataFrame(list(zip(names, sizes, wanted)), "source string, source_size long, target double")
 
-    # The slice in which a pattern's rest is reached, and the words in the slices before it.
+    # What a slice of a pattern gives: whole passes, and whether the pattern's rest is reached before, in or after it. Rows
+    # are joined by pattern and slice, so a pattern of a third of all rows is as many keys as there are slices.
     running = W.partitionBy("pattern").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    edges = (
+    parts = stored(
         slices.join(plan, "pattern")
         .withColumn("before", F.coalesce(F.sum("size").over(running), F.lit(0)))
-        .filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") >= F.col("rest")))
-        .select("pattern", F.col("slice").alias("edge"), "before")
+        .select(
+            "pattern", "slice", "passes", (F.col("rest") - F.col("before")).alias("still"),
+            ((F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") >= F.col("rest"))).alias("edge"),
+        ),
+        "mix-parts",
     )
-    planned = rows.join(plan.join(edges, "pattern", "left"), "pattern", "left")
+    planned = rows.join(parts, ["pattern", "slice"])
     passes = F.col("passes") * F.col("size")
-    clear = planned.filter(~F.col("slice").eqNullSafe(F.col("edge"))).select(
-        *handed,
-        (passes + F.when(F.col("slice") < F.col("edge"), F.col("size")).otherwise(0)).alias("taken"),
+    clear = planned.filter(~F.col("edge")).select(
+        *handed, (passes + F.when(F.col("still") > 0, F.col("size")).otherwise(0)).alias("taken")
     )
     earlier = W.partitionBy("pattern").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    still = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(earlier), F.lit(0))
-    edge = planned.filter(F.col("slice").eqNullSafe(F.col("edge"))).select(
+    still = F.col("still") - F.coalesce(F.sum("size").over(earlier), F.lit(0))
+    edge = planned.filter("edge").select(
         *handed, (passes + F.greatest(F.lit(0), F.least(F.col("size"), still))).alias("taken")
     )
     return Mix(clear.unionAll(edge), facts)

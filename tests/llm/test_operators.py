@@ -121,6 +121,53 @@ def test_language_edges(edges, nothing):
     assert {r.lang_pred for r in unlabelled} == {"und"}
 
 
+def test_one_unlucky_text_does_not_end_rejection():
+    assert langid.rejection_threshold(np.array([0.26] + [0.9] * 199)) == 0.5 * 0.999
+    assert langid.rejection_threshold(np.array([0.4] * 50 + [0.9] * 150)) == 0.4 * 0.999
+    assert langid.rejection_threshold(np.array([])) == 0.5 * 0.999
+
+
+def language_text(lang, n):
+    """Words of own letters per language."""
+    letters = {"aa": "abcdef", "bb": "ghijkl", "cc": "mnopqr"}[lang]
+    rng = random.Random(f"{lang}{n}")
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(40))
+
+
+def test_junk_and_unlearned_languages_are_rejected(spark):
+    langs = ("aa", "bb", "cc")
+    rows = [(n, language_text(langs[n % 3], n), langs[n % 3]) for n in range(240)]
+    rng = random.Random(5)
+    junk = [" ".join("".join(rng.choice("stuvwxyz") for _ in range(6)) for _ in range(40)), "漢字かな交じり文を読む" * 9, "Привет как дела " * 9]
+    frame = spark.createDataFrame(rows + [(1000 + n, t, None) for n, t in enumerate(junk)], "doc_id LONG, text STRING, lang STRING")
+    model = langid.learn(frame)
+    found = {r.doc_id: r for r in langid.predict(frame, model).collect()}
+    assert all(found[n].lang_pred == lang and not found[n].rejected for n, _, lang in rows)
+    assert all(found[1000 + n].rejected for n in range(len(junk)))
+    assert sorted(r.doc_id for r in langid.accepted(frame, model).collect()) == [n for n, _, _ in rows]
+
+
+def test_the_sample_is_bounded_and_takes_languages_in_turn(spark):
+    # One language has most rows; one has long texts only; ids repeat, with other texts and with the same.
+    taught = [n for n in range(4000) if zlib.crc32(str(n).encode()) % 5]
+    rows = [(n, f"en text {n}", "en") for n in taught[:600]] + [(n, f"de text {n}", "de") for n in taught[600:620]]
+    rows += [(n, "x" * (200 + n), "fr") for n in taught[620:650]] + [(taught[0], f"en other {n}", "en") for n in range(50)]
+    rows += [(taught[1], "same again", "en")] * 70
+    frame = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING").repartition(5)
+    sample = lambda count, chars: langid.sample(frame, count, chars).collect()
+    found = sample(90, 100)
+    by_lang = {lang: [r for r in found if r.lang == lang] for lang in ("en", "de", "fr")}
+    assert len(found) <= 90 and len(by_lang["de"]) == 20 and len(set(map(tuple, found))) == len(found)
+    # Long texts of a language come shortest first, up to all characters of the sample.
+    lengths = sorted(len(r.text) for r in by_lang["fr"])
+    assert lengths == sorted(200 + n for n in taught[620:650])[:len(lengths)] and sum(len(r.text) for r in found) <= 9000
+    assert sorted(map(tuple, sample(90, 100))) == sorted(map(tuple, found))
+    # Where nothing fits, each language's first row is taken.
+    assert sorted(r.lang for r in sample(8, 1)) == ["de", "en", "fr"]
+    long = spark.createDataFrame([(n, language_text("aa", n) * 200, "aa") for n in taught[:30]], "doc_id LONG, text STRING, lang STRING")
+    assert {r.lang_pred for r in langid.languages(long).collect()} == {"aa"}
+
+
 # --- 2 WARC ------------------------------------------------------------------------------------
 
 PAGES = [
@@ -248,6 +295,45 @@ def test_mix_edges(edges, nothing):
     assert not mixing.taken_words(nothing).collect()
 
 
+def plain_mix(rows, share=mixing.SHARE, repeats=mixing.REPEATS):
+    """Words taken per document of one source each; ``rows``: doc_id, size, source, slice, rank."""
+    names = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(r[1] for r in rows if r[2] == name) for name in names]
+    weights = [(5, 2, 1)[n % 3] for n in range(len(names))]
+    left, open_, goal = share * sum(sizes), set(range(len(names))), {}
+    while open_:
+        each = left / sum(weights[n] for n in open_)
+        full = {n for n in open_ if each * weights[n] > repeats * sizes[n]}
+        goal |= {n: repeats * sizes[n] if full else each * weights[n] for n in full or open_}
+        left -= sum(goal[n] for n in full)
+        open_ = open_ - full if full else set()
+    whole = {n: int(goal[n]) for n in goal}
+    short = round(sum(goal[n] for n in range(len(names)))) - sum(whole.values())
+    for n in sorted(goal, key=lambda n: whole[n] - goal[n])[:max(0, short)]:
+        whole[n] += 1
+    taken = []
+    for n, name in enumerate(names):
+        own = sorted((r for r in rows if r[2] == name), key=lambda r: (r[3], r[4], r[0], r[1]))
+        passes, rest = divmod(min(whole[n], repeats * sizes[n]), sizes[n]) if sizes[n] else (0, 0)
+        for r in own:
+            more = min(r[1], rest)
+            rest -= more
+            taken.append((r[0], r[1], passes * r[1] + more))
+    return sorted(taken)
+
+
+def test_mix_equals_a_plain_version(spark):
+    rng = random.Random(8)
+    rows = [(n, " ".join(["w"] * rng.choice((0, 1, 7, 30))), rng.choice(("a", "a", "a", "a", "b", "c", "d", None))) for n in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING")
+    hashed = lambda seed: mixing.F.xxhash64(mixing.F.lit(seed), "doc_id")
+    places = frame.select(
+        "doc_id", mixing.n_words(), "source", mixing.F.pmod(hashed(mixing.SEED), mixing.F.lit(mixing.SLICES)), hashed(mixing.SEED + 1)
+    ).collect()
+    found = mixing.taken_words(frame.repartition(7)).select("doc_id", "size", "taken").collect()
+    assert sorted(map(tuple, found)) == plain_mix(list(map(tuple, places)))
+
+
 def test_mix_of_overlapping_sources(spark):
     rows = [(n, 10, [["a"], ["a", "b"], ["b", "b"], [None], []][n % 5]) for n in range(500)]
     found = mixing.mix(spark.createDataFrame(rows, "doc_id LONG, size LONG, sources ARRAY<STRING>"))
