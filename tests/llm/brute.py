@@ -4,12 +4,15 @@ import hashlib
 import re
 from collections import defaultdict
 
-from loomlog.llm import secrets
-
 SEPARATED = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
+SCOPE = 400
+PART = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
+ENDPOINT = re.compile(r"""(?:https?|s3)://[^\s"'<>]+""", re.A)
+KINDS = ["assign", "access", "hex", "part", "endpoint"]
+
 
 def words(text):
     return SEPARATED.findall(text or "")
@@ -82,15 +85,15 @@ def secret_rows(docs):
         base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
         base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
         base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
-        near_any = lambda at, others: any(abs(at - b) <= secrets.SCOPE for b in others)
+        near_any = lambda at, others: any(abs(at - b) <= SCOPE for b in others)
         ids = [b for b, k, _ in base if k == 1]
-        parts = [(m.start(), 3, m.end()) for m in re.finditer(secrets.PART, t) if near_any(m.start(), ids)]
+        parts = [(m.start(), 3, m.end()) for m in PART.finditer(t) if near_any(m.start(), ids)]
         strong = [b for b, k, _ in base + parts if k != 1]
         ends = [
-            (m.start(), 4, m.end()) for m in re.finditer(secrets.ENDPOINT, t)
+            (m.start(), 4, m.end()) for m in ENDPOINT.finditer(t)
             if near_any(m.start(), ids) and near_any(m.start(), strong)
         ]
-        joined = lambda spans: ",".join(f"{secrets.KINDS[k]}:{b}:{e}" for b, k, e in sorted(spans))
+        joined = lambda spans: ",".join(f"{KINDS[k]}:{b}:{e}" for b, k, e in sorted(spans))
         counts = [sum(k == n for _, k, _ in base) for n in range(3)]
         out.append((i, *counts, sha(joined(base)), joined(base + parts + ends)))
     return out
