@@ -1,13 +1,13 @@
 """Collection as a stream: the batch operators on micro-batches, with everything ever seen kept in tables.
 
-Under one folder lie three tables, each with one version per batch:
+Under one folder lie three tables of runs (:mod:`loomlog.streaming.runs`), to which each batch adds one:
 
-* ``lines``: canonical lines that the batch made or changed, by bucket of their key;
-* ``raw``: ids of the raw records that the batch brought for the first time, by bucket of the id;
+* ``lines``: canonical lines that the batch made or changed;
+* ``raw``: ids of the raw records that the batch brought for the first time;
 * ``lasts``: the last order number of the sessions that the batch gave numbers to.
 
-A batch looks only at versions before its own and writes its own version anew when it runs again, so the result is
-exactly once. Nothing is ever forgotten: a record may come any time later and still merges, or is known and skipped.
+A batch looks up only its own keys, in runs before its own, and writes its own run anew when it is run again, so the result
+is exactly once. Nothing is ever forgotten: a record may come any time later and still merges, or is known and skipped.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomlog.functions import fixed_values as fixed
@@ -24,12 +24,9 @@ from loomlog.operators.collection import CANONICAL_KEYS
 from loomlog.operators.scans import dense_order
 from loomlog.session import path_exists
 from loomlog.sources.snapshots import explode_snapshot_records, stream_rewritten, stream_snapshots
+from loomlog.streaming.runs import FANOUT, RunTable
 
 RAW_KEYS = ["session_id", "raw_record_id"]
-# Files of a version. Each holds few buckets, so their statistics tell which files a few keys can be in.
-BUCKETS = 16
-# The version of a compacted folder: before any batch of a query.
-BASE = -1
 
 
 def stream_raw(
@@ -57,90 +54,80 @@ def stream_raw(
     return c.project_raw(records, session_id)
 
 
-def _bucket(keys: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+def _latest(versions: DataFrame) -> DataFrame:
+    fields = [n for n in versions.columns if n not in CANONICAL_KEYS]
+    latest = F.max_by(F.struct(*fields), F.col("batch")).alias("_v")
+    return versions.groupBy(*CANONICAL_KEYS).agg(latest).select(*CANONICAL_KEYS, "_v.*")
 
 
-def _versions(spark: SparkSession, path: str, table: str, before: int | None) -> DataFrame | None:
-    """All versions of a table before a batch; None when there is none. A broken folder is an error."""
-    folder = f"{path}/{table}"
-    if not path_exists(spark, folder):
-        return None
-    versions = spark.read.option("basePath", folder).parquet(folder)
-    return versions if before is None else versions.filter(F.col("batch") < before)
+def _lines(path: str, fanout: int = FANOUT) -> RunTable:
+    return RunTable(f"{path}/lines", tuple(CANONICAL_KEYS), _latest, fanout)
 
 
-def _write(table: DataFrame, path: str, name: str, batch: int, keys: Sequence[str]) -> None:
-    table.withColumn("bucket", _bucket(keys)).repartition(BUCKETS, "bucket").write.mode("overwrite").parquet(
-        f"{path}/{name}/batch={batch}"
-    )
+def _ids(path: str, fanout: int = FANOUT) -> RunTable:
+    return RunTable(f"{path}/raw", tuple(RAW_KEYS), lambda rows: rows.select(*RAW_KEYS).distinct(), fanout)
 
 
-def _latest(versions: DataFrame) -> DataFrame:
-    fields = [n for n in versions.columns if n not in CANONICAL_KEYS and n != "bucket"]
-    latest = F.max_by(F.struct(*fields), F.col("batch")).alias("_v")
-    return versions.groupBy(*CANONICAL_KEYS).agg(latest).select(*CANONICAL_KEYS, "_v.*")
+def _lasts(path: str, fanout: int = FANOUT) -> RunTable:
+    last = lambda rows: rows.groupBy("session_id").agg(F.max("last").alias("last"))
+    return RunTable(f"{path}/lasts", ("session_id",), last, fanout)
 
 
-def read_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The canonical lines as of a batch: the latest version of every key, or None when nothing is stored."""
-    versions = _versions(spark, path, "lines", before)
-    return None if versions is None else _latest(versions)
+def read_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """The canonical lines as of now: the latest version of every key, or None when nothing is stored."""
+    return _lines(path).read(spark)
 
 
-def new_records(raw: DataFrame, batch: int, path: str) -> DataFrame:
-    """Records of a batch that no batch before it brought, each once."""
-    fresh = c.dedupe_raw(raw)
-    known = _versions(raw.sparkSession, path, "raw", batch)
-    if known is None:
-        return fresh
-    keyed = fresh.withColumn("bucket", _bucket(RAW_KEYS))
-    return keyed.join(known.select("bucket", *RAW_KEYS), ["bucket", *RAW_KEYS], "left_anti").drop("bucket")
+def new_records(records: DataFrame, batch: int, path: str) -> DataFrame:
+    """Those of a batch's distinct records that no batch before it brought."""
+    known = _ids(path).lookup(records, batch)
+    return records if known is None else records.join(known, RAW_KEYS, "left_anti")
 
 
-def upsert_batch(raw: DataFrame, batch: int, path: str) -> None:
+def upsert_batch(raw: DataFrame, batch: int, path: str, fanout: int = FANOUT) -> None:
     """Merge one micro-batch into the canonical lines.
 
-    The batch is worked out once. Only versions of lines it touches are read back; new lines get the next order numbers
-    of their session.
+    The batch is worked out once. Only lines it touches are read back; new lines get the next order numbers of their
+    session. ``fanout`` says how many runs merge into one.
     """
     spark = raw.sparkSession
-    fresh = new_records(raw, batch, path).persist(StorageLevel.MEMORY_AND_DISK)
+    lines, ids, lasts = _lines(path, fanout), _ids(path, fanout), _lasts(path, fanout)
+    for table in (lines, ids, lasts):
+        table.merge(spark, batch)
+    records = c.dedupe_raw(raw).persist(StorageLevel.MEMORY_AND_DISK)
+    fresh = new_records(records, batch, path).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        versions, lasts = _versions(spark, path, "lines", batch), _versions(spark, path, "lasts", batch)
-        state = None
-        if versions is not None:
-            touched = c.valid_records(fresh).select("session_id", c.line_key().alias("canonical_key")).distinct()
-            touched = touched.withColumn("bucket", _bucket(CANONICAL_KEYS))
-            state = _latest(versions.join(touched, ["bucket", *CANONICAL_KEYS], "left_semi"))
-        merged = c.canonicalize(fresh, state)
+        at_most = fresh.count()
+        touched = c.valid_records(fresh).select("session_id", c.line_key().alias("canonical_key"))
+        merged = c.canonicalize(fresh, lines.lookup(touched, batch))
         numbered = dense_order(
             merged.filter(F.col("order").isNull()).drop("order"), ["first_arrival", "canonical_key"], ["session_id"], "order"
         )
-        if lasts is not None:
-            last = lasts.groupBy("session_id").agg(F.max("last").alias("_last"))
-            numbered = numbered.join(last, "session_id", "left").withColumn(
+        last = lasts.lookup(fresh, batch)
+        if last is not None:
+            numbered = numbered.join(last.withColumnRenamed("last", "_last"), "session_id", "left").withColumn(
                 "order", F.col("order") + F.coalesce(F.col("_last"), F.lit(0))
             ).drop("_last")
-        # The ids are written last but one and the lines first: a batch that broke off is run again as a whole.
-        _write(merged.filter(F.col("order").isNotNull()).unionByName(numbered), path, "lines", batch, CANONICAL_KEYS)
-        written = spark.read.parquet(f"{path}/lines/batch={batch}")
-        ends = written.groupBy("session_id").agg(F.max("order").alias("last"))
-        ends.write.mode("overwrite").parquet(f"{path}/lasts/batch={batch}")
-        _write(fresh.select(*RAW_KEYS), path, "raw", batch, RAW_KEYS)
+        # The ids are written last: a batch that broke off is run again as a whole.
+        version = merged.filter(F.col("order").isNotNull()).unionByName(numbered)
+        written = lines.write(version.withColumn("batch", F.lit(batch).cast("bigint")), batch, at_most)
+        ends = (version if written is None else written).groupBy("session_id").agg(F.max("order").alias("last"))
+        lasts.write(ends, batch, at_most)
+        ids.write(fresh.select(*RAW_KEYS), batch, at_most)
     finally:
         fresh.unpersist()
+        records.unpersist()
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
-    """Write what is current to a new folder, as a version before all batches of a query that goes on there."""
-    state = read_state(spark, path)
-    if state is None:
-        return
-    _write(state.drop("batch"), target, "lines", BASE, CANONICAL_KEYS)
-    _write(_versions(spark, path, "raw", None).select(*RAW_KEYS).distinct(), target, "raw", BASE, RAW_KEYS)
-    lasts = _versions(spark, path, "lasts", None).groupBy("session_id").agg(F.max("last").alias("last"))
-    lasts.write.mode("overwrite").parquet(f"{target}/lasts/batch={BASE}")
+    """Write what is current to a new folder, as a base before all batches of a query that goes on there."""
+    for table, to in ((_lines(path), _lines(target)), (_ids(path), _ids(target)), (_lasts(path), _lasts(target))):
+        rows = table.read(spark)
+        if rows is None:
+            return
+        if "batch" in rows.columns:
+            rows = rows.withColumn("batch", F.lit(-1).cast("bigint"))
+        to.write(rows, None, rows.count())
 
 
 def canonicalize_stream(raw: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
@@ -150,7 +137,7 @@ def canonicalize_stream(raw: DataFrame, path: str, checkpoint: str, interval: st
     folder.
     """
     spark = raw.sparkSession
-    if not path_exists(spark, f"{checkpoint}/metadata") and path_exists(spark, f"{path}/lines/batch=0"):
+    if not path_exists(spark, f"{checkpoint}/metadata") and _lines(path).is_used(spark):
         raise ValueError(f"{path} holds the batches of another checkpoint: compact it to a new folder first")
     writer = (
         raw.writeStream.outputMode("append")

@@ -8,6 +8,7 @@ from functools import reduce
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from loomlog.operators import collection as c
@@ -15,6 +16,7 @@ from loomlog.plans.collecting import collect_once
 from loomlog.sources.snapshots import check_slots, cut_records, scan_snapshots
 from loomlog.streaming import collect as sc
 from loomlog.streaming import live
+from loomlog.streaming.runs import RunTable
 
 META = 21
 
@@ -229,6 +231,71 @@ def test_a_broken_state_is_an_error(spark, tmp_path):
         sc.upsert_batch(raw_rows(spark, ["1"]), 1, str(tmp_path))
 
 
+def test_lookups_open_only_buckets_that_can_hold_a_key(spark, tmp_path):
+    table = RunTable(str(tmp_path / "t"), ("k",), lambda rows: rows.groupBy("k").agg(F.max("v").alias("v")), bucket_slots=1)
+    numbers = lambda begin, end, v: spark.range(begin, end).select(F.col("id").alias("k"), F.lit(v).cast("bigint").alias("v"))
+    for batch in range(3):
+        table.write(numbers(20_000 * batch, 20_000 * (batch + 1), batch), batch, 20_000)
+    buckets = lambda found: {p.rsplit("/", 1)[0] for p in found.inputFiles()}
+    assert len(buckets(table.read(spark))) == 3 * 16
+    found = table.lookup(numbers(20_001, 20_004, 9), 3)
+    # At most one bucket per key in its own run; a chance of one in sixteen per key in each other run.
+    assert rows(found) == [(20_001, 1), (20_002, 1), (20_003, 1)] and len(buckets(found)) <= 5
+    assert rows(table.lookup(numbers(20_001, 20_004, 9).unionByName(numbers(7, 8, 9)), 1)) == [(7, 0)]
+    # Keys that nobody has seen: few buckets are opened by chance, and nothing is found.
+    unseen = table.lookup(numbers(90_000, 90_016, 9), 3)
+    assert unseen is None or (rows(unseen) == [] and len(buckets(unseen)) <= 12)
+    assert table.lookup(numbers(0, 0, 9), 3) is None
+
+
+def test_runs_merge_in_levels(spark, tmp_path):
+    table = RunTable(str(tmp_path / "t"), ("k",), lambda rows: rows.groupBy("k").agg(F.max("v").alias("v")), fanout=2)
+    expected = {}
+    for batch in range(9):
+        table.merge(spark, batch)
+        table.merge(spark, batch)
+        # Batch 4 brings nothing; every other one a key of its own and a new value of key 100.
+        keys = [] if batch == 4 else [(batch, batch), (100, batch)]
+        written = spark.createDataFrame(keys, "k BIGINT, v BIGINT")
+        for _ in range(2):
+            table.write(written, batch, len(keys))
+        expected |= dict(keys)
+        assert dict(rows(table.read(spark))) == expected
+        assert dict(rows(table.lookup(written, None))) == dict(keys) if keys else table.lookup(written, None) is None
+    spans = [(r.begin, r.end) for r in table.cover(spark)]
+    assert spans == [(0, 8), (8, 9)]
+    # What the merge before last replaced is gone, what the last one replaced is still there for its readers.
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["batch=8", "merged=0-4", "merged=0-8", "merged=4-8"]
+    assert dict(rows(table.read(spark, 8))) == {k: 7 if k == 100 else v for k, v in expected.items() if k != 8}
+
+
+def test_a_merge_that_broke_off_is_made_again(spark, tmp_path):
+    table = RunTable(str(tmp_path / "t"), ("k",), lambda rows: rows.groupBy("k").agg(F.max("v").alias("v")), fanout=2)
+    for batch in range(2):
+        table.write(spark.createDataFrame([(batch, batch)], "k BIGINT, v BIGINT"), batch, 1)
+    broken = tmp_path / "t" / "merged=0-2" / "rows"
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_bytes(b"no parquet")
+    assert rows(table.read(spark)) == [(0, 0), (1, 1)]
+    table.merge(spark, 2)
+    assert [(r.begin, r.end) for r in table.cover(spark)] == [(0, 2)] and rows(table.read(spark)) == [(0, 0), (1, 1)]
+
+
+def test_many_batches_equal_one(spark, tmp_path):
+    path = str(tmp_path / "canonical")
+    whole = None
+    for batch in range(5):
+        # Each batch: a new line, a new record of the first line, and a record that came before.
+        raw = raw_rows(spark, [str(batch)], f"t{batch}", 10 * batch).unionByName(raw_rows(spark, [str(90 - batch)], "t0", 10 * batch + 5))
+        raw = raw if batch == 0 else raw.unionByName(raw_rows(spark, ["0"], "t0", 0))
+        sc.upsert_batch(raw, batch, path, fanout=2)
+        whole = raw if whole is None else whole.unionByName(raw)
+    sc.upsert_batch(raw_rows(spark, ["0"], "t0", 0), 5, path, fanout=2)
+    once = c.assign_order(c.canonicalize(c.dedupe_raw(whole)))
+    shape = ("canonical_key", "sequence_hint_min", "sequence_hint_max", "record_count", "order", "last_seen_at")
+    assert rows(sc.read_state(spark, path), *shape) == rows(once, *shape)
+
+
 def test_late_snapshots_are_not_lost(spark, landing, tmp_path):
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
     for number, day in enumerate((10, 7, 8)):
