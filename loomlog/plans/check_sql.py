@@ -606,6 +606,9 @@ CHECKS["canonicalize"] = ctes(LOG_CTE, RAW_CTE, DEDUPED, CANON) + f"""SELECT ses
 strftime(f.f, '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(seen, '%Y-%m-%d %H:%M:%S') AS last_seen FROM can0"""
 CHECKS["canonicalize_in_batches"] = ctes(LOG_CTE, RAW_CTE, DEDUPED, CANON) + f"""SELECT session_id, canonical_key, f.t AS visible_text,
 {fold("<")} AS sequence_hint_min, {fold(">")} AS sequence_hint_max, record_count, row_number() OVER (PARTITION BY session_id ORDER BY f.s, f.n, f.i, canonical_key) AS "order" FROM can0"""
+CHECKS["new_records_in_batches"] = ctes(LOG_CTE, RAW_CTE) + """SELECT session_id, raw_record_id,
+CAST(min(least(floor((floor(epoch(first_seen_at)) - epoch(CAST(substr(session_id, 2, 10) AS TIMESTAMP))) / 17280), 4)) AS BIGINT) AS batch
+FROM raw GROUP BY 1, 2"""
 CHECKS["log_fingerprint"] = ctes(LOG_CTE) + """SELECT count(*) AS lines, max("order") AS last_order, """ + ", ".join(
     f"CAST(sum(CAST('0x' || substr(d, {6 * n + 1}, 6) AS BIGINT)) AS BIGINT) AS hash{n + 1}" for n in range(4)
 ) + """ FROM (SELECT "order", sha1(concat_ws(chr(31), session_id, CAST("order" AS VARCHAR), strftime(last_seen_at, '%Y-%m-%d %H:%M:%S.%f'),

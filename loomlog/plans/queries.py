@@ -28,7 +28,8 @@ from loomlog.sources.sessions import (
 )
 from loomlog.session import checkpoint_folder
 from loomlog.sources.snapshots import explode_snapshot_records, shape_snapshots, stream_rewritten
-from loomlog.streaming.collect import read_state, upsert_batch
+from loomlog.streaming.collect import RAW_KEYS, read_state, upsert_batch
+from loomlog.streaming.runs import RunTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -633,6 +634,29 @@ def canonicalize_in_batches(spark, sf_dir):
     )
 
 
+@query
+def new_records_in_batches(spark, sf_dir):
+    """The batch that first brought each raw record, by the stream's stored runs, which merge in pairs, then in fours.
+
+    Five batches by time of day, each of which brings a third of everything before it once more.
+    """
+    raw = derived_raw(spark, sf_dir)
+    again = F.pmod(F.xxhash64("raw_record_id"), F.lit(3))
+    day = F.to_timestamp(F.substring("session_id", 2, 10), "yyyy-MM-dd")
+    # Counted from the session's day on, so that a sighting after midnight is in the last batch.
+    part = F.least(F.floor((F.unix_seconds("first_seen_at") - F.unix_seconds(day)) / 17_280), F.lit(4))
+    path = f"{checkpoint_folder(spark)}/replay-{uuid.uuid4().hex}"
+    first = lambda rows: rows.groupBy(*RAW_KEYS).agg(F.min("batch").alias("batch"))
+    table = RunTable(path, tuple(RAW_KEYS), first, fanout=2)
+    for batch in range(5):
+        table.merge(spark, batch)
+        brought = raw.filter((part == batch) | ((part < batch) & (again == batch % 3))).select(*RAW_KEYS).distinct()
+        known = table.lookup(brought, batch)
+        fresh = brought if known is None else brought.join(known, RAW_KEYS, "left_anti")
+        table.write(fresh.withColumn("batch", F.lit(batch).cast("bigint")), batch, brought.count())
+    return table.read(spark)
+
+
 @query
 def canonical_order(spark, sf_dir):
     lines = collection.assign_order(collection.canonicalize(collection.dedupe_raw(derived_raw(spark, sf_dir))))

@@ -94,12 +94,17 @@ def upsert_batch(raw: DataFrame, batch: int, path: str, fanout: int = FANOUT) ->
     lines, ids, lasts = _lines(path, fanout), _ids(path, fanout), _lasts(path, fanout)
     for table in (lines, ids, lasts):
         table.merge(spark, batch)
-    records = c.dedupe_raw(raw).persist(StorageLevel.MEMORY_AND_DISK)
-    fresh = new_records(records, batch, path).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = []
+
+    def once(frame: DataFrame) -> DataFrame:
+        kept.append(frame.persist(StorageLevel.MEMORY_AND_DISK))
+        return frame
+
     try:
+        fresh = once(new_records(once(c.dedupe_raw(raw)), batch, path))
         at_most = fresh.count()
         touched = c.valid_records(fresh).select("session_id", c.line_key().alias("canonical_key"))
-        merged = c.canonicalize(fresh, lines.lookup(touched, batch))
+        merged = once(c.canonicalize(fresh, lines.lookup(touched, batch)))
         numbered = dense_order(
             merged.filter(F.col("order").isNull()).drop("order"), ["first_arrival", "canonical_key"], ["session_id"], "order"
         )
@@ -115,8 +120,8 @@ def upsert_batch(raw: DataFrame, batch: int, path: str, fanout: int = FANOUT) ->
         lasts.write(ends, batch, at_most)
         ids.write(fresh.select(*RAW_KEYS), batch, at_most)
     finally:
-        fresh.unpersist()
-        records.unpersist()
+        for frame in kept:
+            frame.unpersist()
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
