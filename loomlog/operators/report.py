@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomlog.functions.numbers import rate
 from loomlog.operators.grouping import GROUP_KEYS, groupable
@@ -226,9 +226,30 @@ def source_lines(events: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
+# A digit run is sorted by how many digits it has; this many digits say how many.
+_COUNT_DIGITS = 10
+
+
+def text_order(column: str) -> Column:
+    """Sort key of shown text: Japanese collation in which runs of digits compare as numbers, however long they are.
+
+    A run becomes its length and its digits without leading zeros, so "2" comes before "10", and "02" ties with "2".
+    Digits of full width count as digits. Null stays null, blanks around the text do not count.
+    """
+    text = F.translate(F.regexp_replace(column, r"^\s+|\s+$", ""), "０１２３４５６７８９", "0123456789")
+    runs = F.regexp_extract_all(text, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+
+    def key(run: Column) -> Column:
+        digits = F.regexp_replace(run, "^0+", "")
+        numbered = F.concat(F.lpad(F.length(digits).cast("string"), _COUNT_DIGITS, "0"), digits)
+        return F.when(run.rlike("^[0-9]"), numbered).otherwise(run)
+
+    return F.collate(F.array_join(F.transform(runs, key), ""), "ja")
+
+
 def sort_report(df: DataFrame, column: str, descending: bool = False, text: bool = False) -> DataFrame:
-    """Report sort: missing values last both ways; text by Japanese collation."""
-    value = F.collate(F.col(column), "ja") if text else F.col(column)
+    """Report sort: missing values last both ways; text by :func:`text_order`."""
+    value = text_order(column) if text else F.col(column)
     return df.orderBy(F.desc_nulls_last(value) if descending else F.asc_nulls_last(value))
 
 

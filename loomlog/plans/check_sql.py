@@ -606,6 +606,8 @@ CHECKS["canonicalize"] = ctes(LOG_CTE, RAW_CTE, DEDUPED, CANON) + f"""SELECT ses
 strftime(f.f, '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(seen, '%Y-%m-%d %H:%M:%S') AS last_seen FROM can0"""
 CHECKS["canonicalize_in_batches"] = ctes(LOG_CTE, RAW_CTE, DEDUPED, CANON) + f"""SELECT session_id, canonical_key, f.t AS visible_text,
 {fold("<")} AS sequence_hint_min, {fold(">")} AS sequence_hint_max, record_count, row_number() OVER (PARTITION BY session_id ORDER BY f.s, f.n, f.i, canonical_key) AS "order" FROM can0"""
+CHECKS["numbered_names_order"] = """SELECT p_partkey, concat_ws('-', p_type, lpad(CAST(p_size AS VARCHAR), 4, '0'), CAST(p_partkey AS VARCHAR)) AS name,
+row_number() OVER (ORDER BY p_type, p_size, p_partkey) AS place FROM part"""
 CHECKS["new_records_in_batches"] = ctes(LOG_CTE, RAW_CTE) + """SELECT session_id, raw_record_id,
 CAST(min(least(floor((floor(epoch(first_seen_at)) - epoch(CAST(substr(session_id, 2, 10) AS TIMESTAMP))) / 17280), 4)) AS BIGINT) AS batch
 FROM raw GROUP BY 1, 2"""

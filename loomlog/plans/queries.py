@@ -17,6 +17,7 @@ from loomlog.functions.times import elapsed_text, extract_message_time, parse_me
 from loomlog.operators import actors as who
 from loomlog.operators import areas, collection, exclusions, grouping, incoming, parsing, party, ranges, report, rules
 from loomlog.operators import search, summaries, timeline
+from loomlog.operators.scans import dense_order
 from loomlog.plans.analysis import analyze_slice
 from loomlog.plans.derived import RULES, derived_log, read_table
 from loomlog.plans.derived_raw import derived_json_lines, derived_raw, derived_snapshots, put_files
@@ -657,6 +658,14 @@ def new_records_in_batches(spark, sf_dir):
     return table.read(spark)
 
 
+@query
+def numbered_names_order(spark, sf_dir):
+    """Places of names that hold numbers in the report's text order; zeros before a number count nothing."""
+    name = F.concat_ws("-", "p_type", F.lpad(F.col("p_size").cast("string"), 4, "0"), F.col("p_partkey").cast("string"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", name.alias("name"))
+    return dense_order(parts.withColumn("key", report.text_order("name")), ["key"], name="place").drop("key")
+
+
 @query
 def canonical_order(spark, sf_dir):
     lines = collection.assign_order(collection.canonicalize(collection.dedupe_raw(derived_raw(spark, sf_dir))))

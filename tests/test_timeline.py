@@ -159,3 +159,19 @@ def test_report_sort(spark):
     assert [r.v for r in report.sort_report(table, "v").collect()] == [1, 2, None]
     assert [r.v for r in report.sort_report(table, "v", True).collect()] == [2, 1, None]
     assert [r.n for r in report.sort_report(table, "n", text=True).collect()] == ["a", "b", "c"]
+
+
+def test_text_sorts_with_its_numbers(spark):
+    names = ["敵10", "敵 2", "a100b", "", "a20b", "a3c", "a3b", "a003a", "a", "あ2", "あ10", "ア3", "7", "12", "a" + "9" * 30, "a1" + "0" * 30, "a0", "あ２０"]
+    table = spark.createDataFrame([(n,) for n in [*names, None]], "n STRING").repartition(4)
+    up = [r.n for r in report.sort_report(table, "n", text=True).collect()]
+    assert up[-1] is None and sorted(up[:-1]) == sorted(names)
+    place = {n: i for i, n in enumerate(up)}
+    chains = (
+        ["", "7", "12", "a", "a0", "a003a", "a3b", "a3c", "a20b", "a100b", "a" + "9" * 30, "a1" + "0" * 30],
+        ["あ2", "ア3", "あ10", "あ２０"],
+    )
+    for chain in chains:
+        assert [place[n] for n in chain] == sorted(place[n] for n in chain)
+    down = [r.n for r in report.sort_report(table, "n", descending=True, text=True).collect()]
+    assert down[-1] is None and down[:-1] == up[:-1][::-1]
