@@ -43,9 +43,9 @@ DECODED = 1 << 14
 ROUND_TRIP = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, n_chars long"
 
 START = -1
-# The end of the input that begins a token; places in it where a token may begin, counted from the last byte backwards;
-# and the tokens that lead there.
-State = tuple[bytes, tuple[int, ...], tuple[int, ...]]
+# The token that ends at the last byte; then, for each earlier place where a token may begin, the last one first, the node of
+# what was read since (see ``Vocabulary.nodes``) and the token that leads there.
+State = tuple[int, ...]
 
 
 class Vocabulary:
@@ -57,7 +57,6 @@ class Vocabulary:
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.lengths = {rank: len(token) for rank, token in self.tokens.items()}
-        self.beginnings = {token[:n] for token in self.ranks for n in range(1, len(token) + 1)}
         if any(bytes([b]) not in self.ranks for b in range(256)):
             raise ValueError("the vocabulary lacks single bytes")
 
@@ -71,6 +70,24 @@ class Vocabulary:
                 self.joins[split] = rank
                 self.made.add(rank)
 
+        # Beginnings of tokens as nodes: by 256 times the node plus a byte the node behind it (0: nothing read yet); the
+        # length of each, and the token that it is, if merges can make it.
+        self.nodes: dict[int, int] = {}
+        self.depths, self.ends = [0], [START]
+        for token, rank in self.ranks.items():
+            node = 0
+            for depth, byte in enumerate(token, 1):
+                key = (node << 8) + byte
+                node = self.nodes.get(key)
+                if node is None:
+                    node = self.nodes[key] = len(self.ends)
+                    self.depths.append(depth)
+                    self.ends.append(START)
+            if rank in self.made:
+                self.ends[node] = rank
+        # Nodes that more bytes may follow. Places of others need not be held open.
+        self.inner = {key >> 8 for key in self.nodes}
+
     def _last_merge(self, token: bytes) -> tuple[int, int] | None:
         """Run the merges on a token's bytes (lowest rank first, then leftmost) until two parts are left."""
         parts = [token[n:n + 1] for n in range(len(token))]
@@ -113,7 +130,7 @@ class Transducer:
 
     def __init__(self, words: Vocabulary):
         self.words = words
-        self._reset((b"", (0,), (START,)))
+        self._reset((START,))
 
     def _reset(self, first: State) -> int:
         self.size = 0
@@ -121,7 +138,7 @@ class Transducer:
         self.numbers: dict[State, int] = {}
         # By 256 times the state plus the byte: 256 times the next state.
         self.moves: dict[int, int] = {}
-        self._number((b"", (0,), (START,)))
+        self._number((START,))
         return self._number(first)
 
     def _number(self, state: State) -> int:
@@ -129,50 +146,53 @@ class Transducer:
         if number is None:
             number = self.numbers[state] = len(self.states) << 8
             self.states.append(state)
-            self.size += 430 + len(state[0]) + 16 * len(state[1])
+            self.size += 220 + 8 * len(state)
         return number
 
     def _move(self, key: int) -> int:
         """Make the step from a state by one byte."""
-        end, places, lasts = self.states[key >> 8]
-        end += bytes((key & 255,))
-        words, size = self.words, len(end)
-        ranks, beginnings = words.ranks, words.beginnings
-        open_places, open_lasts = [0], [START]
-        token = None
-        for back, last in zip(places, lasts):
-            tail = end[size - back - 1:]
-            if tail in beginnings:
-                open_places.append(back + 1)
-                open_lasts.append(last)
-        for back, last in zip(reversed(places), reversed(lasts)):
-            found = ranks.get(end[size - back - 1:])
-            if found is not None and found in words.made and (last == START or words.may_follow(last, found)):
-                token = found
+        state, byte = self.states[key >> 8], key & 255
+        words = self.words
+        nodes, ends = words.nodes, words.ends
+        # By place, the last one first: the token that would begin there and end here, and the one that leads there.
+        node, last = nodes[byte], state[0]
+        held, found = [START], [(ends[node], last)]
+        if node in words.inner:
+            held += node, last
+        for at in range(1, len(state), 2):
+            node = nodes.get((state[at] << 8) + byte)
+            if node is not None:
+                last = state[at + 1]
+                if node in words.inner:
+                    held += node, last
+                if ends[node] != START:
+                    found.append((ends[node], last))
+        # The longest one that may follow what leads to its place is the right one.
+        for token, last in reversed(found):
+            if last == START or words.may_follow(last, token):
                 break
-        if token is None:
+        else:
             raise AssertionError("no token ends here")
-        open_lasts[0] = token
-        state = (end[size - open_places[-1]:], tuple(open_places), tuple(open_lasts))
-        at = self.moves[key] = self._number(state)
-        self.size += 130
-        return at
+        held[0] = token
+        to = self.moves[key] = self._number(tuple(held))
+        self.size += 110
+        return to
 
     def _written(self, way: list[int], at: int) -> tuple[list[int], int]:
-        """Tokens that no further byte can change, and how many bytes they have; ``way``: the token at each byte's end."""
-        lengths = self.words.lengths
-        ends = {len(way) - back for back in self.states[at >> 8][1]}
+        """Tokens that no further byte can change, and how many bytes they have; ``way``: the state at each byte's end."""
+        states, lengths, depths = self.states, self.words.lengths, self.words.depths
+        ends = {len(way), *(len(way) - depths[node] for node in states[at >> 8][1::2])}
         while len(ends) > 1:
             far = max(ends)
             ends.remove(far)
-            ends.add(far - lengths[way[far - 1]])
+            ends.add(far - lengths[states[way[far - 1] >> 8][0]])
         end = ends.pop()
         return self._back(way, end), end
 
     def _back(self, way: list[int], end: int) -> list[int]:
-        lengths, out = self.words.lengths, []
+        states, lengths, out = self.states, self.words.lengths, []
         while end:
-            token = way[end - 1]
+            token = states[way[end - 1] >> 8][0]
             out.append(token)
             end -= lengths[token]
         out.reverse()
@@ -183,21 +203,23 @@ class Transducer:
         if known is not None:
             return (known,)
         if self.size > STATE_BYTES:
-            self._reset((b"", (0,), (START,)))
+            self._reset((START,))
         at, way, out = 0, [], []
-        moves, states = self.moves, self.states
-        for byte in data:
-            key = at + byte
-            at = moves[key] if key in moves else self._move(key)
-            way.append(states[at >> 8][2][0])
-            if len(way) >= SETTLED:
+        for begin in range(0, len(data), SETTLED):
+            if begin:
                 found, end = self._written(way, at)
                 out += found
                 del way[:end]
                 if self.size > 2 * STATE_BYTES:
-                    # A very long pre-token: keep the present state alone.
-                    at = self._reset(states[at >> 8])
-                    moves, states = self.moves, self.states
+                    # A very long pre-token: keep the states alone that are still needed.
+                    kept = [self.states[n >> 8] for n in way]
+                    at = self._reset(self.states[at >> 8])
+                    way = [self._number(state) for state in kept]
+            moves = self.moves
+            for byte in data[begin:begin + SETTLED]:
+                key = at + byte
+                at = moves[key] if key in moves else self._move(key)
+                way.append(at)
         out += self._back(way, len(way))
         return out
 
@@ -248,9 +270,30 @@ class Encoder:
         self.size = 0
 
     def _unit(self, unit: str) -> tuple[int, ...]:
-        ids = self.transducer.ids
-        found = [ids(word.encode()) for word in self.split(unit)]
-        return tuple(found[0] if len(found) == 1 else chain.from_iterable(found))
+        words = self.split(unit)
+        if len(words) == 1:
+            return tuple(self.transducer.ids(unit.encode()))
+        return tuple(chain.from_iterable(map(self._pretoken, words)))
+
+    def _pretoken(self, word: str) -> tuple[int, ...]:
+        # A space and a visible character begin a unit, which is known without the space; no unit begins like other keys.
+        key = word[1:] if word[0] == " " and not word[1:2].isspace() else " " + word
+        young, old = self.units
+        ids = young.get(key)
+        if ids is None:
+            ids = old.get(key)
+            if ids is None:
+                ids = tuple(self.transducer.ids(word.encode()))
+            self._remember(key, ids)
+        return ids
+
+    def _remember(self, key: str, ids: tuple[int, ...]) -> None:
+        if len(key) <= REMEMBERED_LENGTH:
+            young, old = self.units
+            young[key] = ids
+            self.size += 200 + len(key) + 8 * len(ids)
+            if self.size > UNIT_BYTES:
+                self.units, self.size = ({}, young), 0
 
     def encode(self, text: str) -> list[int]:
         first, rest = units(text)
@@ -262,12 +305,8 @@ class Encoder:
                 ids = old.get(unit)
                 if ids is None:
                     ids = self._unit(" " + unit)
-                if len(unit) <= REMEMBERED_LENGTH:
-                    young[unit] = ids
-                    self.size += 200 + len(unit) + 8 * len(ids)
-                    if self.size > UNIT_BYTES:
-                        young, old = {}, young
-                        self.units, self.size = (young, old), 0
+                self._remember(unit, ids)
+                young, old = self.units
             found += ids
         return found
 

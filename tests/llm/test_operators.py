@@ -534,6 +534,18 @@ def test_transducer_equals_the_library(library, monkeypatch):
         encoder.forget()
 
 
+def test_a_word_is_transduced_once_whatever_stands_behind_it(library, monkeypatch):
+    encoder, seen = bpe.Encoder(public_tokenizers.path(bpe.TOKENIZER)), []
+    ids = encoder.transducer.ids
+    monkeypatch.setattr(encoder.transducer, "ids", lambda data: seen.append(data) or ids(data))
+    for text in ("a zqxvk!$ zqxvk?% zqxvk", "b \n zqxvk\n  zqxvk \n", "zqxvk  \n\n zqxvk!$"):
+        assert encoder.encode(text) == library.encode_ordinary(text)
+    assert seen.count(b" zqxvk") == 1
+    # Places that no byte can go on from are not part of a state.
+    nodes = {node for state in encoder.transducer.states for node in state[1::2]}
+    assert nodes and all(any((node << 8) + byte in encoder.words.nodes for byte in range(256)) for node in nodes)
+
+
 def test_idle_workers_give_back_their_tables(monkeypatch):
     path = public_tokenizers.path(bpe.TOKENIZER)
     monkeypatch.setattr(bpe, "IDLE", 0.2)
