@@ -106,15 +106,29 @@ def sums(table: np.ndarray, data: np.ndarray, places: np.ndarray) -> tuple[np.nd
     return total, number
 
 
-def _bags(data: np.ndarray, places: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text its distinct buckets and their shares."""
-    found = []
-    for begin, end in zip(places, places[1:]):
-        codes, _ = _spaced(data[begin:end], np.array([0, end - begin]))
-        parts = [b[w] for b, w in _subwords(codes, len(codes) - 3)]
-        buckets, counts = np.unique(np.concatenate(parts), return_counts=True)
-        found.append((buckets.astype(np.int64), counts / max(1, counts.sum())))
-    return found
+class _Bags:
+    """Per text its distinct buckets and their shares.
+
+    All texts share two large arrays, which go back to the system as a whole once they are dropped.
+    """
+
+    def __init__(self, data: np.ndarray, places: np.ndarray):
+        # A text of n bytes has at most 3 * (n + 1) subwords; pages that are never written cost nothing.
+        most = 3 * (len(data) + len(places))
+        self.buckets, self.counts = np.empty(most, np.uint16), np.empty(most, np.uint32)
+        self.ends = [0]
+        for begin, end in zip(places, places[1:]):
+            codes, _ = _spaced(data[begin:end], np.array([0, end - begin]))
+            parts = [b[w] for b, w in _subwords(codes, len(codes) - 3)]
+            buckets, counts = np.unique(np.concatenate(parts), return_counts=True)
+            at, to = self.ends[-1], self.ends[-1] + len(buckets)
+            self.buckets[at:to], self.counts[at:to] = buckets, counts
+            self.ends.append(to)
+
+    def __getitem__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.ends[n], self.ends[n + 1])
+        counts = self.counts[own].astype(np.int64)
+        return self.buckets[own].astype(np.int64), counts / max(1, counts.sum())
 
 
 def _softmax(values: np.ndarray) -> np.ndarray:
@@ -127,7 +141,7 @@ def train(texts: list[bytes], labels: list[str]) -> Model:
     languages = sorted(set(labels))
     answer = np.array([languages.index(x) for x in labels], np.int64)
     places = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    bags = _bags(np.frombuffer(b"".join(texts), np.uint8), places)
+    bags = _Bags(np.frombuffer(b"".join(texts), np.uint8), places)
     random = np.random.default_rng(SEED)
     order = random.permutation(len(texts))
     apart = order[: len(order) // 5] if len(order) >= 20 else order[:0]

@@ -97,6 +97,18 @@ def test_language_scores_follow_the_embeddings():
         assert (alone[0] == total[n]).all()
 
 
+def test_training_holds_its_subwords_in_two_arrays():
+    texts = [sentence(n, 60 + n).encode() for n in range(40)] + [b"", b"12"]
+    data, places = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    bags = langid._Bags(data, places)
+    assert bags.buckets.itemsize + bags.counts.itemsize == 6
+    for n, text in enumerate(texts):
+        buckets, shares = bags[n]
+        total, number = langid.sums(np.ones((langid.BUCKETS, 1), np.int32), np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert np.array_equal(np.unique(buckets), buckets)
+        assert np.array_equal(np.rint(shares * number[0]).sum(), total[0, 0])
+
+
 def test_language_sums_do_not_depend_on_pieces(monkeypatch):
     texts = [sentence(n, 40 * n).encode() for n in range(1, 8)] + [b"", b"x"]
     table_ = np.random.default_rng(1).integers(-9, 9, (langid.BUCKETS, 2)).astype(np.int32)
