@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomlog.operators.rules import RuleSet
+from loomlog.session import stored_bytes
 
 CATALOG = ("レッドロータス", "サベッジブレード")
 RULES = RuleSet(weapon_skills=CATALOG)
@@ -125,11 +126,16 @@ FROM (SELECT *, unnest([{", ".join(TEXTS)}]) AS visible_text, unnest([0, 1, 2])
 WHERE visible_text IS NOT NULL)"""
 
 
+# Stored bytes of a table that one task begins with. What a task derives from them and sorts is some hundred times as large.
+PART_BYTES = 1 << 20
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table. A table stored in fewer files than there are cores is spread over them."""
-    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+    """One driver table. If its files are fewer than the cores, or than its size asks for, it is spread over more tasks."""
+    path = f"{sf_dir}/{name}.parquet"
+    table = spark.read.parquet(path)
+    parts = max(spark.sparkContext.defaultParallelism, -(-stored_bytes(spark, path) // PART_BYTES))
+    return table.repartition(parts) if len(table.inputFiles()) < parts else table
 
 
 def derived_log(spark: SparkSession, sf_dir: str) -> DataFrame:

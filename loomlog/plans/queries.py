@@ -602,8 +602,8 @@ def combined_order(spark, sf_dir):
 
 @query
 def raw_dedupe(spark, sf_dir):
-    kept = collection.dedupe_raw(derived_raw(spark, sf_dir))
-    return kept.select("session_id", "raw_record_id", "source_file", "record_index", "sequence_hint")
+    shown = ("session_id", "raw_record_id", "source_file", "record_index", "sequence_hint")
+    return collection.dedupe_raw(derived_raw(spark, sf_dir).select(*shown, "file_mtime")).select(*shown)
 
 
 @query

@@ -40,6 +40,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """How many bytes a file or folder holds, asked of the store that it lies in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(place).getLength()
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Bound the batches that go to Python by bytes: a row may hold a whole file."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return spark
+
+
 _SCRATCH: list[str] = []
 
 
