@@ -119,6 +119,18 @@ _LINE_FIELDS = (
 )
 
 
+# What merging reads of a raw record, and the keys by which records are known.
+_MERGED = {
+    "session_id", "raw_record_id", "first_seen_at", "window_id", "source_file", "sequence_hint", "parse_status",
+    *_LINE_FIELDS, *ARRIVAL,
+}
+
+
+def line_columns(raw: DataFrame) -> DataFrame:
+    """Raw records without what :func:`canonicalize` does not read, so that bodies and meta fields are not shuffled."""
+    return raw.select(*[c for c in raw.columns if c in _MERGED])
+
+
 def _as_parts(raw: DataFrame) -> DataFrame:
     """Raw records in the shape in which lines are merged."""
     return valid_records(raw).select(
@@ -284,15 +296,36 @@ RUN_COLUMNS = (
 )
 
 
-def _slice_runs(frame: pd.DataFrame) -> pd.DataFrame:
-    ordered = frame.sort_values("nth")
-    key = tuple(ordered.iloc[0][["session_id", "canonical_key", "slice"]])
-    rows = [
-        (*key, side, place, *run)
-        for side in ("low", "high")
-        for place, run in enumerate(_runs(ordered[side].tolist(), side == "low"))
-    ]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in RUN_COLUMNS.split(", ")])
+def _slice_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of each slice. Slices come one behind the other, each in order; ``nth`` is 1 at its first row.
+
+    Most slices hold a few hints, so they are not handed over one by one.
+    """
+    names = [c.split()[0] for c in RUN_COLUMNS.split(", ")]
+    shaped = lambda rows: pd.DataFrame(rows, columns=names).astype({"slice": "Int64"})
+    low: list[str] = []
+    high: list[str] = []
+    key = None
+
+    def settled() -> Iterator[tuple]:
+        for side, values in (("low", low), ("high", high)):
+            for place, run in enumerate(_runs(values, side == "low")):
+                yield (*key, side, place, *run)
+
+    for frame in frames:
+        done = []
+        for session, line, part, least, most, nth in zip(
+            *(frame[c] for c in (*CANONICAL_KEYS, "slice", "low", "high", "nth"))
+        ):
+            if nth == 1:
+                if key is not None:
+                    done += settled()
+                key, low, high = (session, line, None if pd.isna(part) else int(part)), [], []
+            low.append(least)
+            high.append(most)
+        yield shaped(done)
+    if key is not None:
+        yield shaped(list(settled()))
 
 
 def _chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -333,8 +366,7 @@ def fold_hints(parts: DataFrame, irregular: DataFrame, slice_seconds: int = FOLD
     inside = Window.partitionBy(*CANONICAL_KEYS, "slice").orderBy("_at")
     runs = (
         rows.select(*CANONICAL_KEYS, "slice", "low", "high", F.row_number().over(inside).alias("nth"))
-        .groupBy(*CANONICAL_KEYS, "slice")
-        .applyInPandas(_slice_runs, RUN_COLUMNS)
+        .mapInPandas(_slice_runs, RUN_COLUMNS)
     )
     # The window keeps a key together and in order. A plain repartition could be dropped by adaptive
     # execution, because nothing downstream is known to need it.

@@ -608,7 +608,8 @@ def raw_dedupe(spark, sf_dir):
 
 @query
 def canonicalize(spark, sf_dir):
-    lines = collection.canonicalize(collection.dedupe_raw(derived_raw(spark, sf_dir)))
+    raw = collection.line_columns(derived_raw(spark, sf_dir))
+    lines = collection.canonicalize(collection.dedupe_raw(raw))
     return lines.select(
         "session_id", "canonical_key", "event_group", "visible_text", "sequence_hint_min", "sequence_hint_max",
         "record_count", F.array_join(F.col("source_windows").cast("array<string>"), ",").alias("windows"),
@@ -668,7 +669,8 @@ def numbered_names_order(spark, sf_dir):
 
 @query
 def canonical_order(spark, sf_dir):
-    lines = collection.assign_order(collection.canonicalize(collection.dedupe_raw(derived_raw(spark, sf_dir))))
+    raw = collection.line_columns(derived_raw(spark, sf_dir))
+    lines = collection.assign_order(collection.canonicalize(collection.dedupe_raw(raw)))
     return lines.select("session_id", "canonical_key", "order")
 
 

@@ -101,7 +101,7 @@ def upsert_batch(raw: DataFrame, batch: int, path: str, fanout: int = FANOUT) ->
         return frame
 
     try:
-        fresh = once(new_records(once(c.dedupe_raw(raw)), batch, path))
+        fresh = once(new_records(once(c.dedupe_raw(c.line_columns(raw))), batch, path))
         at_most = fresh.count()
         touched = c.valid_records(fresh).select("session_id", c.line_key().alias("canonical_key"))
         merged = once(c.canonicalize(fresh, lines.lookup(touched, batch)))
