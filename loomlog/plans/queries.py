@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomlog.functions.display import table_columns
@@ -654,6 +655,7 @@ def new_records_in_batches(spark, sf_dir):
         table.merge(spark, batch)
         brought = raw.filter((part == batch) | ((part < batch) & (again == batch % 3))).select(*RAW_KEYS).distinct()
         known = table.lookup(brought, batch)
+        brought = brought.persist(StorageLevel.MEMORY_AND_DISK)
         fresh = brought if known is None else brought.join(known, RAW_KEYS, "left_anti")
         table.write(fresh.withColumn("batch", F.lit(batch).cast("bigint")), batch, brought.count())
     return table.read(spark)

@@ -130,14 +130,16 @@ class RunTable:
         runs = [r for r in self.cover(spark, before) if r.slots]
         if not runs:
             return None
-        places = F.array(*[F.struct(F.lit(r.folder).alias("run"), F.lit(r.slots).cast("long").alias("slots")) for r in runs])
+        # A run's number stands for its folder, whose name is longer than a row's keys.
+        places = F.array(*[F.struct(F.lit(n).alias("run"), F.lit(r.slots).cast("long").alias("slots")) for n, r in enumerate(runs)])
         bits = (
             wanted.select(*self.keys).distinct()
             .select(*self.keys, F.inline(places))
             .select("run", _bit(self.keys, F.col("slots")).alias("bit"))
             .select("run", F.expr(f"bit div {SLOT_BITS}").alias("slot"), (F.col("bit") % SLOT_BITS).cast("int").alias("place"))
         )
-        filters = _parquet(spark, [f"{r.folder}/filter={r.slots}" for r in runs])
+        number = F.array_position(F.array(*[F.lit(r.folder) for r in runs]), F.col("run")) - 1
+        filters = _parquet(spark, [f"{r.folder}/filter={r.slots}" for r in runs]).withColumn("run", number.cast("int"))
         byte = F.conv(F.hex(F.expr("substring(bitmap, place div 8 + 1, 1)")), 16, 10).cast("int")
         held = F.expr("shiftright(byte, place % 8) & 1") == 1
         found = (
@@ -145,7 +147,7 @@ class RunTable:
         )
         if not found:
             return None
-        rows = _parquet(spark, sorted(f"{f.run}/rows/bucket={f.bucket}" for f in found))
+        rows = _parquet(spark, sorted(f"{runs[f.run].folder}/rows/bucket={f.bucket}" for f in found))
         return self.settle(rows.join(wanted.select(*self.keys).distinct(), list(self.keys), "left_semi"))
 
     def write(self, rows: DataFrame, batch: int | None, at_most: int) -> DataFrame | None:
