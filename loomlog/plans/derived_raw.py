@@ -7,11 +7,13 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomlog.functions import fixed_values as fixed
 from loomlog.functions.hashing import raw_record_id
 from loomlog.plans.derived import derived_log
+from loomlog.session import bounded_batches
 from loomlog.sources.session_store import opened_root
 
 # Each line is seen in one or two windows, and some sightings are read twice. Plain SQL over a log
@@ -63,43 +65,53 @@ def derived_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES_PER_FILE = 40
 
 
-def _pack_file(frame: pd.DataFrame) -> pd.DataFrame:
-    """Bytes of one snapshot file from its lines (40 at most)."""
-    body, offsets = b"", []
-    for group, hint, text in frame.sort_values("read_index")[["event_group", "hint", "visible_text"]].itertuples(index=False):
-        offsets.append(fixed.HEADER_BYTES + len(body))
+def _file(lines: list[dict]) -> bytes:
+    """Bytes of one snapshot file from its lines (40 numbers at most)."""
+    body, offsets = [], []
+    at = fixed.HEADER_BYTES
+    for line in lines:
+        offsets.append(at)
         meta = [b"0"] * fixed.META_FIELDS
         meta[fixed.META_COLOR] = b"80ff00aa"
-        meta[fixed.META_GROUP] = (group or "").encode("ascii")
-        meta[fixed.META_SEQUENCE] = (hint or "").encode("ascii")
-        message = b"\x1e\x01" + text.encode(fixed.TEXT_ENCODING) + b"\x7f1"
-        body += b",".join(meta) + b"," + message + b"\0"
+        meta[fixed.META_GROUP] = (line["event_group"] or "").encode("ascii")
+        meta[fixed.META_SEQUENCE] = (line["hint"] or "").encode("ascii")
+        message = b"\x1e\x01" + line["visible_text"].encode(fixed.TEXT_ENCODING) + b"\x7f1"
+        body.append(b",".join(meta) + b"," + message + b"\0")
+        at += len(body[-1])
     header = b"".join(o.to_bytes(2, "little") for o in offsets).ljust(fixed.HEADER_BYTES, b"\0")
-    first = frame.iloc[0]
-    return pd.DataFrame(
-        {
-            "path": [f"{first['folder']}/{1 + first['file_no'] % 2}_{first['file_no'] % 20}.log"],
-            "modificationTime": [first["first_seen_at"]],
-            "length": [len(header) + len(body)],
-            "content": [header + body],
-        }
-    )
+    return header + b"".join(body)
+
 
+def _pack_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        content = [_file(lines) for lines in batch.column("lines").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("path"), batch.column("modificationTime"), pa.array(map(len, content), pa.int64()),
+             pa.array(content, pa.binary())],
+            names=["path", "modificationTime", "length", "content"],
+        )
 
-def derived_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Binary snapshot files holding the derived log, 40 line numbers to a file."""
-    log = derived_log(spark, sf_dir)
-    files = log.select(
-        "read_index",
-        "event_group",
-        F.col("sequence_hint_min").cast("string").alias("hint"),
-        "visible_text",
-        "first_seen_at",
-        F.floor(F.col("read_index") / LINES_PER_FILE).alias("file_no"),
-    ).withColumn("folder", F.concat(F.lit("/log/"), F.floor(F.col("file_no") / 20).cast("string")))
-    return files.groupBy("file_no").applyInPandas(
-        _pack_file, "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+
+def derived_snapshots(spark: SparkSession, sf_dir: str, chosen: Column | None = None) -> DataFrame:
+    """Binary snapshot files holding the derived log, 40 line numbers to a file; ``chosen`` of the ``file_no``, or all.
+
+    Lines without a number have no file.
+    """
+    bounded_batches(spark)
+    lines = derived_log(spark, sf_dir).withColumn("file_no", F.floor(F.col("read_index") / LINES_PER_FILE))
+    lines = lines.filter(F.col("file_no").isNotNull() if chosen is None else chosen)
+    line = F.struct(
+        "read_index", "event_group", F.col("sequence_hint_min").cast("string").alias("hint"), "visible_text", "first_seen_at"
+    )
+    files = lines.groupBy("file_no").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    number = lambda value: value.cast("string")
+    path = F.concat(
+        F.lit("/log/"), number(F.floor(F.col("file_no") / 20)), F.lit("/"), number(1 + F.pmod("file_no", F.lit(2))), F.lit("_"),
+        number(F.pmod("file_no", F.lit(20))), F.lit(".log"),
     )
+    return files.select(
+        path.alias("path"), F.col("lines")[0]["first_seen_at"].alias("modificationTime"), "lines"
+    ).mapInArrow(_pack_files, "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
 
 
 def _write_files(frames: Iterator[pd.DataFrame], root: str) -> Iterator[pd.DataFrame]:

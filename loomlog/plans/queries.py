@@ -653,11 +653,13 @@ def new_records_in_batches(spark, sf_dir):
     table = RunTable(path, tuple(RAW_KEYS), first, fanout=2)
     for batch in range(5):
         table.merge(spark, batch)
+        # What a batch brings is worked out once, as the stream does.
         brought = raw.filter((part == batch) | ((part < batch) & (again == batch % 3))).select(*RAW_KEYS).distinct()
-        known = table.lookup(brought, batch)
         brought = brought.persist(StorageLevel.MEMORY_AND_DISK)
+        known = table.lookup(brought, batch)
         fresh = brought if known is None else brought.join(known, RAW_KEYS, "left_anti")
         table.write(fresh.withColumn("batch", F.lit(batch).cast("bigint")), batch, brought.count())
+        brought.unpersist()
     return table.read(spark)
 
 
@@ -715,13 +717,12 @@ def rewritten_snapshots(spark, sf_dir):
     """
     place = f"{checkpoint_folder(spark)}/rotating-{uuid.uuid4().hex}"
     folder = F.split("path", "/")[2].cast("bigint")
-    files = derived_snapshots(spark, sf_dir).withColumns({
-        "round": folder % 2,
-        "path": F.concat(F.floor(folder / 2).cast("string"), F.lit("/"), F.element_at(F.split("path", "/"), -1)),
-    })
+    rotated = F.concat(F.floor(folder / 2).cast("string"), F.lit("/"), F.element_at(F.split("path", "/"), -1))
     for turn in (0, 1, None):
         if turn is not None:
-            put_files(files.filter(F.col("round") == turn), f"{place}/log")
+            # Only the files of this turn are made.
+            files = derived_snapshots(spark, sf_dir, F.floor(F.col("file_no") / 20) % 2 == turn)
+            put_files(files.withColumn("path", rotated), f"{place}/log")
         records = explode_snapshot_records(stream_rewritten(spark, f"{place}/log"))
         polls = records.writeStream.option("checkpointLocation", f"{place}/check").trigger(availableNow=True)
         polls.format("parquet").start(f"{place}/records").awaitTermination()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomlog.functions import fixed_values as fixed
 from loomlog.schemas import SNAPSHOT, ddl
+from loomlog.session import bounded_batches
 from loomlog.sources.changed_files import CHANGED, stream_changes
 
 RECORD_COLUMNS = (
@@ -22,6 +23,10 @@ FILE_COLUMNS = (
 )
 
 
+# Records after which a task hands on what it has cut.
+FRAME_RECORDS = 2_000
+
+
 def check_slots(slots: int) -> int:
     if not 0 <= slots <= fixed.MAX_SLOTS:
         raise ValueError(f"slots must be between 0 and {fixed.MAX_SLOTS}")
@@ -119,15 +124,22 @@ def _cut_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in RECORD_COLUMNS.split(", ")]
     for files in frames:
         about = files.drop(columns="content")
-        rows = [
-            (*facts, *record)
-            for facts, content in zip(about.itertuples(index=False, name=None), files["content"])
-            for record in cut_records(content)
-        ]
-        cut = pd.DataFrame(rows, columns=[*about.columns, *names])
-        yield cut.astype({"record_index": "Int32", "record_offset": "Int32"})
+        shaped = lambda rows: pd.DataFrame(rows, columns=[*about.columns, *names]).astype(
+            {"record_index": "Int32", "record_offset": "Int32"}
+        )
+        rows = []
+        for facts, content in zip(about.itertuples(index=False, name=None), files["content"]):
+            rows += [(*facts, *record) for record in cut_records(content)]
+            if len(rows) >= FRAME_RECORDS:
+                yield shaped(rows)
+                rows = []
+        yield shaped(rows)
 
 
 def explode_snapshot_records(snapshots: DataFrame) -> DataFrame:
-    """One row per record. Files are small (16-bit offsets), so a row of bytes fits any task."""
+    """One row per record. Files are small (16-bit offsets), so a row of bytes fits any task.
+
+    A task holds files of a bounded number of bytes at a time, and hands records on as soon as there are some thousand.
+    """
+    bounded_batches(snapshots.sparkSession)
     return snapshots.mapInPandas(_cut_files, f"{FILE_COLUMNS}, {RECORD_COLUMNS}")
