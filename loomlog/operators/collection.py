@@ -13,12 +13,14 @@ from loomlog.functions.text import detect_marker, is_blank, normalize_text
 from loomlog.functions.times import extract_message_time
 from loomlog.functions import fixed_values as fixed
 from loomlog.operators.scans import dense_order
+from loomlog.session import Keep
 
 RAW_VERSION = "1.0"
 CANONICAL_VERSION = "1.0"
 # Where a raw record stands in the order of arrival: file time, file name, path, place in the file.
 ARRIVAL = ("file_mtime", "source_file", "path", "record_index")
 CANONICAL_KEYS = ["session_id", "canonical_key"]
+RAW_KEYS = ["session_id", "raw_record_id"]
 # Length of the slices in which hints are folded when their order depends on arrival.
 FOLD_SECONDS = 60
 
@@ -99,14 +101,25 @@ def drop_baseline(records: DataFrame, baseline: DataFrame) -> DataFrame:
     return records.withColumn("_body", body).join(known, "_body", "left_anti").drop("_body")
 
 
-def dedupe_raw(raw: DataFrame) -> DataFrame:
-    """First arrival of every raw record of a session.
+def dedupe_raw(raw: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """First arrival of every raw record of a session; none of those whose keys are in ``known``.
 
     ``min_by`` merges before the shuffle, so a record copied into a third of all rows costs one row
-    per input task.
+    per input task. Known keys meet the records in the same shuffle.
     """
-    first = F.min_by(F.struct(*raw.columns), arrival(raw)).alias("_first")
-    return raw.groupBy("session_id", "raw_record_id").agg(first).select("_first.*")
+    fields = [n for n in raw.columns if n not in RAW_KEYS]
+    first = F.min_by(F.struct(*fields), arrival(raw)).alias("_first")
+    if known is None:
+        return raw.groupBy(*RAW_KEYS).agg(first).select(*_unpacked(raw, fields))
+    marked = raw.withColumn("_known", F.lit(False)).unionByName(
+        known.select(*RAW_KEYS, F.lit(True).alias("_known")), allowMissingColumns=True
+    )
+    firsts = marked.groupBy(*RAW_KEYS).agg(first, F.bool_or("_known").alias("_known"))
+    return firsts.filter(~F.col("_known")).select(*_unpacked(raw, fields))
+
+
+def _unpacked(raw: DataFrame, fields: list[str]) -> list[Column]:
+    return [F.col(f"_first.`{n}`") if n in fields else F.col(n) for n in raw.columns]
 
 
 def valid_records(raw: DataFrame) -> DataFrame:
@@ -131,6 +144,13 @@ def line_columns(raw: DataFrame) -> DataFrame:
     return raw.select(*[c for c in raw.columns if c in _MERGED])
 
 
+# What is left of a line's parts, besides ``_first``, when they are merged.
+_SETTLED = (
+    *CANONICAL_KEYS, "last_seen_at", "source_windows", "source_files", "record_count", "order", "sequence_hint_min",
+    "sequence_hint_max", "_regular",
+)
+
+
 def _as_parts(raw: DataFrame) -> DataFrame:
     """Raw records in the shape in which lines are merged."""
     return valid_records(raw).select(
@@ -163,12 +183,16 @@ def _state_parts(state: DataFrame) -> DataFrame:
     )
 
 
-def canonicalize(raw: DataFrame, state: DataFrame | None = None, slice_seconds: int = FOLD_SECONDS) -> DataFrame:
+def canonicalize(
+    raw: DataFrame, state: DataFrame | None = None, slice_seconds: int = FOLD_SECONDS, keep: Keep | None = None
+) -> DataFrame:
     """Merge raw records that show the same text in the same group of a session.
 
     The first arrival supplies the fields. Windows and files become sorted distinct lists: their
     number is bounded by the two windows and their slots. Raw record ids are not, so they stay in
     long form, see :func:`canonical_sources`. ``state`` holds lines merged before (with ``order``).
+    ``keep`` writes what lines are before their hints are folded, and the folded hints: so neither is worked out again by
+    those who read the lines more than once, and only lines whose hints were folded are shuffled once more.
     """
     parts = _as_parts(raw)
     if state is not None:
@@ -212,9 +236,17 @@ def canonicalize(raw: DataFrame, state: DataFrame | None = None, slice_seconds:
             "sequence_hint_max": F.when(all_numbers, F.col("_number_max")).otherwise(F.col("_text_max")),
         }
     )
-    folded = fold_hints(parts, settled.filter(~F.col("_regular")).select(*CANONICAL_KEYS), slice_seconds)
+    if keep:
+        settled = keep(settled.select("_first", *_SETTLED), "settled")
+    irregular = settled.filter(~F.col("_regular"))
+    folded = fold_hints(parts, irregular.select(*CANONICAL_KEYS), slice_seconds)
+    if keep:
+        joined = irregular.join(keep(folded, "folded"), CANONICAL_KEYS, "left")
+        joined = joined.unionByName(settled.filter("_regular"), allowMissingColumns=True)
+    else:
+        joined = settled.join(folded, CANONICAL_KEYS, "left")
     return (
-        settled.join(folded, CANONICAL_KEYS, "left")
+        joined
         .withColumns(
             {
                 "sequence_hint_min": F.coalesce("folded_min", "sequence_hint_min"),

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomlog.session import SLICE_ROWS, pinned
+from loomlog.session import Keep, SLICE_ROWS, pinned
 
 
 def running(
@@ -73,18 +73,22 @@ def dense_order(
     name: str = "order",
     start: int | Column = 0,
     partitions: int | None = None,
+    keep: Keep | None = None,
 ) -> DataFrame:
     """Exact positions ``start + 1 ...`` by a total sort order, over everything or per key.
 
     The rows are range-partitioned and sorted once and written to the checkpoint folder, so the
     pass that counts rows per partition and the pass that numbers them see the same partitions even
-    if executors are lost in between. Only one count per partition meets in a single task.
+    if executors are lost in between. Only one count per partition meets in a single task. With ``keep`` the sorted rows and
+    the first place of each key are written by it instead, compressed and not for good, and keys that turn out to be few are
+    joined without another shuffle of the rows.
     """
     spark = df.sparkSession
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = [F.col(c) if isinstance(c, str) else c for c in [*keys, *by]]
     ranged = df.repartitionByRange(count, *columns).sortWithinPartitions(*columns)
-    placed = pinned(ranged.withColumn("_place", F.monotonically_increasing_id()))
+    placed = ranged.withColumn("_place", F.monotonically_increasing_id())
+    placed = keep(placed, f"{name}_placed") if keep else pinned(placed)
 
     part = F.shiftright(F.col("_place"), 33)
     within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
@@ -101,6 +105,7 @@ def dense_order(
         firsts = numbered.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(
             F.min("_rank").alias("_first")
         )
+        firsts = keep(firsts, f"{name}_firsts") if keep else firsts
         same = None
         for key in keys:
             test = F.col(key).eqNullSafe(F.col(f"_key_{key}"))

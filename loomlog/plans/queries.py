@@ -18,6 +18,7 @@ from loomlog.functions.times import elapsed_text, extract_message_time, parse_me
 from loomlog.operators import actors as who
 from loomlog.operators import areas, collection, exclusions, grouping, incoming, parsing, party, ranges, report, rules
 from loomlog.operators import search, summaries, timeline
+from loomlog.operators.collection import RAW_KEYS
 from loomlog.operators.scans import dense_order
 from loomlog.plans.analysis import analyze_slice
 from loomlog.plans.derived import RULES, derived_log, read_table
@@ -30,7 +31,7 @@ from loomlog.sources.sessions import (
 )
 from loomlog.session import checkpoint_folder
 from loomlog.sources.snapshots import explode_snapshot_records, shape_snapshots, stream_rewritten
-from loomlog.streaming.collect import RAW_KEYS, read_state, upsert_batch
+from loomlog.streaming.collect import read_state, upsert_batch
 from loomlog.streaming.runs import RunTable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -632,8 +633,9 @@ def canonicalize_in_batches(spark, sf_dir):
     batches = [hour < 8, (hour < 16) & ((hour >= 8) | (third == 0)), (hour >= 16) | (third == 1)]
     for batch, chosen in enumerate(batches):
         upsert_batch(raw.filter(chosen), batch, path)
-    return read_state(spark, path).select(
-        "session_id", "canonical_key", "visible_text", "sequence_hint_min", "sequence_hint_max", "record_count", "order"
+    return read_state(
+        spark, path,
+        ("session_id", "canonical_key", "visible_text", "sequence_hint_min", "sequence_hint_max", "record_count", "order"),
     )
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +54,59 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return [s.getPath().getName() for s in store.listStatus(place)] if store.exists(place) else []
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+# Writes ``frame`` under a name and gives it back as it was written.
+Keep = Callable[[DataFrame, str], DataFrame]
+# Compression of what is stored: digests in hex stay whole in the default one.
+COMPRESSION = "zstd"
+# Steps free their shuffle files, and a task begins with few bytes of what an earlier step wrote: these are some thirty a row.
+_STEPS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.files.maxPartitionBytes": str(8 << 20),
+}
+
+
+@contextmanager
+def work_folder(spark: SparkSession, folder: str) -> Iterator[tuple[Keep, Callable[..., None]]]:
+    """Steps of a long job as compressed tables: one function keeps a frame, the other lets go of some by their names.
+
+    Meanwhile every step frees its shuffle files when it ends; Spark else keeps those of all steps until the driver happens to
+    collect its garbage. What was left of a job that broke off goes first, and everything goes at the end.
+    """
+    def keep(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.option("compression", COMPRESSION).parquet(f"{folder}/{name}")
+        return spark.read.schema(frame.schema).parquet(f"{folder}/{name}")
+
+    def drop(*names: str) -> None:
+        for name in names:
+            delete(spark, f"{folder}/{name}")
+
+    before = {key: spark.conf.get(key, None) for key in _STEPS}
+    delete(spark, folder)
+    try:
+        for key, value in _STEPS.items():
+            spark.conf.set(key, value)
+        yield keep, drop
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+        delete(spark, folder)
+
+
 _SCRATCH: list[str] = []
 
 

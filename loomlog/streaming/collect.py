@@ -13,20 +13,21 @@ is exactly once. Nothing is ever forgotten: a record may come any time later and
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomlog.functions import fixed_values as fixed
 from loomlog.operators import collection as c
-from loomlog.operators.collection import CANONICAL_KEYS
+from loomlog.operators.collection import CANONICAL_KEYS, RAW_KEYS
 from loomlog.operators.scans import dense_order
-from loomlog.session import path_exists
+from loomlog.session import Keep, path_exists, work_folder
 from loomlog.sources.snapshots import explode_snapshot_records, stream_rewritten, stream_snapshots
 from loomlog.streaming.runs import FANOUT, RunTable
 
-RAW_KEYS = ["session_id", "raw_record_id"]
+# Columns of a line that follow from others and are not stored.
+DERIVED = ("schema_version", "canonical_record_id")
 
 
 def stream_raw(
@@ -55,7 +56,7 @@ def stream_raw(
 
 
 def _latest(versions: DataFrame) -> DataFrame:
-    fields = [n for n in versions.columns if n not in CANONICAL_KEYS]
+    fields = [n for n in versions.columns if n not in (*CANONICAL_KEYS, *DERIVED)]
     latest = F.max_by(F.struct(*fields), F.col("batch")).alias("_v")
     return versions.groupBy(*CANONICAL_KEYS).agg(latest).select(*CANONICAL_KEYS, "_v.*")
 
@@ -73,55 +74,64 @@ def _lasts(path: str, fanout: int = FANOUT) -> RunTable:
     return RunTable(f"{path}/lasts", ("session_id",), last, fanout)
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame | None:
-    """The canonical lines as of now: the latest version of every key, or None when nothing is stored."""
-    return _lines(path).read(spark)
+def read_state(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame | None:
+    """The canonical lines as of now: the latest version of every key, or None when nothing is stored.
 
-
-def new_records(records: DataFrame, batch: int, path: str) -> DataFrame:
-    """Those of a batch's distinct records that no batch before it brought."""
+    With ``columns`` only these are read and shuffled.
+    """
+    lines = _lines(path)
+    if columns is not None:
+        wanted = {*CANONICAL_KEYS, "batch", *columns}
+        pruned = lambda rows: _latest(rows.select(*[n for n in rows.columns if n in wanted]))
+        lines = replace(lines, settle=pruned)
+    state = lines.read(spark)
+    if state is None:
+        return None
+    state = state.withColumns({"schema_version": F.lit(c.CANONICAL_VERSION), "canonical_record_id": F.col("canonical_key")})
+    return state.select(*columns) if columns is not None else state
+
+
+def new_records(records: DataFrame, batch: int, path: str, keep: Keep | None = None) -> DataFrame:
+    """The first arrivals of those of a batch's records that no batch before it brought; ``keep`` writes the known keys."""
     known = _ids(path).lookup(records, batch)
-    return records if known is None else records.join(known, RAW_KEYS, "left_anti")
+    return c.dedupe_raw(records, known if known is None or keep is None else keep(known, "known"))
 
 
 def upsert_batch(raw: DataFrame, batch: int, path: str, fanout: int = FANOUT) -> None:
     """Merge one micro-batch into the canonical lines.
 
-    The batch is worked out once. Only lines it touches are read back; new lines get the next order numbers of their
-    session. ``fanout`` says how many runs merge into one.
+    The batch is read once. Only lines it touches are read back; new lines get the next order numbers of their
+    session. ``fanout`` says how many runs merge into one. What it works out on the way lies in a folder of its own beside the
+    tables, step by step: there are rows of one or two steps at a time.
     """
     spark = raw.sparkSession
     lines, ids, lasts = _lines(path, fanout), _ids(path, fanout), _lasts(path, fanout)
-    for table in (lines, ids, lasts):
-        table.merge(spark, batch)
-    kept = []
-
-    def once(frame: DataFrame) -> DataFrame:
-        kept.append(frame.persist(StorageLevel.MEMORY_AND_DISK))
-        return frame
-
-    try:
-        fresh = once(new_records(once(c.dedupe_raw(c.line_columns(raw))), batch, path))
+    with work_folder(spark, f"{path}/work/batch={batch}") as (keep, drop):
+        for table in (lines, ids, lasts):
+            table.merge(spark, batch)
+        fresh = keep(new_records(keep(c.line_columns(raw), "brought"), batch, path, keep), "fresh")
+        drop("brought", "known")
         at_most = fresh.count()
+        # A batch that broke off is run again as a whole, and does not look into its own runs.
+        ids.write(fresh.select(*RAW_KEYS), batch, at_most)
         touched = c.valid_records(fresh).select("session_id", c.line_key().alias("canonical_key"))
-        merged = once(c.canonicalize(fresh, lines.lookup(touched, batch)))
+        state = lines.lookup(touched, batch)
+        merged = c.canonicalize(fresh, None if state is None else keep(state, "state"), keep=keep).drop(*DERIVED)
+        last = lasts.lookup(fresh.select("session_id"), batch)
+        last = None if last is None else keep(last.withColumnRenamed("last", "_last"), "last")
+        drop("fresh", "state")
         numbered = dense_order(
-            merged.filter(F.col("order").isNull()).drop("order"), ["first_arrival", "canonical_key"], ["session_id"], "order"
+            merged.filter(F.col("order").isNull()).drop("order"), ["first_arrival", "canonical_key"], ["session_id"], "order",
+            keep=keep,
         )
-        last = lasts.lookup(fresh, batch)
         if last is not None:
-            numbered = numbered.join(last.withColumnRenamed("last", "_last"), "session_id", "left").withColumn(
+            numbered = numbered.join(last, "session_id", "left").withColumn(
                 "order", F.col("order") + F.coalesce(F.col("_last"), F.lit(0))
             ).drop("_last")
-        # The ids are written last: a batch that broke off is run again as a whole.
         version = merged.filter(F.col("order").isNotNull()).unionByName(numbered)
         written = lines.write(version.withColumn("batch", F.lit(batch).cast("bigint")), batch, at_most)
         ends = (version if written is None else written).groupBy("session_id").agg(F.max("order").alias("last"))
         lasts.write(ends, batch, at_most)
-        ids.write(fresh.select(*RAW_KEYS), batch, at_most)
-    finally:
-        for frame in kept:
-            frame.unpersist()
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:

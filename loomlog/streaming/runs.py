@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loomlog.session import path_exists
+from loomlog.session import COMPRESSION, children, delete, path_exists
 
 FANOUT = 8
 # Bits of one bitmap (what ``bitmap_construct_agg`` makes) and rows that fill it to a sixteenth.
@@ -42,17 +42,6 @@ def _power(least: int) -> int:
     return 1 << max(0, least - 1).bit_length()
 
 
-def _children(spark: SparkSession, folder: str) -> list[str]:
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    store = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return [s.getPath().getName() for s in store.listStatus(place)] if store.exists(place) else []
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
-
-
 def _parquet(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
     # Folder names are no columns here; several roots with such names would else be refused.
     return spark.read.option("recursiveFileLookup", "true").parquet(*folders)
@@ -81,14 +70,14 @@ class RunTable:
     def _runs(self, spark: SparkSession) -> tuple[list[Run], list[int]]:
         """All complete runs, and the batches whose run is not complete."""
         complete, broken = [], []
-        for name in _children(spark, self.path):
+        for name in children(spark, self.path):
             kind, _, value = name.partition("=")
             if kind not in ("base", "batch", "merged"):
                 continue
             numbers = [int(n) for n in value.split("-")]
             begin, end = (-1, 0) if kind == "base" else numbers if kind == "merged" else (numbers[0], numbers[0] + 1)
             folder = self._folder(begin, end)
-            slots = [n.partition("=")[2] for n in _children(spark, folder) if n.startswith("filter=")]
+            slots = [n.partition("=")[2] for n in children(spark, folder) if n.startswith("filter=")]
             if slots and path_exists(spark, f"{folder}/filter={slots[0]}/_SUCCESS"):
                 complete.append(Run(folder, begin, end, int(slots[0])))
             elif kind != "merged":
@@ -111,11 +100,12 @@ class RunTable:
 
     def is_used(self, spark: SparkSession) -> bool:
         """Whether batches, not only a base, are stored."""
-        return any(n.startswith(("batch=", "merged=")) for n in _children(spark, self.path))
+        return any(n.startswith(("batch=", "merged=")) for n in children(spark, self.path))
 
     def _rows(self, spark: SparkSession, runs: Sequence[Run]) -> DataFrame | None:
         filled = [f"{r.folder}/rows" for r in runs if r.slots]
-        return self.settle(_parquet(spark, filled)) if filled else None
+        # A run holds a key once, so there is nothing to settle before the rows are shuffled.
+        return self.settle(_parquet(spark, filled).repartition(*self.keys)) if filled else None
 
     def read(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
         """The settled rows of all runs, or None when there are none."""
@@ -157,14 +147,14 @@ class RunTable:
 
     def _write(self, rows: DataFrame, begin: int, end: int, slots: int) -> DataFrame | None:
         spark, folder = rows.sparkSession, self._folder(begin, end)
-        _delete(spark, folder)
+        delete(spark, folder)
         bucket = F.expr(f"bit div {SLOT_BITS * self.bucket_slots}").cast("int")
         (
             rows.withColumn("bit", _bit(self.keys, slots)).withColumn("bucket", bucket)
             .repartition(max(1, slots // self.bucket_slots), "bucket").sortWithinPartitions("bucket", "bit").drop("bit")
-            .write.partitionBy("bucket").parquet(f"{folder}/rows")
+            .write.option("compression", COMPRESSION).partitionBy("bucket").parquet(f"{folder}/rows")
         )
-        if not any(n.startswith("bucket=") for n in _children(spark, f"{folder}/rows")):
+        if not any(n.startswith("bucket=") for n in children(spark, f"{folder}/rows")):
             spark.range(0).write.parquet(f"{folder}/filter=0")
             return None
         stored = _parquet(spark, [f"{folder}/rows"])
@@ -202,4 +192,4 @@ class RunTable:
         # What the merges of the parts replaced: nobody has chosen it since.
         for run in self._runs(spark)[0]:
             if any(p.begin <= run.begin and run.end <= p.end and run.end - run.begin < p.end - p.begin for p in parts):
-                _delete(spark, run.folder)
+                delete(spark, run.folder)

@@ -1,5 +1,9 @@
 """What is held at a time stays bounded, and the results stay the same."""
 
+import os
+import time
+from functools import reduce
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +12,11 @@ from conftest import rows
 from loomlog.operators import collection as c
 from loomlog.plans import derived, derived_raw
 from loomlog.plans.queries import QUERIES
+from loomlog.session import checkpoint_folder, ensure_checkpoint_dir, work_folder
 from loomlog.sources import snapshots
+from loomlog.streaming import collect as sc
 from loomlog.streaming.runs import RunTable
+from test_collection import raw_rows
 
 
 @pytest.fixture(scope="module")
@@ -91,3 +98,42 @@ def test_what_a_batch_brings_is_worked_out_once(spark, folder, monkeypatch):
     assert kept == 5 * [True]
     raw = derived_raw.derived_raw(spark, folder).select("session_id", "raw_record_id").distinct()
     assert rows(found, "session_id", "raw_record_id") == rows(raw)
+
+
+def test_a_batch_leaves_only_its_runs(spark, tmp_path):
+    path = str(tmp_path / "canonical")
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    pins = lambda: sum(len(names) for _, _, names in os.walk(checkpoint_folder(spark).removeprefix("file:")))
+    spark.sparkContext._jvm.System.gc()
+    ensure_checkpoint_dir(spark)
+    before, pinned = disk.getAllFiles().size(), pins()
+    for batch, hints in enumerate((["9", "10", "1a", "10"], ["9", "11"])):
+        sc.upsert_batch(raw_rows(spark, hints, start=3 * batch), batch, path)
+    assert pins() == pinned
+    assert sorted(p.name for p in (tmp_path / "canonical").iterdir()) == ["lasts", "lines", "raw", "work"]
+    assert not list((tmp_path / "canonical" / "work").iterdir())
+    # Shuffle files of the steps are gone without a collection of garbage; removing them takes a moment.
+    for _ in range(100):
+        if disk.getAllFiles().size() <= before:
+            break
+        time.sleep(0.1)
+    assert disk.getAllFiles().size() <= before
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") != str(8 << 20)
+    stored = spark.read.parquet(f"{path}/lines/batch=0/rows")
+    assert not {"schema_version", "canonical_record_id"} & set(stored.columns)
+    state = sc.read_state(spark, path)
+    whole = c.assign_order(c.canonicalize(c.dedupe_raw(raw_rows(spark, ["9", "10", "1a", "10", "11"]))))
+    shape = ("schema_version", "canonical_record_id", "session_id", "visible_text", "sequence_hint_min", "sequence_hint_max")
+    assert rows(state, *shape, "record_count", "order") == rows(whole, *shape, "record_count", "order")
+    assert rows(sc.read_state(spark, path, shape)) == rows(whole, *shape)
+
+
+def test_lines_kept_on_the_way_are_the_same(spark, tmp_path):
+    texts = {"mixed": ["9", "1a", "10", "9"], "numbers": ["10", "9"], "none": [None, None], "hex": ["00A1", "0010"]}
+    raw = reduce(lambda a, b: a.unionByName(b), [raw_rows(spark, hints, text) for text, hints in texts.items()])
+    with work_folder(spark, str(tmp_path / "work")) as (keep, drop):
+        kept = c.canonicalize(raw, keep=keep)
+        assert sorted(p.name for p in (tmp_path / "work").iterdir()) == ["folded", "settled"]
+        assert rows(kept) == rows(c.canonicalize(raw))
+        drop("folded", "settled")
+        assert not list((tmp_path / "work").iterdir())
