@@ -725,7 +725,7 @@ def rewritten_snapshots(spark, sf_dir):
             # Only the files of this turn are made.
             files = derived_snapshots(spark, sf_dir, F.floor(F.col("file_no") / 20) % 2 == turn)
             put_files(files.withColumn("path", rotated), f"{place}/log")
-        records = explode_snapshot_records(stream_rewritten(spark, f"{place}/log"))
+        records = explode_snapshot_records(stream_rewritten(spark, f"{place}/log", listings=f"{place}/listings"))
         polls = records.writeStream.option("checkpointLocation", f"{place}/check").trigger(availableNow=True)
         polls.format("parquet").start(f"{place}/records").awaitTermination()
     raw = collection.project_raw(spark.read.parquet(f"{place}/records"), "s")

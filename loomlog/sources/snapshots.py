@@ -74,10 +74,14 @@ def stream_snapshots(
 
 
 def stream_rewritten(
-    spark: SparkSession, folder: str, windows: Sequence[int] = (1, 2), slots: int = fixed.MAX_SLOTS
+    spark: SparkSession, folder: str, windows: Sequence[int] = (1, 2), slots: int = fixed.MAX_SLOTS,
+    listings: str | None = None,
 ) -> DataFrame:
-    """The same scan as a stream of files that are rewritten in place: a changed file comes again, an unchanged one never."""
-    changed = stream_changes(spark, folder).filter(F.col("change") == CHANGED).drop("change")
+    """The same scan as a stream of files that are rewritten in place: a changed file comes again, an unchanged one never.
+
+    Many folders need ``listings``, see :func:`stream_changes`.
+    """
+    changed = stream_changes(spark, folder, listings=listings).filter(F.col("change") == CHANGED).drop("change")
     return shape_snapshots(changed, windows, slots)
 
 

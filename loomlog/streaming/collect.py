@@ -39,14 +39,16 @@ def stream_raw(
     slots: int = fixed.MAX_SLOTS,
     files_per_batch: int = 1000,
     in_place: bool = False,
+    listings: str | None = None,
 ) -> DataFrame:
     """Raw records of the snapshots that land in a folder; baseline records never come out.
 
     ``in_place``: files are rewritten, and come again as often as they change (``files_per_batch`` has no meaning then).
-    Records that were read before come out again; :func:`upsert_batch` knows them by id, however late they are.
+    Records that were read before come out again; :func:`upsert_batch` knows them by id, however late they are. ``listings`` is
+    a folder for what is known of many such files, see :func:`loomlog.sources.changed_files.stream_changes`.
     """
     if in_place:
-        files = stream_rewritten(spark, landing, windows, slots)
+        files = stream_rewritten(spark, landing, windows, slots, listings)
     else:
         files = stream_snapshots(spark, landing, windows, slots, files_per_batch)
     records = explode_snapshot_records(files)

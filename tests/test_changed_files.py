@@ -1,10 +1,15 @@
 """Watched files that are rewritten in place, in polls and as a stream."""
 
 import os
+import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from conftest import rows
+from loomlog.plans import queries
+from loomlog.plans.derived import derived_log
 from loomlog.sources import changed_files as cf
 from loomlog.streaming import collect as sc
 from test_collection import put, record, snapshot
@@ -83,3 +88,100 @@ def test_collection_of_a_rotating_file(spark, tmp_path):
         stream = sc.stream_raw(spark, folder, "s", in_place=True)
         sc.canonicalize_stream(stream, out, check).awaitTermination(120)
     assert rows(sc.read_state(spark, out), "visible_text", "order") == [("あと", 2), ("つぎ", 3), ("まえ", 1)]
+
+
+def poll_all(reader, start):
+    """One poll of a reader: its offset and what its tasks give, after the planning of a batch."""
+    end = reader.latestOffset()
+    shares = reader.partitions(start, end)
+    found = [(r[0].removeprefix("file:"), r[4], r[3]) for s in shares for r in reader.read(s)]
+    return end, shares, found
+
+
+def test_stored_listings_tell_the_same_changes(monkeypatch, tmp_path):
+    monkeypatch.setattr(cf, "FILES_PER_BLOCK", 3)
+    rng = random.Random(4)
+    folder, listings = tmp_path / "log", tmp_path / "listings"
+    plain, listed = cf.ChangedFilesReader(str(folder), cf.WATCHED), cf.ListedFilesReader(str(folder), cf.WATCHED, str(listings))
+    assert listed.latestOffset() == {} and listed.partitions({}, {}) == []
+    names = [f"{d}{1 + n % 2}_{n}.log" for d in ("", "a/", "a/b/", "a-b/", "b/", "b/a/b/") for n in range(4)]
+    before, start, files = {}, {}, {}
+    for turn in range(25):
+        for name in rng.sample(names, rng.choice([0, 1, 2, 12])):
+            if name in files and rng.random() < 0.5:
+                os.remove(folder / name)
+                del files[name]
+            else:
+                files[name] = f"{turn}".encode()
+                put(str(folder / name).rpartition("/")[0], name.rpartition("/")[2], files[name], 1_000 + turn)
+        if turn == 20:
+            for name in files:
+                os.remove(folder / name)
+            files = {}
+        now = plain.latestOffset()
+        expected = [(p, how) for p, how in cf.changes(before, now)]
+        end, shares, found = poll_all(listed, start)
+        assert sorted((p, how) for p, how, _ in found) == sorted(expected)
+        assert all(text == files[p.removeprefix(f"{folder}/")] for p, how, text in found if how == "changed")
+        # The offset has one size, equal states have equal offsets, and a task compares a bounded number of paths.
+        assert end == ({} if not files else {"listing": end["listing"]}) and (end == start) == (now == before)
+        assert all(len(list(listed.read(s))) <= 2 * 3 for s in shares)
+        # A batch that is run again from its offsets, by a reader that has not polled, which also keeps what it needs.
+        again = cf.ListedFilesReader(str(folder), cf.WATCHED, str(listings))
+        again.commit(start)
+        assert again.partitions(start, end) == shares
+        listed.commit(end)
+        kept = {b.digest for b in listed._index(end)}
+        assert {p.name for p in listings.rglob("*") if p.is_file()} == kept | ({f"{end['listing']}.index"} if end else set())
+        before, start = now, end
+    with pytest.raises(ValueError):
+        listed.partitions(before or {"a": [1, 1]}, {"listing": "x"})
+    with pytest.raises(ValueError):
+        plain.partitions({"listing": "x"}, before)
+
+
+def test_few_changes_open_few_blocks(monkeypatch, tmp_path):
+    monkeypatch.setattr(cf, "FILES_PER_BLOCK", 4)
+    for n in range(40):
+        put(str(tmp_path / "log" / f"{n // 4}"), f"1_{n % 4}.log", b"x", 1_000)
+    reader = cf.ListedFilesReader(str(tmp_path / "log"), cf.WATCHED, str(tmp_path / "listings"))
+    start, shares, found = poll_all(reader, {})
+    assert len(shares) == 10 and len(found) == 40
+    stored = {p for p in (tmp_path / "listings").rglob("*")}
+    assert poll_all(reader, start) == (start, [], []) and {p for p in (tmp_path / "listings").rglob("*")} == stored
+    put(str(tmp_path / "log" / "7"), "1_2.log", b"new", 1_002)
+    end, shares, found = poll_all(reader, start)
+    assert len(shares) == 1 and [(p.rpartition("/")[2], text) for p, _, text in found] == [("1_2.log", b"new")]
+    # One block and the index are new.
+    assert len({p for p in (tmp_path / "listings").rglob("*")} - stored) == 2
+    monkeypatch.setattr(cf, "BYTES_PER_TASK", 2)
+    assert len(poll_all(reader, {})[1]) >= 20
+
+
+def test_a_collection_goes_on_with_stored_listings(spark, tmp_path):
+    folder, out, check = (str(tmp_path / n) for n in ("log", "out", "check"))
+    for number, text in enumerate(("まえ", "あと", "つぎ", None)):
+        if text:
+            kept = [record("まえ", "e0", "1")] if number else []
+            put(folder, "1_0.log", snapshot(*kept, record(text, f"e{number}", "1")), 1_000 + number)
+        stream = sc.stream_raw(spark, folder, "s", in_place=True, listings=f"file://{tmp_path}/listings")
+        sc.canonicalize_stream(stream, out, check).awaitTermination(120)
+    assert rows(sc.read_state(spark, out), "visible_text", "order") == [("あと", 2), ("つぎ", 3), ("まえ", 1)]
+    # The last poll found nothing, so there is no batch of its own; an offset names its listing.
+    offsets = sorted(p.name for p in (tmp_path / "check" / "offsets").iterdir() if not p.name.startswith("."))
+    assert offsets == ["0", "1", "2"]
+    assert "1_0.log" not in (tmp_path / "check" / "offsets" / "2").read_text()
+
+
+def test_the_query_holds_no_paths_in_its_offsets(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(queries, "checkpoint_folder", lambda _: f"file://{tmp_path}")
+    kinds = F.array(*[F.lit(k) for k in ("click", "view", "purchase", "signup", "error")])
+    spark.range(800).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(1_704_067_200 + F.col("id") * 400).alias("ts"),
+        (F.col("id") % 9).alias("user_id"), F.get(kinds, (F.col("id") % 5).cast("int")).alias("event_type"),
+        (F.col("id") / 3).alias("value"), F.lit("{}").alias("props"),
+    ).coalesce(1).write.parquet(f"{tmp_path}/in/events.parquet")
+    found = queries.QUERIES["rewritten_snapshots"](spark, f"{tmp_path}/in")
+    assert found.count() == derived_log(spark, f"{tmp_path}/in").count()
+    offsets = [p.read_text() for p in tmp_path.glob("rotating-*/check/offsets/*") if not p.name.startswith(".")]
+    assert len(offsets) == 2 and not any(".log" in text for text in offsets)
