@@ -153,22 +153,25 @@ class ListedFilesReader(ChangedFilesReader):
 
     ``blocks/<digest>`` has lines of relative path, time and size, in the order of places; ``<name>.index`` a line for each
     block of a listing. Equal states have equal names and share their blocks, so a poll that finds nothing new writes nothing.
-    What neither the last finished batch nor the last poll needs is deleted when Spark reports a batch as finished.
+    When Spark reports a batch as finished, what only earlier ones needed is deleted. Spark also polls to report progress, so
+    the end of the next batch may be any poll since then.
     """
 
     def __init__(self, root: str, names: str, listings: str):
         super().__init__(root, names)
-        self.listings, self.latest = listings, None
+        self.listings = listings
+        # Offsets that a batch may still need, in the order of their polls.
+        self.needed: list[dict[str, str]] = []
 
     def latestOffset(self) -> dict[str, str]:
-        blocks = list(self._stored())
-        if not blocks:
-            self.latest = {}
-            return {}
-        lines = "".join(json.dumps([b.first, b.digest]) + "\n" for b in blocks).encode()
-        self.latest = {"listing": hashlib.sha256(lines).hexdigest()}
-        self._put(f"{self.latest['listing']}.index", lines)
-        return self.latest
+        blocks, offset = list(self._stored()), {}
+        if blocks:
+            lines = "".join(json.dumps([b.first, b.digest]) + "\n" for b in blocks).encode()
+            offset = {"listing": hashlib.sha256(lines).hexdigest()}
+            self._put(f"{offset['listing']}.index", lines)
+        if self.needed[-1:] != [offset]:
+            self.needed.append(offset)
+        return offset
 
     def _walk(self) -> Iterator[tuple[str, int, int]]:
         """Watched files below the root, by place; one folder's names are held, and those of folders that wait."""
@@ -225,6 +228,9 @@ class ListedFilesReader(ChangedFilesReader):
         return [Block(*line) for line in self._lines(f"{offset['listing']}.index")]
 
     def partitions(self, start: dict[str, str], end: dict[str, str]) -> list[Stretch]:
+        if end not in self.needed:
+            # A batch that another process planned: older than all polls of this one.
+            self.needed.insert(0, end)
         return [] if start == end else list(stretches(self._index(start), self._index(end)))
 
     def read(self, partition: Stretch) -> Iterator[Row]:
@@ -238,10 +244,12 @@ class ListedFilesReader(ChangedFilesReader):
 
     def commit(self, end: dict[str, str]) -> None:
         """Delete what only earlier batches needed. Before the first poll it is not known what a batch at hand needs."""
-        if self.latest is None:
+        if not self.needed:
             return
+        if end in self.needed:
+            self.needed = self.needed[self.needed.index(end):]
         system, folder, _ = opened_root(self.listings)
-        offsets = [o for o in (end, self.latest) if o]
+        offsets = [o for o in (end, *self.needed) if o]
         kept = {f"{o['listing']}.index" for o in offsets} | {b.digest for o in offsets for b in self._index(o)}
         for info in (*_children(system, folder), *_children(system, f"{folder}/blocks")):
             if info.is_file and posixpath.basename(info.path) not in kept:

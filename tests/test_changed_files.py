@@ -140,6 +140,40 @@ def test_stored_listings_tell_the_same_changes(monkeypatch, tmp_path):
         plain.partitions({"listing": "x"}, before)
 
 
+def test_listings_that_a_batch_may_need_are_kept(monkeypatch, tmp_path):
+    monkeypatch.setattr(cf, "FILES_PER_BLOCK", 1)
+    folder, listings = str(tmp_path / "log"), str(tmp_path / "listings")
+    new = lambda: cf.ListedFilesReader(folder, cf.WATCHED, listings)
+    texts = lambda reader, start, end: sorted(r[3] for s in reader.partitions(start, end) for r in reader.read(s))
+
+    def polled(reader, number):
+        put(folder, f"1_{number}.log", b"%d" % number, 1_000 + number)
+        return reader.latestOffset()
+
+    reader = new()
+    first = polled(reader, 0)
+    assert texts(reader, {}, first) == [b"0"]
+    # The end of the next batch is polled, then a poll reports progress; only then the batch before it counts as finished.
+    second, _ = polled(reader, 1), polled(reader, 2)
+    reader.commit(first)
+    assert texts(reader, first, second) == [b"1"]
+    # It breaks off; the next process polls before that batch is run again, and goes on from there.
+    reader = new()
+    third = polled(reader, 3)
+    assert texts(reader, first, second) == [b"1"]
+    polled(reader, 4)
+    reader.commit(second)
+    assert texts(reader, second, third) == [b"2", b"3"]
+    # A state that comes back is the end of a batch once more.
+    fourth = reader.latestOffset()
+    reader.commit(third)
+    assert texts(reader, third, fourth) == [b"4"]
+    os.remove(f"{folder}/1_4.log")
+    assert reader.latestOffset() == third
+    reader.commit(fourth)
+    assert [r[4] for s in reader.partitions(fourth, third) for r in reader.read(s)] == ["missing"]
+
+
 def test_few_changes_open_few_blocks(monkeypatch, tmp_path):
     monkeypatch.setattr(cf, "FILES_PER_BLOCK", 4)
     for n in range(40):
